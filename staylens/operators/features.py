@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
@@ -314,3 +314,44 @@ def final_columns(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = set(scored.columns)
     out = [F.col(c) if c in present else F.lit(None).cast("double").alias(c) for c in columns]
     return scored.select("entity_id", *out).orderBy("entity_id")
+
+
+def baseline_table(
+    rows: DataFrame,
+    continuous: Sequence[str],
+    binary: Sequence[str] = (),
+    categorical: Sequence[str] = (),
+    split: str = "split",
+    splits: Sequence[str] = ("train", "val", "test"),
+) -> DataFrame:
+    """Baseline characteristics: one row per characteristic, one column per split.
+
+    Continuous values show mean (SD), binary and categorical ones the percent of
+    the split.  Columns that are absent are skipped.
+    """
+    present = set(rows.columns)
+    continuous = [c for c in continuous if c in present]
+    binary = [c for c in binary if c in present]
+    categorical = [c for c in categorical if c in present]
+    parts = []
+    if continuous:
+        numbers = rows.select(split, *[F.col(c).cast("double").alias(c) for c in continuous])
+        tall = numbers.unpivot([split], continuous, "characteristic", "v")
+        cell = F.format_string("%.2f (%.2f)", F.avg("v"), F.stddev_samp("v"))
+        parts.append(tall.groupBy("characteristic", split).agg(cell.alias("cell")))
+    if binary:
+        numbers = rows.select(split, *[F.col(c).cast("double").alias(c) for c in binary])
+        tall = numbers.unpivot([split], binary, "characteristic", "v")
+        cell = F.format_string("%.1f%%", F.lit(100.0) * F.avg("v"))
+        parts.append(tall.groupBy("characteristic", split).agg(cell.alias("cell")))
+    if categorical:
+        texts = rows.select(split, *[F.col(c).cast("string").alias(c) for c in categorical])
+        tall = texts.unpivot([split], categorical, "name", "v")
+        counts = tall.groupBy(split, "name", "v").agg(F.count(F.lit(1)).alias("n"))
+        # one row per category here, so the total is a sum over a small group
+        total = F.sum("n").over(Window.partitionBy(split, "name"))
+        share = F.format_string("%.1f%%", F.lit(100.0) * F.col("n") / total)
+        name = F.concat_ws("=", "name", "v")
+        parts.append(counts.select(name.alias("characteristic"), split, share.alias("cell")))
+    cells = reduce(lambda a, b: a.unionByName(b), parts)
+    return cells.groupBy("characteristic").pivot(split, list(splits)).agg(F.first("cell"))

@@ -77,13 +77,16 @@ def kept_features(
     if top_k is not None and top_k < 1:
         top_k = None
     kept = profile.filter(F.col("is_variable") & (F.col("support") >= min_support))
+    # one subquery for all four moments, so the profile is computed once for it
     moments = kept.agg(
-        F.avg("variance").alias("vm"),
-        F.coalesce(F.stddev_samp("variance"), F.lit(0.0)).alias("vs"),
-        F.avg("support").alias("sm"),
-        F.coalesce(F.stddev_samp("support"), F.lit(0.0)).alias("ss"),
-    )
-    vm, vs, sm, ss = (moments.select(c).scalar() for c in ("vm", "vs", "sm", "ss"))
+        F.struct(
+            F.avg("variance").alias("vm"),
+            F.coalesce(F.stddev_samp("variance"), F.lit(0.0)).alias("vs"),
+            F.avg("support").alias("sm"),
+            F.coalesce(F.stddev_samp("support"), F.lit(0.0)).alias("ss"),
+        )
+    ).scalar()
+    vm, vs, sm, ss = (moments[c] for c in ("vm", "vs", "sm", "ss"))
     score = F.lit(0.7) * zscore(F.col("variance"), vm, vs) + F.lit(0.3) * zscore(
         F.col("support").cast("double"), sm, ss
     )

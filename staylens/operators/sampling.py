@@ -49,12 +49,18 @@ def hash_slices(
         F.sum("_n").over(Window.partitionBy(*strata)).alias("_size"),
     )
     ranks = [F.greatest(c.cast("long"), F.lit(0).cast("long")) for c in cuts(F.col("_size"))]
-    inside = F.filter(
-        F.array(*[F.struct(F.lit(j).alias("j"), r.alias("at")) for j, r in enumerate(ranks)]),
-        lambda c: (c["at"] >= F.col("_before")) & (c["at"] < F.col("_before") + F.col("_n")),
-    )
-    wanted = edges.select(*strata, "_b", "_before", F.explode(inside).alias("_c")).select(
-        *strata, "_b", F.col("_c.j").alias("_j"), (F.col("_c.at") - F.col("_before")).alias("_at")
+    placed = edges.select("*", *[r.alias(f"_at{j}") for j, r in enumerate(ranks)])
+    each = F.explode(
+        F.array(*[
+            F.struct(F.lit(j).alias("j"), F.col(f"_at{j}").alias("at")) for j in range(len(ranks))
+        ])
+    ).alias("_c")
+    wanted = (
+        placed.select(*strata, "_b", "_n", "_before", each)
+        .select(*strata, "_b", "_n", F.col("_c.j").alias("_j"),
+                (F.col("_c.at") - F.col("_before")).alias("_at"))
+        .filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+        .drop("_n")
     )
     in_bucket = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     boundary = slim.join(wanted.select(*strata, "_b").distinct(), [*strata, "_b"], "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,15 +48,19 @@ def build_session(
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+    """Compute ``df`` once: write it to the shared folder and read it back.
 
-    The checkpoint goes to the shared folder named by ``spark.checkpoint.dir``,
-    so it survives the loss of executors.  Only where the cluster names none
-    (tests, a laptop) a folder is created.
+    The folder is the one named by ``spark.checkpoint.dir``, so the table
+    survives the loss of executors; only where the cluster names none (tests, a
+    laptop) a folder is created.  A Parquet table, unlike a checkpointed RDD,
+    keeps column pruning and gives later joins a known size.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="staylens-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="staylens-")
+        context.setCheckpointDir(folder)
+    path = f"{folder}/staylens/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
