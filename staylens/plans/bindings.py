@@ -204,31 +204,29 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stay_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stay_lines(spark: SparkSession, sf_dir: str, stay: DataFrame | None = None) -> DataFrame:
     """Lines of the index stay within the first year."""
-    stay = index(spark, sf_dir)
-    kept = window.early_window(order_lines(spark, sf_dir), stay, hours=LAB_HOURS)
-    return kept.join(stay.select("stay_id", "entity_id"), "stay_id")
+    stay = index(spark, sf_dir) if stay is None else stay
+    rows = order_lines(spark, sf_dir).filter(F.col("t").isNotNull())
+    rows = rows.join(stay.select("stay_id", "admit", "entity_id"), "stay_id")
+    return rows.filter(window.in_window(F.col("t"), F.col("admit"), LAB_HOURS))
 
 
-def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labs(spark: SparkSession, sf_dir: str, stay: DataFrame | None = None) -> DataFrame:
     """Lines of the index stay with the part type as label."""
-    both = ["stay_id", "admit", "entity_id"]
-    stay = index(spark, sf_dir).select(*both)
-    rows = order_lines(spark, sf_dir).filter(F.col("t").isNotNull()).join(stay, "stay_id")
-    rows = rows.filter(window.in_window(F.col("t"), F.col("admit"), LAB_HOURS))
-    return window.join_items(rows, items(spark, sf_dir), "item_id")
+    return window.join_items(stay_lines(spark, sf_dir, stay), items(spark, sf_dir), "item_id")
 
 
 def feature_blocks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Long blocks: two measured modalities, order flags and calendar parts."""
-    lines = labs(spark, sf_dir)
+    stay = index(spark, sf_dir)
+    lines = labs(spark, sf_dir, stay)
     rx = features.count_and_flags(lines, column="drug", patterns=ITEM_PATTERNS)
     return {
         "vitals": features.stats_to_long(features.event_stats(vitals(spark, sf_dir)), "vitals"),
         "labs": features.stats_to_long(features.event_stats(lines), "labs"),
         "rx": features.block_to_long(rx, "rx"),
-        "calendar": features.block_to_long(features.calendar(index(spark, sf_dir)), "calendar"),
+        "calendar": features.block_to_long(features.calendar(stay), "calendar"),
     }
 
 
