@@ -1,0 +1,174 @@
+"""Queries: model fits, calibration, importances and scoring.
+
+Fits are not expressible in SQL, so most of these carry no oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from staylens.operators import explain, metrics, models, sampling
+from staylens.plans import bindings as b
+from staylens.plans import build
+from staylens.plans.registry import query
+from staylens.session import settle
+
+FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "distinct_share"]
+TREES = {"maxIter": 5, "maxDepth": 3}
+SEED = 42
+
+
+def document_rows(spark, d):
+    """Labelled documents with simple whole-text features and a shared split."""
+    text = F.col("text")
+    words = F.split(F.lower(text), r"\s+")
+    size = F.greatest(F.length(text), F.lit(1))
+    docs = b.table(spark, d, "documents").select(
+        F.col("doc_id").alias("entity_id"),
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(words).cast("double").alias("n_words"),
+        F.size(F.split(text, "\n")).cast("double").alias("n_lines"),
+        (F.length(F.regexp_replace(text, "[^0-9]", "")) / size).alias("digit_share"),
+        (F.length(F.regexp_replace(text, "[^A-Z]", "")) / size).alias("upper_share"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
+    )
+    labels = b.table(spark, d, "labels").withColumnRenamed("doc_id", "entity_id")
+    rows = docs.join(labels, "entity_id")
+    return settle(sampling.stratified_split(rows, "entity_id", "quality", seed=SEED))
+
+
+def _split(rows, name):
+    return rows.filter(F.col("split") == name)
+
+
+@query("fit_logistic_baseline")
+def fit_logistic_baseline(spark, d):
+    """Validation AUC of the baseline per target."""
+    rows = document_rows(spark, d)
+    out = None
+    for target in ("quality", "toxic"):
+        fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, target, max_iter=50)
+        scored = models.predict(fitted, _split(rows, "val"))
+        auc = metrics.roc_auc(scored, target).select(
+            F.lit(target).alias("target"), F.col("auc").alias("baseline_val_auc")
+        )
+        out = auc if out is None else out.unionByName(auc)
+    return out
+
+
+@query("fit_gbt")
+def fit_gbt(spark, d):
+    """Test metrics of the calibrated train-only model and the full model."""
+    rows = document_rows(spark, d)
+    fitted = models.fit_target(rows, FEATURES, TREES, "quality", True, SEED)
+    test = models.predict(fitted.base, _split(rows, "test"), "base_raw")
+    test = models.calibrate(test, fitted.calibrator, "base_raw", "base_cal")
+    test = models.predict(fitted.full, test, "full_raw")
+    scored = settle(
+        test.select(F.lit("quality").alias("target"), F.col("quality").alias("y"),
+                    "base_raw", "base_cal", "full_raw")
+    )
+    return metrics.compare_models(scored, ["full_raw", "base_raw", "base_cal"])
+
+
+@query("cv_tune")
+def cv_tune(spark, d):
+    """Mean fold AUC of a few drawn parameter sets."""
+    rows = _split(document_rows(spark, d), "train")
+    trials = models.draw_params(2, SEED, {**models.SEARCH_RANGES, "maxIter": (3, 6, "int"),
+                                          "maxDepth": (2, 3, "int")})
+    return models.tune(rows, FEATURES, trials, 3, "quality", seed=SEED)
+
+
+@query("isotonic_scores")
+def isotonic_scores(spark, d):
+    """Every scored document with its isotonic calibration."""
+    rows = b.scored(spark, d).filter(F.col("target") == "quality")
+    calibrator = models.fit_calibrator(rows, "p", "y")
+    return models.calibrate(rows.select("entity_id", "y", "p"), calibrator, "p", "p_cal")
+
+
+def _trees(spark, d):
+    rows = document_rows(spark, d)
+    return rows, models.boosted_trees(_split(rows, "train"), FEATURES, TREES, "quality", SEED)
+
+
+@query("gain_importance")
+def gain_importance(spark, d):
+    """Native importance of the tree model."""
+    _, fitted = _trees(spark, d)
+    return models.gain_importance(fitted, FEATURES, spark)
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    """AUC lost per shuffled feature on the test split."""
+    rows, fitted = _trees(spark, d)
+    test = _split(rows, "test").withColumnRenamed("quality", "y")
+    return explain.permutation_importance(
+        test, FEATURES, lambda df: models.predict(fitted, df), seed=SEED
+    )
+
+
+@query("logistic_contributions")
+def logistic_contributions(spark, d):
+    """Mean absolute contribution of every feature to the baseline."""
+    rows = document_rows(spark, d)
+    fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, "quality", max_iter=50)
+    weights = models.logistic_weights(fitted, FEATURES, spark)
+    long = rows.unpivot(["entity_id"], FEATURES, "feature", "value")
+    return explain.mean_abs_contribution(explain.linear_contributions(long, weights))
+
+
+def surrogate_sources(spark, d) -> build.Sources:
+    """Sources of the end-to-end build, all taken from orders, lines and parts."""
+    first = b.first_stays(spark, d)
+    lines = b.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("stay_id"),
+        F.col("l_partkey").alias("item_id"),
+        F.col("l_extendedprice").alias("value"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_returnflag").alias("item_label"),
+        F.col("l_shipdate").alias("t"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("event_id"),
+    )
+    parts = b.items(spark, d)
+    named = parts.select("item_id", F.col("label").alias("item_label"))
+    drugs = lines.join(parts.select("item_id", "drug"), "item_id")
+    return build.Sources(
+        stays=b.stays(spark, d),
+        entities=b.entities(spark, d, first),
+        vitals=lines.drop("value").withColumnRenamed("quantity", "value"),
+        labs=lines.drop("item_label", "quantity"),
+        rx=drugs.drop("item_label"),
+        proc=lines.select("stay_id", "item_id", "item_label", "t"),
+        lab_items=named,
+    )
+
+
+def surrogate_config() -> build.Config:
+    return build.Config(
+        window_hours=b.LAB_HOURS,
+        prolonged_days=b.PROLONGED_DAYS,
+        category_rules=b.SEGMENT_RULES,
+        drug_patterns=b.ITEM_PATTERNS,
+        procedure_patterns={"proc_returned_any": ["r"], "proc_accepted_any": ["a"]},
+    )
+
+
+@query("training_build")
+def training_build(spark, d):
+    """Rows and entities per step of the training-side build."""
+    return build.build_training(surrogate_sources(spark, d), None, surrogate_config()).counts
+
+
+@query("score_unseen")
+def score_unseen(spark, d):
+    """Train on the cohort, then score every customer."""
+    sources, config = surrogate_sources(spark, d), surrogate_config()
+    training = build.build_training(sources, None, config)
+    rows = settle(build.training_rows(training, config.seed))
+    params = {t: TREES for t in build.TARGETS}
+    fitted = build.fit_all(rows, training.names, params, seed=config.seed)
+    everyone = sources.entities.select("entity_id")
+    return build.score_unseen(sources, everyone, fitted, training.names, config)
