@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators.metrics import roc_auc
 from staylens.operators.ranking import hash_rank
+from staylens.session import attach
 
 TOP_IMPORTANCE = 25
 
@@ -21,7 +22,7 @@ def linear_contributions(long: DataFrame, weights: DataFrame) -> DataFrame:
     means = long.groupBy("feature").agg(F.avg("value").alias("mean"))
     table = weights.join(means, "feature")
     part = F.col("weight") * (F.col("value") - F.col("mean"))
-    return long.join(table, "feature").select(
+    return attach(long, table, "feature").select(
         "entity_id", "feature", part.alias("contribution")
     )
 

@@ -21,6 +21,7 @@ from staylens.functions.numbers import (
 )
 from staylens.operators.ranking import cumulative_values, exact_quantiles
 from staylens.operators.sampling import bootstrap
+from staylens.session import attach
 
 
 def score_counts(
@@ -299,7 +300,7 @@ def reliability(
     inner = exact_quantiles(df, p, probs, keys)
     if keys:
         edges = inner.groupBy(*keys).agg(F.collect_list("value").alias("edges"))
-        binned = df.join(edges, list(keys))
+        binned = attach(df, edges, list(keys))
         edge_list = F.col("edges")
     else:
         edge_list = inner.agg(F.collect_list("value")).scalar()
@@ -361,7 +362,7 @@ def summary(
 
     ``thresholds`` has one row per target: (target, threshold).
     """
-    with_thr = scored.join(thresholds.select(key, "threshold"), key)
+    with_thr = attach(scored, thresholds.select(key, "threshold"), key)
     rates = confusion(with_thr, F.col("threshold"), y, p, [key, "threshold"]).select(
         key,
         "threshold",

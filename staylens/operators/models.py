@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from staylens.functions.text import quoted
 from staylens.operators.metrics import best_threshold, roc_auc
 from staylens.operators.sampling import downsample_majority, stratified_folds
+from staylens.session import settle
 
 # Search ranges of the tree parameters.
 SEARCH_RANGES = {
@@ -130,7 +131,7 @@ def tune(
     and a sample of its negatives.  All validation predictions are ranked
     together in one job keyed by trial and fold.
     """
-    folded = stratified_folds(train, key, y, folds, seed).persist()
+    folded = settle(stratified_folds(train, key, y, folds, seed))
     held = []
     for number, params in enumerate(trials):
         for fold in range(folds):
@@ -214,10 +215,10 @@ def fit_target(
     valid = rows.filter(F.col("split") == "val")
     base = boosted_trees(train, features, params, y, seed)
     full = boosted_trees(train.unionByName(valid), features, params, y, seed) if with_full else None
-    raw = predict(base, valid, "p_raw").select(y, "p_raw").persist()
+    raw = predict(base, valid, "p_raw").select(y, "p_raw")
+    raw = settle(raw)
     calibrator = fit_calibrator(raw, "p_raw", y)
     best = best_threshold(calibrate(raw, calibrator), y=y, p="p").first()
-    raw.unpersist()
     return TargetModel(base, full, calibrator, float(best["threshold"]))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.hashing import HASH_SPAN, portable_hash
 from staylens.operators.ranking import hash_rank
+from staylens.session import attach, settle
 
 BUCKET_SHIFT = 16  # 2^16 hash buckets per stratum
 
@@ -32,7 +33,7 @@ def hash_slices(
     start.  A histogram of hash buckets locates each cut, only the buckets that
     hold a cut are ranked, and the rows are then labelled by comparing their own
     hash with the cut: no shuffle or sort of the rows themselves, however large
-    a single stratum is.
+    a single stratum is.  The cuts are found when the function is called.
     """
     strata = list(strata)
     keyed = df.withColumn("_h", portable_hash(F.col(key), seed))
@@ -62,19 +63,20 @@ def hash_slices(
         .filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
         .drop("_n")
     )
+    wanted = settle(wanted)  # one row per stratum and cut
     in_bucket = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     boundary = slim.join(wanted.select(*strata, "_b").distinct(), [*strata, "_b"], "left_semi")
     ranked = boundary.withColumn("_r", F.row_number().over(in_bucket) - 1)
     found = ranked.join(wanted, [*strata, "_b"]).filter(F.col("_r") == F.col("_at"))
     here = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
-    points = [F.max(F.when(F.col("_j") == j, here)).alias(f"_cut{j}") for j in range(len(ranks))]
+    names = [f"_cut{j}" for j in range(len(ranks))]
+    points = [F.max(F.when(F.col("_j") == j, here)).alias(n) for j, n in enumerate(names)]
     if strata:
-        table = found.groupBy(*strata).agg(*points)
-        limits = [F.col(f"_cut{j}") for j in range(len(ranks))]
-        keyed = keyed.join(table, strata, "left")
+        keyed = attach(keyed, found.groupBy(*strata).agg(*points), strata, "left")
+        limits = [F.col(n) for n in names]
     else:
-        table = found.agg(*points)
-        limits = [table.select(f"_cut{j}").scalar() for j in range(len(ranks))]
+        row = settle(found.agg(*points)).select(F.struct(*names)).scalar()
+        limits = [row[n] for n in names]
     label = F.lit(0)
     for limit in limits:
         label = label + F.coalesce((here >= limit).cast("int"), F.lit(0))

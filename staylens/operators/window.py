@@ -38,18 +38,22 @@ def early_window(
     anchor: str = "admit",
     hours: int = WINDOW_HOURS,
     mode: str = "clock_hour",
+    carry: Sequence[str] = (),
     prune_scan: bool = False,
 ) -> DataFrame:
     """Events inside the window of their index stay; adds the anchor column.
 
+    ``carry`` names further index columns to take along; they replace event
+    columns of the same name.
+
     No broadcast hint: the index side grows with the data, so Spark picks the
     strategy from its statistics, and AQE splits a stay that holds a large
     share of the events.  ``prune_scan`` adds the global time bounds of the
     index as scalar subqueries on the event time, which reach the Parquet
     reader and skip row groups; it is worth it when the index is materialised.
     """
-    right = index.select(on, anchor)
-    rows = events.filter(F.col(time).isNotNull())
+    right = index.select(on, anchor, *carry)
+    rows = events.drop(anchor, *carry).filter(F.col(time).isNotNull())
     if prune_scan:
         low = right.agg(times.floor_hour(F.min(anchor))).scalar()
         high = right.agg(times.plus_hours(times.floor_hour(F.max(anchor)), hours + 1)).scalar()

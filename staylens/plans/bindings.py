@@ -207,9 +207,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stay_lines(spark: SparkSession, sf_dir: str, stay: DataFrame | None = None) -> DataFrame:
     """Lines of the index stay within the first year."""
     stay = index(spark, sf_dir) if stay is None else stay
-    rows = order_lines(spark, sf_dir).filter(F.col("t").isNotNull())
-    rows = rows.join(stay.select("stay_id", "admit", "entity_id"), "stay_id")
-    return rows.filter(window.in_window(F.col("t"), F.col("admit"), LAB_HOURS))
+    lines = order_lines(spark, sf_dir)
+    return window.early_window(lines, stay, hours=LAB_HOURS, carry=["entity_id"])
 
 
 def labs(spark: SparkSession, sf_dir: str, stay: DataFrame | None = None) -> DataFrame:

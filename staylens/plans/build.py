@@ -76,16 +76,14 @@ class Training:
 
 # --- slices ----------------------------------------------------------------
 def _sliced(events: DataFrame, index: DataFrame, config: Config) -> DataFrame:
-    kept = window.early_window(
+    return window.early_window(
         events,
         index,
         hours=config.window_hours,
         mode=config.window_mode,
+        carry=["entity_id"],
         prune_scan=True,
     )
-    return cohort.within_cohort(kept, index, "stay_id").drop("entity_id").join(
-        index.select("stay_id", "entity_id"), "stay_id"
-    )
 
 
 def measured_slice(
@@ -97,9 +95,10 @@ def measured_slice(
 ) -> DataFrame:
     """Windowed measurements with their item label; unknown items are dropped."""
     rows = events.filter(F.col("value").isNotNull()) if require_value else events
-    if items is not None:
-        rows = window.join_items(rows, items.select("item_id", "item_label"), "item_id", "inner")
-    return _sliced(rows, index, config)
+    rows = _sliced(rows, index, config)
+    if items is None:
+        return rows
+    return window.join_items(rows, items.select("item_id", "item_label"), "item_id", "inner")
 
 
 def order_slice(events: DataFrame, index: DataFrame, config: Config) -> DataFrame:
@@ -111,10 +110,10 @@ def procedure_slice(
     events: DataFrame, items: DataFrame | None, index: DataFrame, config: Config
 ) -> DataFrame:
     """Windowed procedures; the label is NULL where the item is unknown."""
-    if items is not None:
-        labelled = items.select("item_id", "item_label")
-        events = window.join_items(events, labelled, "item_id", "left")
-    return _sliced(events, index, config)
+    rows = _sliced(events, index, config)
+    if items is None:
+        return rows
+    return window.join_items(rows, items.select("item_id", "item_label"), "item_id", "left")
 
 
 def modality_bundle(sources: Sources, index: DataFrame, config: Config) -> dict[str, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,18 @@ def build_session(
     return tune(builder.getOrCreate())
 
 
+def attach(
+    rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join large rows with a lookup table that is expected to be small.
+
+    The table is settled first, so the planner knows its true size: below the
+    broadcast threshold the rows are not shuffled at all (their keys are often
+    few and hot), above it Spark falls back to a shuffled, skew-aware join.
+    """
+    return rows.join(settle(table), on, how)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
