@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING_TEXT = "none"
@@ -47,6 +47,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a frame, safe for names with dots."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def lowered(text: Column) -> Column:
     """Lower-cased text with NULL spelled out."""
     return F.lower(F.coalesce(text.cast("string"), F.lit(MISSING_TEXT)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions import times
 from staylens.functions.numbers import ratio_or_zero
-from staylens.functions.text import group_value
+from staylens.functions.text import columns_of, group_value, quoted
 from staylens.operators.metrics import ranking_metrics
 
 MIN_GROUP = 30
@@ -20,7 +20,7 @@ EVERYONE = "__everyone__"
 
 def indicator_value(column: str) -> Column:
     """Group value of an indicator column: its name after the underscore."""
-    return F.when(F.col(column) == 1, group_value(F.lit(column)))
+    return F.when(F.col(quoted(column)) == 1, group_value(F.lit(column)))
 
 
 def demographic_groups(
@@ -51,7 +51,7 @@ def explode_groups(
     ]
     present = F.filter(F.array(*members), lambda m: m[GROUP[1]].isNotNull())
     return df.select("*", F.explode(present).alias("_g")).select(
-        *df.columns, f"_g.{GROUP[0]}", f"_g.{GROUP[1]}"
+        *columns_of(df), f"_g.{GROUP[0]}", f"_g.{GROUP[1]}"
     )
 
 

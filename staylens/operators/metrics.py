@@ -301,11 +301,9 @@ def reliability(
     if keys:
         edges = inner.groupBy(*keys).agg(F.collect_list("value").alias("edges"))
         binned = attach(df, edges, list(keys))
-        edge_list = F.col("edges")
     else:
-        edge_list = inner.agg(F.collect_list("value")).scalar()
-        binned = df
-    bin_of = F.size(F.filter(edge_list, lambda e: e < F.col(p).cast("double")))
+        binned = df.withColumn("edges", inner.agg(F.collect_list("value")).scalar())
+    bin_of = F.size(F.filter("edges", lambda e: e < F.col(p).cast("double")))
     return (
         binned.withColumn("bin", bin_of)
         .groupBy(*keys, "bin")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.hashing import portable_hash
+from staylens.functions.text import columns_of
 
 CELLS_PER_BLOCK = 1024
 CELL_RESOLUTION = float(1 << 18)
@@ -61,7 +62,7 @@ def running_totals(
         rows.select("*", *sums)
         .join(offsets, place)
         .select(
-            *rows.columns,
+            *columns_of(rows),
             *[(F.col(f"cum_{m}") + F.col(f"before_{m}")).alias(f"cum_{m}") for m in measures],
             *[F.col(f"total_{m}") for m in measures],
         )

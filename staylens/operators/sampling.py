@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.hashing import HASH_SPAN, portable_hash
+from staylens.functions.text import columns_of
 from staylens.operators.ranking import hash_rank
 from staylens.session import attach, settle
 
@@ -80,7 +81,7 @@ def hash_slices(
     label = F.lit(0)
     for limit in limits:
         label = label + F.coalesce((here >= limit).cast("int"), F.lit(0))
-    return keyed.withColumn(name, label).select(*df.columns, name)
+    return keyed.withColumn(name, label).select(*columns_of(df), name)
 
 
 def stratified_split(
@@ -214,4 +215,4 @@ def bootstrap(
         .groupBy(*groups, "replicate", "_rank")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return ranked.join(draws, [*groups, "_rank"]).select(*df.columns, "replicate", "weight")
+    return ranked.join(draws, [*groups, "_rank"]).select(*columns_of(df), "replicate", "weight")

@@ -80,12 +80,24 @@ def cv_tune(spark, d):
     return models.tune(rows, FEATURES, trials, 3, "quality", seed=SEED)
 
 
-@query("isotonic_scores")
+@query(
+    "isotonic_scores",
+    f"""WITH {b.SCORED_SQL},
+g AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i
+      FROM scored WHERE target = 'quality' GROUP BY p),
+c AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn, s, n FROM g),
+m AS (SELECT a.i AS a, z.i AS z, (z.cs - a.cs + a.s) / (z.cn - a.cn + a.n) AS v FROM c a JOIN c z ON z.i >= a.i),
+lo AS (SELECT a, z, min(v) OVER (PARTITION BY a ORDER BY z DESC) AS v FROM m),
+f AS (SELECT z AS i, max(v) AS p_cal FROM lo GROUP BY z)
+SELECT x.entity_id, x.y, round(x.p, 9) AS p, round(f.p_cal, 6) AS p_cal
+FROM scored x JOIN g USING (p) JOIN f USING (i) WHERE x.target = 'quality'""",
+)
 def isotonic_scores(spark, d):
     """Every scored document with its isotonic calibration."""
     rows = b.scored(spark, d).filter(F.col("target") == "quality")
     calibrator = models.fit_calibrator(rows, "p", "y")
-    return models.calibrate(rows.select("entity_id", "y", "p"), calibrator, "p", "p_cal")
+    out = models.calibrate(rows.select("entity_id", "y", "p"), calibrator, "p", "p_cal")
+    return out.select("entity_id", "y", *b.ends(("p", 9), ("p_cal", 6)))
 
 
 def _trees(spark, d):
@@ -156,7 +168,16 @@ def surrogate_config() -> build.Config:
     )
 
 
-@query("training_build")
+@query(
+    "training_build",
+    f"""{b.COHORT_SQL},
+w AS (SELECT i.entity_id FROM lineitem l JOIN idx i ON i.stay_id = l.l_orderkey
+      WHERE date_diff('hour', i.admit, l.l_shipdate) BETWEEN 0 AND 8760
+        AND i.entity_id IN (SELECT entity_id FROM label_table))
+SELECT 'index' AS modality, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities FROM idx
+UNION ALL SELECT 'labelled', count(*), count(DISTINCT entity_id) FROM label_table
+UNION ALL SELECT m, count(*), count(DISTINCT entity_id) FROM w, (VALUES ('vitals'), ('labs'), ('rx'), ('proc')) t(m) GROUP BY m""",
+)
 def training_build(spark, d):
     """Rows and entities per step of the training-side build."""
     return build.build_training(surrogate_sources(spark, d), None, surrogate_config()).counts

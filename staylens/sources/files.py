@@ -153,7 +153,7 @@ def _json_ids(spark: SparkSession, path: str, split: str) -> DataFrame | None:
                 break
     if field is None:
         return None
-    ids = doc.select(F.explode(field).cast("string").alias("v"))
+    ids = doc.select(F.explode(field).alias("v")).select(F.col("v").cast("string").alias("v"))
     return ids.filter(F.col("v").rlike(r"^\d+$")).select(F.col("v").cast("long").alias("entity_id"))
 
 
