@@ -53,8 +53,8 @@ o AS (
   WHERE date_diff('hour', i.admit, l.l_shipdate) BETWEEN 0 AND 8760),
 x AS (SELECT modality, date_diff('microsecond', a, t) / 3600000000.0::DOUBLE AS off,
              date_diff('hour', a, t) AS hb, h FROM o)
-SELECT modality, count(*) AS n_events, round(min(off), 6) AS min_offset_hours,
-       round(max(off), 6) AS max_offset_hours, max(hb) AS max_boundaries,
+SELECT modality, count(*) AS n_events, round(min(off), 3) AS min_offset_hours,
+       round(max(off), 3) AS max_offset_hours, max(hb) AS max_boundaries,
        count(*) FILTER (WHERE off < 0 OR off >= h) AS n_outside,
        round(avg((off < 0 OR off >= h)::INT), 6) AS violation_rate
 FROM x GROUP BY modality""",
@@ -65,7 +65,7 @@ def window_compliance(spark, d):
     lines = lines.select(F.lit("lines").alias("modality"), "admit", "t")
     out = window.window_compliance(events.unionByName(lines))
     return out.select(
-        "modality", "n_events", *b.ends(("min_offset_hours", 6), ("max_offset_hours", 6)),
+        "modality", "n_events", *b.ends(("min_offset_hours", 3), ("max_offset_hours", 3)),
         "max_boundaries", "n_outside", *b.ends(("violation_rate", 6)),
     )
 
@@ -438,7 +438,7 @@ def entity_attributes(spark, d):
 @query(
     "hour_boundaries",
     """SELECT event_id, date_diff('hour', anchor, ts) AS boundaries,
-       round(date_diff('microsecond', anchor, ts) / 3600000000.0::DOUBLE, 6) AS hours
+       round(date_diff('microsecond', anchor, ts) / 3600000000.0::DOUBLE, 2) AS hours
 FROM events JOIN (SELECT user_id, min(ts) AS anchor FROM events GROUP BY user_id) USING (user_id)""",
 )
 def hour_boundaries(spark, d):
@@ -446,7 +446,7 @@ def hour_boundaries(spark, d):
     return joined.select(
         "event_id",
         times.hour_boundaries(F.col("admit"), F.col("t")).alias("boundaries"),
-        F.round(times.hours_between(F.col("admit"), F.col("t")), 6).alias("hours"),
+        F.round(times.hours_between(F.col("admit"), F.col("t")), 2).alias("hours"),
     )
 
 
