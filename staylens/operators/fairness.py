@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from staylens.functions import times
 from staylens.functions.numbers import ratio_or_zero
 from staylens.functions.text import columns_of, group_value, quoted
-from staylens.operators.metrics import ranking_metrics
+from staylens.operators.metrics import score_metrics
 
 MIN_GROUP = 30
 DELTA = 0.05
@@ -65,34 +65,20 @@ def group_metrics(
 ) -> DataFrame:
     """Metrics per (target, category, value) with deltas to the whole target.
 
-    The whole target is one more group, so a single job ranks everything; its
-    values reach the other rows through a window over the small result.  A hot
-    group is no problem: counts combine on the map side and the ranking is
-    spread over score cells.
+    The whole target is one more group, so a single pass measures everything;
+    its values reach the other rows through a window over the small result.  A
+    hot group is no problem: counts combine on the map side and the ranking is
+    spread over score cells.  The threshold is constant per target.
     """
     if source not in scored.columns:
         scored = scored.withColumn(source, F.lit("score"))
     rows = explode_groups(scored, groups, everyone=True)
-    keys = [target, *GROUP]
-    picked, positive = F.col("p") >= F.col(threshold), F.col("y") == 1
-    gap = F.col("p") - F.col("y")
-    counts = rows.groupBy(*keys).agg(
-        F.max(source).alias(source),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(positive).alias("n_pos"),
-        F.avg(F.col("y").cast("double")).alias("prevalence"),
-        F.avg(gap * gap).alias("brier"),
-        F.max(threshold).alias("threshold"),
-        F.count_if(picked & positive).alias("tp"),
-        F.count_if(picked & ~positive).alias("fp"),
-        F.count_if(~picked & positive).alias("fn"),
-    )
-    ranks = ranking_metrics(rows, "y", "p", keys).select(*keys, "auc", "pr_auc")
+    keys = [target, source, *GROUP]
+    figures = score_metrics(rows, "y", "p", keys, threshold=threshold)
+    figures = figures.withColumnRenamed(threshold, "threshold")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    f1_safe = ratio_or_zero(2 * tp, 2 * tp + fp + fn)
     joined = (
-        counts.join(ranks, keys)
-        .withColumn("f1_safe", f1_safe)
+        figures.withColumn("f1_safe", ratio_or_zero(2 * tp, 2 * tp + fp + fn))
         .withColumn("f1", F.when(F.col("n_pos") > 0, F.col("f1_safe")))
         .withColumn("precision", ratio_or_zero(tp, tp + fp))
         .withColumn("recall", ratio_or_zero(tp, tp + fn))

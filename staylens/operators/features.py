@@ -19,6 +19,7 @@ from staylens.functions import text, times
 from staylens.functions.hashing import order_key
 from staylens.functions.numbers import bool_to_int, nan_to_null, to_number
 from staylens.functions.text import quoted
+from staylens.session import settle
 
 SCHEMA_VERSION = "2025-missingness-v1"  # fixed value, stored with the provenance
 TOP_LABELS = 5000
@@ -69,9 +70,10 @@ def event_stats(
 ) -> DataFrame:
     """Statistics per (entity, label): mean, std, min, max, range, last, count.
 
-    One hash aggregate over the events.  The label cap is applied afterwards on
-    the much smaller result, whose counts add up to the label frequencies, so
-    the events are read once.
+    One hash aggregate over the events.  The label cap is applied afterwards:
+    the counts of the result add up to the label frequencies.  The result is
+    settled for that, because the optimizer would otherwise push the cap below
+    the aggregate and read the events a second time.
     """
     rows = clean_events(events, label, value, time)
     if labels is not None:
@@ -86,6 +88,7 @@ def event_stats(
         F.count(value).alias("count"),
     )
     if max_labels is not None:
+        stats = settle(stats)
         counts = stats.groupBy("label").agg(F.sum("count").alias("n"))
         # at most max_labels names: small by construction
         kept = F.broadcast(top_labels(counts, max_labels).select("label"))

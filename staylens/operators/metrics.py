@@ -63,8 +63,8 @@ def ranked_scores(
         "score",
         "pos",
         "neg",
-        F.col("total_pos").alias("n_pos"),
-        F.col("total_neg").alias("n_neg"),
+        F.col("total_pos").alias("all_pos"),
+        F.col("total_neg").alias("all_neg"),
         (F.col("total_pos") - F.col("cum_pos")).alias("tp_above"),
         (F.col("total_neg") - F.col("cum_neg")).alias("fp_above"),
         (F.col("total_pos") - F.col("cum_pos") + F.col("pos")).alias("tp"),
@@ -84,40 +84,69 @@ def _precision(tp: str, fp: str) -> Column:
 
 # Each adds up over ranked scores.
 def _auc() -> Column:
-    below = _d("n_neg") - _d("fp")
+    below = _d("all_neg") - _d("fp")
     area = F.sum(_d("pos") * (below + _d("neg") / 2))
-    pairs = F.max(_d("n_pos")) * F.max(_d("n_neg"))
+    pairs = F.max(_d("all_pos")) * F.max(_d("all_neg"))
     return F.when(pairs > 0, area / pairs)
 
 
 def _average_precision() -> Column:
-    total = F.max(_d("n_pos"))
+    total = F.max(_d("all_pos"))
     return F.when(total > 0, F.sum(_d("pos") * _precision("tp", "fp")) / total)
 
 
 def _pr_trapezoid() -> Column:
-    total = F.max(_d("n_pos"))
+    total = F.max(_d("all_pos"))
     height = (_precision("tp", "fp") + _precision("tp_above", "fp_above")) / 2
     return F.when(total > 0, F.sum(_d("pos") * height) / total)
 
 
-def ranking_metrics(
+def _brier() -> Column:
+    score = F.col("score")
+    miss, false = score - 1, score
+    loss = F.sum(_d("pos") * miss * miss + _d("neg") * false * false)
+    return loss / F.sum(_d("pos") + _d("neg"))
+
+
+def _picked(count: str, threshold: str, above: bool = True) -> Column:
+    """Rows of a class at or above (or below) the threshold."""
+    inside = F.col("score") >= F.col(threshold)
+    return F.coalesce(F.sum(F.when(inside if above else ~inside, F.col(count))), F.lit(0))
+
+
+def score_metrics(
     df: DataFrame,
     y: str = "y",
     p: str = "p",
     keys: Sequence[str] = (),
     weight: str | None = None,
+    threshold: str | None = None,
 ) -> DataFrame:
-    """AUC, average precision and trapezoidal PR area from one ranking."""
-    return (
-        ranked_scores(df, y, p, keys, weight)
-        .groupBy(*keys)
-        .agg(
-            _auc().alias("auc"),
-            _average_precision().alias("pr_auc"),
-            _pr_trapezoid().alias("pr_auc_trapezoid"),
-        )
-    )
+    """All metrics of a score in one pass over the data.
+
+    Once rows are counted per distinct score, AUC, both PR areas, Brier and
+    prevalence are sums over those counts.  With a ``threshold`` column (constant
+    per key) the confusion counts come along as tp, fp and fn.
+    """
+    extra = [threshold] if threshold else []
+    ranked = ranked_scores(df, y, p, [*keys, *extra], weight)
+    n, n_pos = F.sum(F.col("pos") + F.col("neg")), F.sum("pos")
+    figures = [
+        n.alias("n"),
+        n_pos.alias("n_pos"),
+        (n_pos / n).alias("prevalence"),
+        _auc().alias("auc"),
+        _average_precision().alias("pr_auc"),
+        _pr_trapezoid().alias("pr_auc_trapezoid"),
+        _brier().alias("brier"),
+    ]
+    if threshold:
+        figures += [
+            _picked("pos", threshold).alias("tp"),
+            _picked("neg", threshold).alias("fp"),
+            _picked("pos", threshold, False).alias("fn"),
+        ]
+    return ranked.groupBy(*keys, *extra).agg(*figures)
 
 
 def roc_auc(df, y="y", p="p", keys=(), weight=None) -> DataFrame:
@@ -149,8 +178,8 @@ def roc_curve(df, y="y", p="p", keys=(), weight=None) -> DataFrame:
     points = ranked.select(
         *keys,
         F.col("score").alias("threshold"),
-        F.try_divide(_d("fp"), _d("n_neg")).alias("fpr"),
-        F.try_divide(_d("tp"), _d("n_pos")).alias("tpr"),
+        F.try_divide(_d("fp"), _d("all_neg")).alias("fpr"),
+        F.try_divide(_d("tp"), _d("all_pos")).alias("tpr"),
     )
     origin = df.select(*keys, F.lit(None).cast("double").alias("threshold")).distinct()
     origin = origin.select("*", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -164,7 +193,7 @@ def pr_curve(df, y="y", p="p", keys=(), weight=None) -> DataFrame:
         *keys,
         F.col("score").alias("threshold"),
         _precision("tp", "fp").alias("precision"),
-        F.try_divide(_d("tp"), _d("n_pos")).alias("recall"),
+        F.try_divide(_d("tp"), _d("all_pos")).alias("recall"),
     )
     end = df.select(*keys, F.lit(None).cast("double").alias("threshold")).distinct()
     end = end.select("*", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
@@ -361,15 +390,17 @@ def summary(
     ``thresholds`` has one row per target: (target, threshold).
     """
     with_thr = attach(scored, thresholds.select(key, "threshold"), key)
-    rates = confusion(with_thr, F.col("threshold"), y, p, [key, "threshold"]).select(
+    figures = score_metrics(with_thr, y, p, [key], threshold="threshold")
+    return with_rates(figures).select(
         key,
+        "auc",
+        "pr_auc",
+        "brier",
         "threshold",
         F.col("f1").alias("f1_at_threshold"),
         F.col("precision").alias("precision_at_threshold"),
         F.col("recall").alias("recall_at_threshold"),
     )
-    ranks = ranking_metrics(scored, y, p, [key]).select(key, "auc", "pr_auc")
-    return ranks.join(brier(scored, y, p, [key]), key).join(rates, key)
 
 
 def compare_models(
@@ -378,13 +409,13 @@ def compare_models(
     """One row per target with AUC, PR-AUC and Brier of every score column."""
     tall = scored.select(key, y, *models).unpivot([key, y], list(models), "model", "p")
     keys = [key, "model"]
-    ranks = ranking_metrics(tall, y, "p", keys).join(brier(tall, y, "p", keys), keys)
+    figures = score_metrics(tall, y, "p", keys)
     columns = [
         F.max(F.when(F.col("model") == m, F.col(metric))).alias(f"{m}_{metric}")
         for m in models
         for metric in ("auc", "pr_auc", "brier")
     ]
-    return ranks.groupBy(key).agg(*columns)
+    return figures.groupBy(key).agg(*columns)
 
 
 def bootstrap_auc_diff(

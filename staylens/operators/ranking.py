@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.hashing import portable_hash
 from staylens.functions.text import columns_of
+from staylens.session import settle
 
 CELLS_PER_BLOCK = 1024
 CELL_RESOLUTION = float(1 << 18)
@@ -72,9 +73,13 @@ def running_totals(
 def cumulative_values(
     counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
 ) -> DataFrame:
-    """Running totals of an already grouped (keys, value) table, by value."""
+    """Running totals of an already grouped (keys, value) table, by value.
+
+    Cells, blocks and rows are three views of that table, so it is settled: the
+    data behind it is read once.
+    """
     placed = counts.withColumn("_cell", value_cell(F.col(value)))
-    placed = placed.withColumn("_block", block_of(F.col("_cell")))
+    placed = settle(placed.withColumn("_block", block_of(F.col("_cell"))))
     return running_totals(placed, keys, ["_block", "_cell"], [value], measures).drop(
         "_block", "_cell"
     )

@@ -207,7 +207,7 @@ def bootstrap(
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     groups = list(groups)
-    ranked = hash_rank(df, key, seed, groups, "_rank")
+    ranked = settle(hash_rank(df, key, seed, groups, "_rank"))
     slot = F.concat_ws(":", F.col("replicate").cast("string"), F.col("_rank").cast("string"))
     draws = (
         ranked.select(*groups, "_rank", "group_size", reps)

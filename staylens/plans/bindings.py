@@ -218,7 +218,7 @@ def labs(spark: SparkSession, sf_dir: str, stay: DataFrame | None = None) -> Dat
 
 def feature_blocks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Long blocks: two measured modalities, order flags and calendar parts."""
-    stay = index(spark, sf_dir)
+    stay = settle(index(spark, sf_dir))
     lines = labs(spark, sf_dir, stay)
     rx = features.count_and_flags(lines, column="drug", patterns=ITEM_PATTERNS)
     return {

@@ -301,8 +301,8 @@ SELECT target, round(auc, 6) AS auc, round(auc_stored, 6) AS auc_stored, round(a
 )
 def metric_sanity(spark, d):
     rows = b.scored(spark, d)
-    fresh = metrics.ranking_metrics(rows, keys=["target"])
-    stored = metrics.ranking_metrics(rows, p="p2", keys=["target"])
+    fresh = metrics.score_metrics(rows, keys=["target"])
+    stored = metrics.score_metrics(rows, p="p2", keys=["target"])
     out = metrics.metric_sanity(fresh, stored, ("auc", "pr_auc"))
     shown = ("auc", "auc_stored", "delta_auc", "delta_pr_auc")
     return out.select("target", *b.ends(*[(c, 6) for c in shown]), "sanity_flag")

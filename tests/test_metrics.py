@@ -60,7 +60,7 @@ def random_rows(seed, n=300, steps=40):
 def test_ranking_metrics_match_brute_force(spark):
     for seed in (1, 2):
         rows = random_rows(seed)
-        got = metrics.ranking_metrics(make(spark, rows)).first()
+        got = metrics.score_metrics(make(spark, rows)).first()
         assert got["auc"] == pytest.approx(brute_auc(rows), abs=1e-12)
         assert got["pr_auc"] == pytest.approx(brute_ap(rows), abs=1e-12)
         assert got["pr_auc_trapezoid"] == pytest.approx(brute_trapezoid(rows), abs=1e-12)
@@ -69,7 +69,7 @@ def test_ranking_metrics_match_brute_force(spark):
 def test_keys_weights_and_edge_scores(spark):
     rows = [("a", 1, 0.0, 2), ("a", 0, 1.0, 1), ("a", 0, 0.0, 1), ("b", 1, 1.0, 3), ("c", 0, 0.5, 1)]
     df = spark.createDataFrame(rows, "k string, y int, p double, w int")
-    got = {r["k"]: r for r in metrics.ranking_metrics(df, keys=["k"], weight="w").collect()}
+    got = {r["k"]: r for r in metrics.score_metrics(df, keys=["k"], weight="w").collect()}
     assert got["a"]["auc"] == pytest.approx(0.25)
     assert got["b"]["auc"] is None and got["b"]["pr_auc"] == 1.0
     assert got["c"]["auc"] is None and got["c"]["pr_auc"] is None
