@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def in_window(
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _between_anchors(index: DataFrame, anchor: str, t: Column, hours: int) -> Column:
+    """Constant time bounds that hold for every window of the index."""
+    low, high = index.agg(F.min(anchor), F.max(anchor)).first()
+    if low is None:
+        return F.lit(False)
+    low = low.replace(minute=0, second=0, microsecond=0)
+    high = high.replace(minute=0, second=0, microsecond=0) + timedelta(hours=hours + 1)
+    first, end = (F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz") for v in (low, high))
+    return (t >= first) & (t < end)
+
+
 def early_window(
     events: DataFrame,
     index: DataFrame,
@@ -48,16 +60,14 @@ def early_window(
 
     No broadcast hint: the index side grows with the data, so Spark picks the
     strategy from its statistics, and AQE splits a stay that holds a large
-    share of the events.  ``prune_scan`` adds the global time bounds of the
-    index as scalar subqueries on the event time, which reach the Parquet
-    reader and skip row groups; it is worth it when the index is materialised.
+    share of the events.  ``prune_scan`` first reads the smallest and largest
+    anchor and adds them as constant bounds on the event time, which reach the
+    Parquet reader and skip row groups; it is meant for a settled index.
     """
     right = index.select(on, anchor, *carry)
     rows = events.drop(anchor, *carry).filter(F.col(time).isNotNull())
     if prune_scan:
-        low = right.agg(times.floor_hour(F.min(anchor))).scalar()
-        high = right.agg(times.plus_hours(times.floor_hour(F.max(anchor)), hours + 1)).scalar()
-        rows = rows.filter((F.col(time) >= low) & (F.col(time) < high))
+        rows = rows.filter(_between_anchors(right, anchor, F.col(time), hours))
     joined = rows.join(right, on)
     return joined.filter(in_window(F.col(time), F.col(anchor), hours, mode))
 

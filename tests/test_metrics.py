@@ -57,7 +57,7 @@ def random_rows(seed, n=300, steps=40):
     return [(int(rng.random() < 0.3), rng.randrange(steps) / steps) for _ in range(n)]
 
 
-def test_ranking_metrics_match_brute_force(spark):
+def test_score_metrics_match_brute_force(spark):
     for seed in (1, 2):
         rows = random_rows(seed)
         got = metrics.score_metrics(make(spark, rows)).first()
