@@ -1,21 +1,11 @@
 """Shapes of physical plans that matter at scale."""
 
-import os
-
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from staylens.operators import features, prune, sampling, window
 from staylens.session import settle
 from tests.test_features import random_wide, wide_to_long
 
-SF_DIR = "/root/testdata/sf0.001"
-FITS = {
-    "fit_logistic_baseline", "fit_gbt", "cv_tune", "gain_importance", "permutation_importance",
-    "logistic_contributions", "score_unseen",
-}
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -48,11 +38,3 @@ def test_window_bounds_reach_the_reader(spark, tmp_path, frame):
     index = settle(frame([(1, "2020-01-01 00:00:00")], "stay_id bigint, admit ts"))
     text = plan(window.early_window(settle(events), index, prune_scan=True))
     assert "GreaterThanOrEqual(t,2020-01-01T00:00" in text and "LessThan(t,2020-01-03T01:00" in text
-
-
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - FITS))
-def test_queries_have_no_cross_joins_or_python(spark, name):
-    text = plan(contract.queries()[name](spark, SF_DIR))
-    for word in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas"):
-        assert word not in text, word
