@@ -34,7 +34,8 @@ def hash_slices(
     start.  A histogram of hash buckets locates each cut, only the buckets that
     hold a cut are ranked, and the rows are then labelled by comparing their own
     hash with the cut: no shuffle or sort of the rows themselves, however large
-    a single stratum is.  The cuts are found when the function is called.
+    a single stratum is.  The cuts are found when the function is called.  Strata
+    must not be NULL.
     """
     strata = list(strata)
     keyed = df.withColumn("_h", portable_hash(F.col(key), seed))

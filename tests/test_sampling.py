@@ -46,7 +46,7 @@ def test_split_is_stratified_and_partition_free(rows):
     assert all(got[i] == "train" for i in order[:cut1])
 
 
-def test_split_with_null_stratum(frame):
+def test_split_with_text_strata(frame):
     df = frame([(i, "a" if i % 2 else "b") for i in range(40)], "id bigint, s string")
     split = sampling.stratified_split(df, "id", "s", (0.5, 0.5), ("l", "r"))
     counts = Counter((r["s"], r["split"]) for r in split.collect())
