@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows handed to Python may hold long texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
@@ -64,16 +66,25 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
     The folder is the one named by ``spark.checkpoint.dir``, so the table
-    survives the loss of executors; only where the cluster names none (tests, a
-    laptop) a folder is created.  A Parquet table, unlike a checkpointed RDD,
+    survives the loss of executors.  A Parquet table, unlike a checkpointed RDD,
     keeps column pruning and gives later joins a known size.
     """
-    spark = df.sparkSession
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder.
+
+    Without ``spark.checkpoint.dir`` only a local session may make a folder of its own:
+    on a cluster each executor would write to its own disk.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="staylens-")
         context.setCheckpointDir(folder)
-    path = f"{folder}/staylens/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/staylens/{uuid.uuid4().hex}"
