@@ -4,11 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, simhash
+from staylens.llm import bpe, elias_fano, exact_dedup, packing, simhash
 from staylens.llm.rows import read
-from staylens.session import tune
+from staylens.session import scratch, tune
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+
+
+def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    docs = read(spark, sf_dir, "documents")
+    elias_fano.write(docs, path, public_tokenizers.path(BYTE_BPE), end_id=2)
+    return elias_fano.digests(spark, path)
+
+
+def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return packing.packed_table(docs, public_tokenizers.path(WORD_BPE), end_id=1).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +54,16 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 OPERATORS = (
+    (op4_elias_fano, None),
+    (op5_binary_packing, None),
     (op7_exact_dedup, OP7_SQL),
     (op8_simhash_dedup, None),
+    (op9_bpe_round_trip, None),
 )
 
 
