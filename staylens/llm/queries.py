@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import bpe, elias_fano, exact_dedup, packing, simhash
+from staylens.llm import bpe, elias_fano, exact_dedup, packing, secrets, simhash, sketch
 from staylens.llm.rows import read
 from staylens.session import scratch, tune
 
@@ -16,6 +16,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     docs = read(spark, sf_dir, "documents")
@@ -58,12 +62,20 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+    )
+
+
 OPERATORS = (
+    (op2_scaled_sketch, None),
     (op4_elias_fano, None),
     (op5_binary_packing, None),
     (op7_exact_dedup, OP7_SQL),
     (op8_simhash_dedup, None),
     (op9_bpe_round_trip, None),
+    (op10_secret_scan, None),
 )
 
 
