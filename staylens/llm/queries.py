@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from staylens.llm import bpe, elias_fano, exact_dedup, packing, secrets, simhash, sketch
-from staylens.llm.rows import read
+from pyspark.sql import functions as F
+
+from staylens.llm import (
+    bpe,
+    elias_fano,
+    exact_dedup,
+    language,
+    packing,
+    revisits,
+    secrets,
+    simhash,
+    sketch,
+    toxicity,
+)
+from staylens.llm.rows import read, ship
 from staylens.session import scratch, tune
 
 
@@ -16,6 +28,15 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return toxicity.toxic_scores(docs, labels).drop("raw")
+
+
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -34,6 +55,62 @@ def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisits of a crawl log derived from ``pages``; headers written in order."""
+    log = revisits.captures(read(spark, sf_dir, "pages"))
+    entries = F.array_sort(F.map_entries("headers"))
+    pairs = F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"]))
+    written = F.array_join(pairs, ";")
+    return (
+        revisits.resolve(log).withColumn("headers", written).withColumnRenamed("at", "revisit_at")
+    )
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, page_id % 5 = 2 AS timed FROM pages
+), log AS (
+  SELECT 2 * page_id AS record_id, true AS full_, url, 10 * page_id AS moment,
+         CASE WHEN NOT timed THEN md5(html) END AS etag,
+         CASE WHEN timed THEN page_id::VARCHAR END AS modified,
+         length(html) AS size, (10 * page_id)::VARCHAR AS day FROM p
+  UNION ALL
+  SELECT 2 * page_id + 1, false, url || CASE WHEN page_id % 2 = 0 THEN '#seen' ELSE '' END,
+         10 * page_id + CASE WHEN page_id % 7 = 0 THEN -4 ELSE page_id % 1000 END,
+         CASE WHEN page_id % 11 = 0 THEN 'changed' WHEN NOT timed THEN md5(html) END,
+         CASE WHEN timed THEN page_id::VARCHAR END, 0, (10 * page_id + 5)::VARCHAR FROM p
+), cut AS (
+  SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare
+  FROM log
+), parts AS (
+  SELECT *, split_part(bare, '?', 1) AS address,
+         list_sort([x FOR x IN string_split(regexp_extract(bare, '\?(.*)$', 1), '&')
+           IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)')]) AS kept
+  FROM cut
+), keyed AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(address, '^[^/]*')), '^(www\.|m\.)', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(address, '/.*$'), '(/index\.html?)?/*$', '')
+         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS key
+  FROM parts
+), found AS (
+  SELECT r.record_id, r.key, r.moment, r.etag, r.modified, r.day,
+         arg_max(f, (f.moment, f.record_id)) AS f
+  FROM keyed r LEFT JOIN keyed f ON f.full_ AND f.key = r.key AND f.moment < r.moment
+  WHERE NOT r.full_
+  GROUP BY ALL
+), judged AS (
+  SELECT *, CASE WHEN f.record_id IS NULL THEN 'unresolved' WHEN etag = f.etag THEN 'etag'
+    WHEN etag IS NULL AND f.etag IS NULL AND modified = f.modified THEN 'last_modified'
+    ELSE 'mismatch' END AS status
+  FROM found
+)
+SELECT record_id, key AS canonical_url, moment AS revisit_at, f.record_id AS response_id, f.moment AS response_at, status,
+       CASE WHEN status IN ('etag', 'last_modified')
+            THEN 'content-length=' || f.size || ';content-type=text/html;date=' || day || ';expires=never' END AS headers
+FROM judged
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"))
 
@@ -69,9 +146,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
+    (op1_language_id, None),
     (op2_scaled_sketch, None),
+    (op3_toxicity, None),
     (op4_elias_fano, None),
     (op5_binary_packing, None),
+    (op6_revisits, OP6_SQL),
     (op7_exact_dedup, OP7_SQL),
     (op8_simhash_dedup, None),
     (op9_bpe_round_trip, None),
@@ -81,6 +161,7 @@ OPERATORS = (
 
 def _tuned(build: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return build(tune(spark), sf_dir)
 
     run.__doc__ = build.__doc__

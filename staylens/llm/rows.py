@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +18,23 @@ HOT_PARTS = 1024
 HOT_FLOOR = 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this library, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_staylens_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="staylens-"), "staylens.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.relpath(file, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._staylens_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
