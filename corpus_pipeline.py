@@ -10,7 +10,11 @@ from staylens.llm.rows import read
 from staylens.session import settle, tune
 
 STAGES = [
-    ("exact_dedup", stages.exact_dedup_stage),
+    ("toxicity", stages.reject_toxic),
+    ("exact_dedup", stages.drop_copies),
+    ("simhash_dedup", stages.drop_near_copies),
+    ("secret_scan", stages.blank_secrets),
+    ("packing", stages.pack_tokens),
 ]
 
 # Hashes, tokenizers and a learned model have no SQL; the stages are tested against

@@ -243,26 +243,9 @@ def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def survivors(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Copies are recognised by (id, hash of the raw text).  Rows that repeat both are
-    indistinguishable to that test, so those few go through a distinct of their own.
-    """
-    members = settle(build(docs, capacity=capacity).members.select("doc_id", "raw", "kept"))
-    again = settle(
-        members.groupBy("doc_id", "raw")
-        .agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-        .where("n > 1")
-        .select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), "kept")
-    )
-    gone = members.where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")
-    )
-    named = docs.withColumn("__hash", F.xxhash64(rows.text_or_empty()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-        F.col("__hash") == F.col("__raw")
+    """The rows of ``docs`` that stay, with all their columns."""
+    members = settle(
+        build(docs, capacity=capacity).members.where("group_size > 1")
+        .select("doc_id", "raw", F.col("kept").alias("stays"))
     )
-    lone = named.join(gone, same, "left_anti")
-    repeated = again.where("kept").drop("kept")
-    twice = named.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return lone.unionByName(twice).drop("__hash")
+    return rows.without(docs, members)

@@ -68,3 +68,25 @@ def shares(counts: DataFrame, n: str = "n") -> tuple[DataFrame, int]:
     total = counts.agg(F.sum(n)).first()[0] or 0
     share = max(HOT_FLOOR, -(-total // HOT_PARTS))
     return counts.where(F.col(n) > share), share
+
+
+def without(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``members`` (doc_id, raw, stays) marks to go.
+
+    Rows are recognised by id and hash of the text.  Members that repeat both are
+    indistinguishable to that test: of those that may stay one is kept.
+    """
+    named = members.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), "stays")
+    named = named.groupBy("__id", "__raw").agg(
+        F.count("*").alias("n"), F.max("stays").alias("stays")
+    )
+    gone, again = named.where("n > 1 or not stays"), named.where("n > 1 and stays")
+    rows_ = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
+        F.col("__hash") == F.col("__raw")
+    )
+    lone = rows_.join(gone.select("__id", "__raw"), same, "left_anti")
+    if again.isEmpty():
+        return lone.drop("__hash")
+    one = rows_.join(again.select("__id", "__raw"), same, "left_semi")
+    return lone.unionByName(one.dropDuplicates(["doc_id", "__hash"])).drop("__hash")

@@ -226,23 +226,37 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """fp, component_id for every distinct fingerprint of ``prints`` (doc_id, fp)."""
+    """fp, root, component_id for every distinct fingerprint of ``prints`` (doc_id, fp);
+    root is the component's least fingerprint."""
     least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = label_components(links(least.select("fp")))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
 
 
 def near_groups(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, raw, fingerprint (16 hex digits), component_id."""
+    """One row per document: doc_id, raw, root, fingerprint (16 hex digits), component_id."""
     prints = settle(fingerprints(docs, words_per_shingle))
     found = settle(components(prints))
     return prints.join(found, "fp").select(
         "doc_id",
         "raw",
+        "root",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def survivors(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their columns: the one
+    of smallest id, a NULL id last, and of one id the smallest text hash."""
+    groups = settle(near_groups(docs, words_per_shingle).select("doc_id", "raw", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
+    many = groups.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("k")).where("n > 1")
+    members = groups.join(many, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("raw") == F.col("k.raw"))
+    gone = settle(members.select("doc_id", "raw", stays.alias("stays")))
+    return rows.without(docs, gone)
