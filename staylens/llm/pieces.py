@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 1_500_000  # pieces a worker remembers, about 40 bytes each
+REMEMBERED = 1_000_000  # pieces a worker remembers, about 40 bytes each
 LONGEST = 64  # bytes of a piece worth remembering
-BYTES_AT_ONCE = 24 << 20  # of text
+BYTES_AT_ONCE = 6 << 20  # of text
 
 # A letter followed by closing marks: the marks are tokens of their own.
 CORE_AND_TAIL = r"(?s)^(?P<core>.*\p{L})(?P<tail>[.,]+)$"
