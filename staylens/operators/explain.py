@@ -11,8 +11,6 @@ from staylens.operators.metrics import roc_auc
 from staylens.operators.ranking import hash_rank
 from staylens.session import attach
 
-TOP_IMPORTANCE = 25
-
 
 def linear_contributions(long: DataFrame, weights: DataFrame) -> DataFrame:
     """Per row and feature w * (x - mean) of a linear model.
@@ -27,7 +25,7 @@ def linear_contributions(long: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def mean_abs_contribution(contributions: DataFrame, top_k: int | None = TOP_IMPORTANCE) -> DataFrame:
+def mean_abs_contribution(contributions: DataFrame, top_k: int | None = None) -> DataFrame:
     """Global importance: mean absolute contribution, largest first."""
     out = contributions.groupBy("feature").agg(
         F.avg(F.abs("contribution")).alias("mean_abs_contribution")

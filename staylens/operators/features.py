@@ -22,7 +22,6 @@ from staylens.functions.text import quoted
 from staylens.session import settle
 
 SCHEMA_VERSION = "2025-missingness-v1"  # fixed value, stored with the provenance
-TOP_LABELS = 5000
 STATS = ("mean", "std", "min", "max", "range", "last", "count", "measured")
 LONG = ("entity_id", "modality", "label", "stat", "feature", "value")
 LEAKAGE_TEXT = "los_hours"
@@ -53,7 +52,7 @@ def last_value(events: DataFrame, value: str, time: str, tie: str) -> Column:
     return F.max_by(value, F.struct(time, tie))
 
 
-def top_labels(counts: DataFrame, k: int = TOP_LABELS) -> DataFrame:
+def top_labels(counts: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent labels of (label, n), ties by label."""
     return counts.orderBy(F.col("n").desc(), "label").limit(k)
 
@@ -65,7 +64,7 @@ def event_stats(
     value: str = "value",
     time: str = "t",
     tie: str = "event_id",
-    max_labels: int | None = TOP_LABELS,
+    max_labels: int | None = None,
     labels: Sequence[str] | None = None,
 ) -> DataFrame:
     """Statistics per (entity, label): mean, std, min, max, range, last, count.
@@ -307,8 +306,15 @@ def modality_counts(parts: Mapping[str, DataFrame], entity: str = "entity_id") -
     )
 
 
-def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features and labels by entity key (never by position)."""
+def join_labels(features: DataFrame, labels: DataFrame, strict: bool = True) -> DataFrame:
+    """Features and labels by entity key (never by position).
+
+    A labelled entity without features is an error; ``strict=False`` leaves it out.
+    """
+    if strict:
+        lost = labels.join(features.select("entity_id"), "entity_id", "left_anti")
+        if not lost.isEmpty():
+            raise ValueError(f"{lost.count()} labelled entities have no features")
     return labels.join(features, "entity_id")
 
 

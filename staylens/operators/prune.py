@@ -12,7 +12,6 @@ from staylens.functions.numbers import zscore
 from staylens.functions.text import quoted
 
 MIN_SUPPORT = 10
-TOP_FEATURES = 1500
 HASH_SAMPLE = 10
 
 
@@ -64,7 +63,7 @@ def feature_profile(long: DataFrame, n_entities: Column | int) -> DataFrame:
 
 
 def kept_features(
-    profile: DataFrame, min_support: int = MIN_SUPPORT, top_k: int | None = TOP_FEATURES
+    profile: DataFrame, min_support: int = MIN_SUPPORT, top_k: int | None = None
 ) -> DataFrame:
     """Schema of the features that survive: (ordinal, feature, support, variance, score).
 
@@ -101,7 +100,7 @@ def prune(
     long: DataFrame,
     n_entities: Column | int,
     min_support: int = MIN_SUPPORT,
-    top_k: int | None = TOP_FEATURES,
+    top_k: int | None = None,
 ) -> DataFrame:
     """feature_long reduced to the kept features."""
     schema = kept_features(feature_profile(long, n_entities), min_support, top_k)
@@ -227,13 +226,11 @@ def wide_variable_fraction(wide: DataFrame, count_null: bool = True) -> DataFram
         if count_null:
             mixed = (F.count(column) > 0) & (F.count(column) < F.count(F.lit(1)))
             varies = varies | mixed
-        flags.append(varies.cast("int"))
-    total = flags[0]
-    for flag in flags[1:]:
-        total = total + flag
-    return wide.agg(
+        flags.append(varies)
+    # One array, not a chained sum: thousands of columns would nest too deep to plan.
+    return wide.agg(F.array(*flags).alias("varies")).select(
         F.lit(len(names)).alias("n_features"),
-        total.alias("n_variable"),
+        F.size(F.filter("varies", lambda v: v)).alias("n_variable"),
     ).withColumn("variable_fraction", F.col("n_variable") / F.col("n_features"))
 
 

@@ -34,10 +34,12 @@ def hash_slices(
     start.  A histogram of hash buckets locates each cut, only the buckets that
     hold a cut are ranked, and the rows are then labelled by comparing their own
     hash with the cut: no shuffle or sort of the rows themselves, however large
-    a single stratum is.  The cuts are found when the function is called.  Strata
-    must not be NULL.
+    a single stratum is.  The cuts are found when the function is called.  A NULL
+    stratum is an error.
     """
     strata = list(strata)
+    if strata and not df.filter(F.greatest(*[F.col(c).isNull() for c in strata], F.lit(False))).isEmpty():
+        raise ValueError(f"NULL in the strata {strata}")
     keyed = df.withColumn("_h", portable_hash(F.col(key), seed))
     keyed = keyed.withColumn("_b", F.shiftright("_h", BUCKET_SHIFT))
     slim = keyed.select(*strata, key, "_h", "_b")

@@ -50,8 +50,8 @@ class Config:
     horizon_hours: float = cohort.HORIZON_HOURS
     prolonged_days: int = 7
     min_support: int = prune.MIN_SUPPORT
-    top_k: int | None = prune.TOP_FEATURES
-    max_labels: int = features.TOP_LABELS
+    top_k: int | None = None
+    max_labels: int | None = None
     min_variable_fraction: float = 0.2
     min_scoring_fraction: float = 0.10
     seed: int = 42
