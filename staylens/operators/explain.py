@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.operators.features import measured_members
 from staylens.operators.metrics import roc_auc
 from staylens.operators.ranking import hash_rank
 from staylens.session import attach
@@ -79,12 +80,37 @@ def permutation_importance(
     )
 
 
-def single_feature_auc(long: DataFrame, labels: DataFrame, y: str = "y") -> DataFrame:
+def _implied_zeros(
+    long: DataFrame, rows: DataFrame, outcome: DataFrame, y: str, members: DataFrame | None
+) -> DataFrame:
+    """Implied zeros of ``measured`` features per outcome, as weighted rows."""
+    is_measured = F.col("stat") == "measured"
+    names = long.filter(is_measured).select("feature", "modality").distinct()
+    inside = measured_members(long, members).distinct().join(outcome, "entity_id")
+    sizes = inside.groupBy("modality", y).agg(F.count(F.lit(1)).alias("m"))
+    stored = rows.filter(is_measured).groupBy("feature", y).agg(F.count(F.lit(1)).alias("n"))
+    gap = F.col("m") - F.coalesce(F.col("n"), F.lit(0))
+    return (
+        names.join(sizes, "modality")
+        .join(stored, ["feature", y], "left")
+        .select("feature", F.lit(0.0).alias("value"), y, gap.alias("weight"))
+        .filter(F.col("weight") > 0)
+    )
+
+
+def single_feature_auc(
+    long: DataFrame, labels: DataFrame, y: str = "y", members: DataFrame | None = None
+) -> DataFrame:
     """AUC of every feature on its own; ``strength`` ignores the direction.
 
     A strength near one on a feature that should not know the outcome is a sign
-    of leakage.
+    of leakage.  Implied zeros of ``measured`` features take part by their number.
     """
-    rows = long.join(labels.select("entity_id", y), "entity_id")
-    auc = roc_auc(rows, y, "value", ["feature"])
+    outcome = labels.filter(F.col(y).isNotNull()).select("entity_id", y)
+    rows = long.join(outcome, "entity_id")
+    one = F.lit(1).cast("long").alias("weight")
+    cells = rows.select("feature", F.col("value").cast("double").alias("value"), y, one)
+    if "stat" in long.columns:
+        cells = cells.unionByName(_implied_zeros(long, rows, outcome, y, members))
+    auc = roc_auc(cells, y, "value", ["feature"], "weight")
     return auc.withColumn("strength", F.greatest(F.col("auc"), F.lit(1.0) - F.col("auc")))

@@ -12,7 +12,7 @@ from staylens.functions.numbers import ratio_or_zero
 from staylens.functions.text import columns_of, group_value, quoted
 from staylens.operators.metrics import score_metrics
 
-MIN_GROUP = 30
+SMALL_GROUP = 30
 DELTA = 0.05
 GROUP = ("group_category", "group_value")
 EVERYONE = "__everyone__"
@@ -58,7 +58,7 @@ def explode_groups(
 def group_metrics(
     scored: DataFrame,
     groups: Mapping[str, Column] | Sequence[tuple[str, Column]],
-    min_n: int = MIN_GROUP,
+    small_n: int = SMALL_GROUP,
     target: str = "target",
     threshold: str = "threshold",
     source: str = "prob_source",
@@ -68,7 +68,9 @@ def group_metrics(
     The whole target is one more group, so a single pass measures everything;
     its values reach the other rows through a window over the small result.  A
     hot group is no problem: counts combine on the map side and the ranking is
-    spread over score cells.  The threshold is constant per target.
+    spread over score cells.  The threshold is constant per target.  Every group
+    has a row: ``small`` marks those below ``small_n`` rows, a target with one
+    class has no AUC, and ``cohort_n`` is the size of the whole target.
     """
     if source not in scored.columns:
         scored = scored.withColumn(source, F.lit("score"))
@@ -89,29 +91,18 @@ def group_metrics(
         overall = F.max(F.when(is_all, F.col(base))).over(whole)
         joined = joined.withColumn(f"global_{metric}", overall)
         joined = joined.withColumn(f"delta_{metric}", F.col(metric) - F.col(f"global_{metric}"))
-    return joined.filter(
-        ~is_all & (F.col("n") >= min_n) & F.col("global_auc").isNotNull()
-    ).select(
-        target, source, *GROUP, "n", "prevalence", "auc", "pr_auc", "brier", "threshold", "f1",
+    joined = joined.withColumn("cohort_n", F.max(F.when(is_all, F.col("n"))).over(whole))
+    joined = joined.withColumn("small", F.col("n") < small_n)
+    return joined.filter(~is_all).select(
+        target, source, *GROUP, "n", "cohort_n", "small", "prevalence", "auc", "pr_auc", "brier", "threshold", "f1",
         "precision", "recall", "global_auc", "global_f1", "delta_auc", "delta_f1",
     )
 
 
-def support(metrics: DataFrame, anchor: str = "gender") -> DataFrame:
-    """Size of each group (largest over targets) and its percent of the cohort.
-
-    The cohort size is the sum of the anchor groups when there is more than
-    one, else the largest group.
-    """
+def support(metrics: DataFrame) -> DataFrame:
+    """Size of each group (largest over targets) and its percent of the largest cohort."""
     sizes = metrics.groupBy(*GROUP).agg(F.max("n").alias("n"))
-    is_anchor = F.col(GROUP[0]) == anchor
-    figures = sizes.agg(
-        F.sum(F.when(is_anchor, F.col("n"))).alias("s"),
-        F.max(F.when(is_anchor, F.col("n"))).alias("m"),
-        F.max("n").alias("g"),
-    )
-    spread = F.coalesce(F.abs(F.col("s") - F.col("m")) > 1, F.lit(False))
-    cohort = figures.select(F.when(spread, F.col("s")).otherwise(F.col("g"))).scalar()
+    cohort = metrics.agg(F.max("cohort_n")).scalar()
     return sizes.withColumn("pct", F.round(F.col("n") / cohort * 100, 2))
 
 

@@ -2,8 +2,9 @@
 
 ``feature_long`` rows are (entity_id, modality, label, stat, feature, value).
 NULL values have no row.  A ``measured`` row exists where the label was seen;
-for the other entities of the same modality the value 0 is implied and is made
-explicit only in wide form.
+for the other entities of the same modality (its members) the value 0 is implied
+and is made explicit only in wide form.  Who is a member can be read off an
+unpruned frame only, so pruned frames travel with a ``members`` table.
 """
 
 from __future__ import annotations
@@ -241,19 +242,35 @@ def provenance(long: DataFrame, default: str = "baseline") -> DataFrame:
     return groups.unionByName(version)
 
 
-def to_wide(long: DataFrame, features: Sequence[str], fill: float | None = None) -> DataFrame:
+def measured_members(long: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(entity_id, modality) pairs, maybe repeated, for which ``measured`` zeros are implied.
+
+    Given ``members`` are returned as they are; a frame without them must be unpruned.
+    """
+    if members is not None:
+        return members.select("entity_id", "modality")
+    return long.filter(F.col("stat") == "measured").select("entity_id", "modality")
+
+
+def to_wide(
+    long: DataFrame,
+    features: Sequence[str],
+    fill: float | None = None,
+    members: DataFrame | None = None,
+) -> DataFrame:
     """One row per entity with exactly ``features``, in that order.
 
     The list is given (a pruned schema), so the pivot needs no extra job.
-    ``measured`` features get their implied zeros for the entities present in
-    the same modality; ``fill`` replaces the remaining NULLs.
+    ``measured`` features get their implied zeros for the members of the same
+    modality, and members have a row even if pruning took all of theirs;
+    ``fill`` replaces the remaining NULLs.
     """
     modalities = sorted({f.split(":", 1)[0] for f in features if f.endswith("__measured")})
     rows = long.select("entity_id", "feature", "value")
     if modalities:
-        counted = long.filter((F.col("stat") == "count") & F.col("modality").isin(modalities))
+        inside = measured_members(long, members).filter(F.col("modality").isin(modalities))
         seen = F.concat(F.lit("__seen:"), "modality").alias("feature")
-        rows = rows.unionByName(counted.select("entity_id", seen, F.lit(1.0).alias("value")))
+        rows = rows.unionByName(inside.select("entity_id", seen, F.lit(1.0).alias("value")))
     helpers = [f"__seen:{m}" for m in modalities]
     wide = rows.groupBy("entity_id").pivot("feature", [*features, *helpers]).agg(F.max("value"))
     columns: list[Column] = []
@@ -268,11 +285,16 @@ def to_wide(long: DataFrame, features: Sequence[str], fill: float | None = None)
     return wide.select("entity_id", *columns)
 
 
-def to_vector(long: DataFrame, features: Sequence[str], fill: float = 0.0) -> DataFrame:
+def to_vector(
+    long: DataFrame,
+    features: Sequence[str],
+    fill: float = 0.0,
+    members: DataFrame | None = None,
+) -> DataFrame:
     """(entity_id, features): dense ML vectors in schema order."""
     from pyspark.ml.functions import array_to_vector
 
-    wide = to_wide(long, features, fill)
+    wide = to_wide(long, features, fill, members)
     dense = F.array(*[F.col(quoted(f)) for f in features])
     return wide.select("entity_id", array_to_vector(dense).alias("features"))
 

@@ -24,6 +24,23 @@ from staylens.operators.sampling import bootstrap
 from staylens.session import attach
 
 
+def scored_rows(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Rows with an outcome and a score that is a number; all metrics read these only."""
+    score = F.col(p).cast("double")
+    return df.filter(score.isNotNull() & ~F.isnan(score) & F.col(y).isNotNull())
+
+
+def invalid_scores(
+    df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Rows per key, and how many of them the metrics leave out."""
+    score = F.col(p).cast("double")
+    bad = score.isNull() | F.isnan(score) | F.col(y).isNull()
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_invalid")
+    )
+
+
 def score_counts(
     df: DataFrame,
     y: str = "y",
@@ -35,7 +52,7 @@ def score_counts(
     w = F.col(weight) if weight else F.lit(1).cast("long")
     score = F.col(p).cast("double")
     return (
-        df.filter(score.isNotNull() & ~F.isnan(score) & F.col(y).isNotNull())
+        scored_rows(df, y, p)
         .groupBy(*keys, score.alias("score"))
         .agg(
             F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"),
@@ -169,7 +186,7 @@ def pr_auc_trapezoid(df, y="y", p="p", keys=(), weight=None) -> DataFrame:
 def brier(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """Mean squared difference of score and outcome."""
     gap = F.col(p) - F.col(y)
-    return df.groupBy(*keys).agg(F.avg(gap * gap).alias("brier"))
+    return scored_rows(df, y, p).groupBy(*keys).agg(F.avg(gap * gap).alias("brier"))
 
 
 def roc_curve(df, y="y", p="p", keys=(), weight=None) -> DataFrame:
@@ -215,7 +232,7 @@ def confusion(
     """
     limit = thr if isinstance(thr, Column) else F.lit(float(thr))
     picked, positive = F.col(p) >= limit, F.col(y) == 1
-    counts = df.groupBy(*keys).agg(
+    counts = scored_rows(df, y, p).groupBy(*keys).agg(
         F.count_if(picked & positive).alias("tp"),
         F.count_if(picked & ~positive).alias("fp"),
         F.count_if(~picked & positive).alias("fn"),
@@ -268,7 +285,7 @@ def threshold_sweep(
     the bins, so the data is read once and aggregated on the map side.
     """
     positive = F.col(y) == 1
-    scored = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+    scored = scored_rows(df, y, p)
     bins = (
         scored.groupBy(*keys, grid_index(F.col(p), low, high, points).alias("bin"))
         .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
@@ -325,6 +342,7 @@ def reliability(
 
     The bin of a score is the number of inner edges below it.
     """
+    df = scored_rows(df, y, p)
     probs = [i / n_bins for i in range(1, n_bins)]
     inner = exact_quantiles(df, p, probs, keys)
     if keys:
@@ -355,14 +373,17 @@ def calibration_shift(
 def score_histogram(
     df: DataFrame, columns: Sequence[str], bins: int = 10
 ) -> DataFrame:
-    """Equal-width histogram on [0, 1] per column; empty bins are 0."""
+    """Equal-width histogram on [0, 1] per column; empty bins are 0.
+
+    Values that are missing or outside [0, 1] are counted in bin -1, if there are any.
+    """
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "p"
     )
-    valid = tall.filter(F.col("p").between(0.0, 1.0))
-    filled = valid.select(
+    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    filled = tall.select(
         "column",
-        F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long").alias("bin"),
+        F.when(F.col("p").between(0.0, 1.0), place).otherwise(-1).cast("long").alias("bin"),
         F.lit(1).cast("long").alias("n"),
     )
     slots = [

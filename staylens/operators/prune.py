@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.functions.hashing import sha1_of
+from staylens.functions.hashing import portable_hash
 from staylens.functions.numbers import zscore
 from staylens.functions.text import quoted
+from staylens.operators.features import measured_members
 
-MIN_SUPPORT = 10
-HASH_SAMPLE = 10
+HASH_SEED = 42
 
 
 def entity_count(entities: DataFrame, entity: str = "entity_id") -> Column:
@@ -20,50 +20,67 @@ def entity_count(entities: DataFrame, entity: str = "entity_id") -> Column:
     return entities.agg(F.count_distinct(entity)).scalar()
 
 
-def feature_profile(long: DataFrame, n_entities: Column | int) -> DataFrame:
-    """Support, mean-imputed population variance, min and max per feature.
+def dense_moments(long: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """n, mean, population variance, low and high per feature, implied zeros included.
 
-    Imputed cells sit on the mean, so they add nothing to the squared sum and
-    the variance over all entities is var_pop * support / N.  ``measured``
-    features carry implied zeros: with n1 measured of m entities in the
-    modality, support is m and the variance p(1-p) * m / N with p = n1 / m.
+    Only ``measured`` features imply zeros: one for each member of the modality
+    without a row.  They enter by closed forms over the share of stored rows, so
+    no cell is made for them; ``zeros`` says how many there are.
     """
-    total = n_entities if isinstance(n_entities, Column) else F.lit(n_entities)
-    total = total.cast("double")
-    base = long.groupBy("feature", "modality", "stat").agg(
-        F.count("value").alias("n"),
-        F.var_pop("value").alias("var"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
+    stored = long.groupBy("feature", "modality", "stat").agg(
+        F.count("value").alias("stored"),
+        F.avg("value").alias("avg"),
+        F.var_pop("value").alias("spread"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
     )
-    present = (
-        long.filter(F.col("stat") == "measured")
-        .groupBy("modality")
-        .agg(F.count_distinct("entity_id").alias("m"))
+    sizes = measured_members(long, members).groupBy("modality").agg(
+        F.count_distinct("entity_id").alias("m")
     )
-    joined = base.join(present, "modality", "left")
-    measured = F.coalesce(F.col("stat") == "measured", F.lit(False))
-    share = F.col("n") / F.col("m")
-    support = F.when(measured, F.col("m")).otherwise(F.col("n"))
-    variance = (
-        F.when(measured, share * (F.lit(1.0) - share) * F.col("m") / total)
-        .otherwise(F.col("var") * F.col("n") / total)
+    implied = F.coalesce(F.col("stat") == "measured", F.lit(False))
+    zeros = F.when(implied, F.coalesce(F.col("m"), F.col("stored")) - F.col("stored"))
+    filled = stored.join(sizes, "modality", "left").withColumn(
+        "zeros", F.coalesce(zeros, F.lit(0).cast("long"))
     )
-    low = F.when(measured & (F.col("n") < F.col("m")), F.lit(0.0)).otherwise(F.col("low"))
-    return joined.select(
+    n = F.col("stored") + F.col("zeros")
+    share = F.col("stored") / n
+    some = F.col("zeros") > 0
+    return filled.select(
+        "feature",
+        "modality",
+        "stat",
+        n.alias("n"),
+        "zeros",
+        (share * F.col("avg")).alias("mean"),
+        (share * F.col("spread") + share * (1 - share) * F.col("avg") * F.col("avg")).alias("var"),
+        F.when(some, F.least("least", F.lit(0.0))).otherwise(F.col("least")).alias("low"),
+        F.when(some, F.greatest("most", F.lit(0.0))).otherwise(F.col("most")).alias("high"),
+    )
+
+
+def feature_profile(
+    long: DataFrame, n_entities: Column | int, members: DataFrame | None = None
+) -> DataFrame:
+    """Support, mean-imputed population variance, min and max per feature.
+
+    Imputed cells sit on the mean, so they add nothing to the squared sum and
+    the variance over all entities is var_pop * support / N.
+    """
+    total = n_entities if isinstance(n_entities, Column) else F.lit(n_entities)
+    return dense_moments(long, members).select(
         "feature",
         "modality",
         "stat",
-        support.alias("support"),
-        variance.alias("variance"),
-        low.alias("min_value"),
+        F.col("n").alias("support"),
+        (F.col("var") * F.col("n") / total.cast("double")).alias("variance"),
+        F.col("low").alias("min_value"),
         F.col("high").alias("max_value"),
-        (low < F.col("high")).alias("is_variable"),
+        (F.col("low") < F.col("high")).alias("is_variable"),
     )
 
 
 def kept_features(
-    profile: DataFrame, min_support: int = MIN_SUPPORT, top_k: int | None = None
+    profile: DataFrame, min_support: int = 1, top_k: int | None = None
 ) -> DataFrame:
     """Schema of the features that survive: (ordinal, feature, support, variance, score).
 
@@ -99,18 +116,23 @@ def kept_features(
 def prune(
     long: DataFrame,
     n_entities: Column | int,
-    min_support: int = MIN_SUPPORT,
+    min_support: int = 1,
     top_k: int | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """feature_long reduced to the kept features."""
-    schema = kept_features(feature_profile(long, n_entities), min_support, top_k)
+    """feature_long reduced to the kept features.
+
+    Keep the members of the unpruned frame next to the result: its own rows no
+    longer tell where ``measured`` zeros are implied.
+    """
+    schema = kept_features(feature_profile(long, n_entities, members), min_support, top_k)
     names = schema.select("feature")
     # top_k names at most; without a cap the size is left to the optimizer
     names = F.broadcast(names) if top_k is not None and top_k >= 1 else names
     return long.join(names, "feature", "left_semi")
 
 
-def prune_report(profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+def prune_report(profile: DataFrame, min_support: int = 1) -> DataFrame:
     """Counts of features dropped as constant and dropped for low support."""
     variable = F.col("is_variable")
     enough = F.col("support") >= max(1, min_support)
@@ -152,59 +174,51 @@ def support_quantiles(
     return row.select(*others, *named)
 
 
-def health_profile(long: DataFrame, n_entities: Column | int, digits: int = 6) -> DataFrame:
+def health_profile(
+    long: DataFrame,
+    n_entities: Column | int,
+    digits: int = 6,
+    members: DataFrame | None = None,
+) -> DataFrame:
     """Per feature: min, max, std, distinct values, missing share, constant flag, hash.
 
-    The hash covers the values of the ten smallest entity ids.  The rank filter
-    keeps ten rows per feature and task before the shuffle, so no feature is
-    ever collected whole.
+    The hash is a sum of portable hashes of (entity, value rounded to ``digits``)
+    over all stored values, so any change of any value shows and it combines on
+    the map side.  Implied zeros count as values, but add nothing to the hash.
     """
     total = n_entities if isinstance(n_entities, Column) else F.lit(n_entities)
-    # distinct values are counted first, which also feeds the moments
-    values = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    distinct = values.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_unique"), F.sum("n").alias("n_present")
-    )
-    moments = long.groupBy("feature").agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.stddev_pop("value").alias("std_pop"),
+    shown = F.col("value").try_cast(f"decimal(38,{digits})").cast("string")
+    cell = portable_hash(F.concat_ws(":", F.col("entity_id").cast("string"), shown), HASH_SEED)
+    values = long.groupBy("feature", "value").agg(
+        F.sum(cell.cast("decimal(20,0)")).alias("hash")
     )
-    first = Window.partitionBy("feature").orderBy("entity_id")
-    shown = F.round(F.col("value") * F.lit(float(10**digits))).cast("long").cast("string")
-    heads = (
-        long.select("feature", "entity_id", "value")
-        .withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= HASH_SAMPLE)
-        .groupBy("feature")
-        .agg(F.array_sort(F.collect_list(F.struct("_r", shown.alias("s")))).alias("head"))
-        .select("feature", sha1_of(F.transform("head", lambda h: h["s"])).alias("sample_hash"))
+    distinct = values.groupBy("feature").agg(
+        F.count("value").alias("stored_unique"), F.sum("hash").cast("string").alias("values_hash")
     )
-    missing = F.lit(1.0) - F.col("n_present") / total.cast("double")
-    return (
-        moments.join(distinct, "feature")
-        .join(heads, "feature")
-        .select(
-            "feature",
-            "min_value",
-            "max_value",
-            "std_pop",
-            "n_unique",
-            missing.alias("missing_frac"),
-            (F.col("n_unique") <= 1).cast("int").alias("all_constant"),
-            "sample_hash",
-        )
+    n_unique = F.col("stored_unique") + (F.col("zeros") > 0).cast("long")
+    return dense_moments(long, members).join(distinct, "feature").select(
+        "feature",
+        F.col("low").alias("min_value"),
+        F.col("high").alias("max_value"),
+        F.sqrt("var").alias("std_pop"),
+        n_unique.alias("n_unique"),
+        (F.lit(1.0) - F.col("n") / total.cast("double")).alias("missing_frac"),
+        (n_unique <= 1).cast("int").alias("all_constant"),
+        "values_hash",
     )
 
 
 def variable_fraction(
-    long: DataFrame, n_entities: Column | int, count_null: bool = False
+    long: DataFrame,
+    n_entities: Column | int,
+    count_null: bool = False,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Features with more than one value, as count and share of all.
 
     With ``count_null`` a missing cell counts as one more value.
     """
-    profile = feature_profile(long, n_entities)
+    profile = feature_profile(long, n_entities, members)
     total = n_entities if isinstance(n_entities, Column) else F.lit(n_entities)
     varies = F.col("is_variable")
     if count_null:
@@ -261,21 +275,41 @@ def id_parity(labels: DataFrame, features: DataFrame, on: str = "entity_id") ->
     )
 
 
-def variance_collapse(before: DataFrame, after: DataFrame) -> DataFrame:
+def variance_collapse(
+    before: DataFrame,
+    after: DataFrame,
+    members: DataFrame | None = None,
+    members_after: DataFrame | None = None,
+) -> DataFrame:
     """Variance per feature before and after a row selection; collapsed where it died.
 
-    Constancy is decided by min and max, which do not suffer from rounding.
+    Constancy is decided by min and max, which do not suffer from rounding.  A
+    ``measured`` feature that lost all its rows is a column of zeros for the
+    members that are left.
     """
 
-    def spread(long: DataFrame, tag: str) -> DataFrame:
-        return long.groupBy("feature").agg(
-            F.var_pop("value").alias(f"var_{tag}"),
-            (F.min("value") < F.max("value")).alias(f"varies_{tag}"),
+    def spread(long: DataFrame, inside: DataFrame | None, tag: str) -> DataFrame:
+        return dense_moments(long, inside).select(
+            "feature",
+            "modality",
+            "stat",
+            F.col("var").alias(f"var_{tag}"),
+            (F.col("low") < F.col("high")).alias(f"varies_{tag}"),
         )
 
-    joined = spread(before, "before").join(spread(after, "after"), "feature", "left")
+    left = measured_members(after, members_after).select("modality").distinct()
+    left = left.select("modality", F.lit(0.0).alias("flat"))
+    now = spread(after, members_after, "after").drop("modality", "stat")
+    joined = spread(before, members, "before").join(now, "feature", "left")
+    joined = joined.join(left, "modality", "left")
+    flat = F.when(F.col("stat") == "measured", F.col("flat"))
     gone = F.col("varies_before") & ~F.coalesce(F.col("varies_after"), F.lit(False))
-    return joined.select("feature", "var_before", "var_after", gone.cast("int").alias("collapsed"))
+    return joined.select(
+        "feature",
+        "var_before",
+        F.coalesce("var_after", flat).alias("var_after"),
+        gone.cast("int").alias("collapsed"),
+    )
 
 
 # ---------------------------------------------------------------------------

@@ -1,10 +1,11 @@
 """Distributed ranks, prefix sums and exact quantiles.
 
 A window without partition keys, or with one hot key, would pull the data into
-one task.  Instead values are mapped to ordered cells, cells to ordered blocks:
-sums run inside a cell, then over the cells of a block, then over the blocks of
-a key, and the offsets are joined back.  The mapping is a pure function of the
-value, so a recomputed task always sees the same cells.
+one task.  Instead every value is read as ordered digits of 16 bits, from coarse to
+fine: sums run inside the finest group, then over the groups of the next coarser
+digit, and the offsets are joined back.  The digits are a pure function of the
+value, so a recomputed task always sees the same groups, and no group can have
+more than about 65,536 children however the values are distributed.
 """
 
 from __future__ import annotations
@@ -18,19 +19,39 @@ from staylens.functions.hashing import portable_hash
 from staylens.functions.text import columns_of
 from staylens.session import settle
 
-CELLS_PER_BLOCK = 1024
-CELL_RESOLUTION = float(1 << 18)
-CELL_SCALE = float(1 << 20)
+LARGEST = 1.7976931348623157e308
+LEAST_EXPONENT = -1000
+DIGIT = float(1 << 16)
+DIGITS = ("_digit0", "_digit1", "_digit2")
 
 
-def value_cell(value: Column) -> Column:
-    """Ordered cell of any double: linear near zero, logarithmic further out."""
-    size = F.least(F.abs(value), F.lit(1e300))
-    return F.floor(F.signum(value) * F.log1p(size * F.lit(CELL_SCALE)) * F.lit(CELL_RESOLUTION))
+def with_digits(df: DataFrame, value: str) -> DataFrame:
+    """Add the ordered digits of a non-null double column.
 
-
-def block_of(cell: Column) -> Column:
-    return F.floor(cell / F.lit(CELLS_PER_BLOCK))
+    The first digit holds sign, exponent and four bits of the mantissa, the
+    others sixteen bits each; the last sixteen are left to the order of the rows.
+    Scaling by powers of two and taking off the integer part are exact.
+    """
+    size = F.least(F.abs(F.col(value)), F.lit(LARGEST))
+    exponent = F.coalesce(F.floor(F.log2(size)), F.lit(LEAST_EXPONENT))
+    exponent = F.greatest(exponent, F.lit(LEAST_EXPONENT))
+    sign = F.signum(F.col(value))
+    scaled = F.col("_size") * F.pow(F.lit(2.0), -F.col("_exponent").cast("double")) * 16.0
+    rest = (F.col("_scaled") - F.floor("_scaled")) * DIGIT
+    first = (F.col("_exponent") - LEAST_EXPONENT + 1) * 32 + F.floor("_scaled")
+    return (
+        df.withColumns({"_size": size, "_exponent": exponent, "_sign": sign})
+        .withColumn("_scaled", scaled)
+        .withColumn("_rest", rest)
+        .withColumns({
+            DIGITS[0]: (F.col("_sign") * first).cast("long"),
+            DIGITS[1]: (F.col("_sign") * F.floor("_rest")).cast("long"),
+            DIGITS[2]: (
+                F.col("_sign") * F.floor((F.col("_rest") - F.floor("_rest")) * DIGIT)
+            ).cast("long"),
+        })
+        .drop("_size", "_exponent", "_sign", "_scaled", "_rest")
+    )
 
 
 def running_totals(
@@ -75,14 +96,11 @@ def cumulative_values(
 ) -> DataFrame:
     """Running totals of an already grouped (keys, value) table, by value.
 
-    Cells, blocks and rows are three views of that table, so it is settled: the
-    data behind it is read once.
+    Rows and the groups of each digit are views of that table, so it is settled:
+    the data behind it is read once.
     """
-    placed = counts.withColumn("_cell", value_cell(F.col(value)))
-    placed = settle(placed.withColumn("_block", block_of(F.col("_cell"))))
-    return running_totals(placed, keys, ["_block", "_cell"], [value], measures).drop(
-        "_block", "_cell"
-    )
+    placed = settle(with_digits(counts, value))
+    return running_totals(placed, keys, DIGITS, [value], measures).drop(*DIGITS)
 
 
 def exact_quantiles(

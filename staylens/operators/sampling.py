@@ -126,20 +126,22 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def capped_classes(
     df: DataFrame, key: str, label: str, cap: int, pos_cap: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """At most ``cap`` rows: positives first (up to ``pos_cap``), negatives fill up.
+    """At most ``cap`` rows: positives up to ``pos_cap``, negatives fill up.
 
-    Tables within the cap are returned unchanged.
+    Positives also take the room that negatives leave, so a table within the cap
+    stays whole and one row more changes nothing else.
     """
     sizes = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n_pos")
     )
     total, positives = sizes.select("n").scalar(), sizes.select("n_pos").scalar()
-    keep_pos = positives if pos_cap is None else F.least(positives, F.lit(pos_cap).cast("long"))
-    room = F.greatest(F.lit(cap).cast("long") - keep_pos, F.lit(0).cast("long"))
+    budget = F.lit(cap).cast("long")
+    first = positives if pos_cap is None else F.least(positives, F.lit(pos_cap).cast("long"))
+    keep_pos = F.least(positives, F.greatest(first, budget - (total - positives)))
+    room = F.greatest(budget - keep_pos, F.lit(0).cast("long"))
 
     def cuts(size: Column) -> list[Column]:
-        limit = F.when(F.col(label) == 1, keep_pos).otherwise(room)
-        return [F.when(total <= cap, size).otherwise(limit)]
+        return [F.least(size, F.when(F.col(label) == 1, keep_pos).otherwise(room))]
 
     cut = hash_slices(df, key, seed, cuts, [label], "_slice")
     return cut.filter(F.col("_slice") == 0).drop("_slice")

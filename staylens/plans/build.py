@@ -49,7 +49,7 @@ class Config:
     window_mode: str = "clock_hour"
     horizon_hours: float = cohort.HORIZON_HOURS
     prolonged_days: int = 7
-    min_support: int = prune.MIN_SUPPORT
+    min_support: int = 1
     top_k: int | None = None
     max_labels: int | None = None
     min_variable_fraction: float = 0.2
@@ -64,7 +64,11 @@ class Config:
 
 @dataclass
 class Training:
-    """Result of the training-side build."""
+    """Result of the training-side build.
+
+    ``members`` is (entity_id, modality) of the unpruned features: pruned rows
+    alone do not tell where ``measured`` zeros are implied.
+    """
 
     index: DataFrame
     labels: DataFrame
@@ -72,6 +76,7 @@ class Training:
     schema: DataFrame
     names: list[str]
     counts: DataFrame
+    members: DataFrame
 
 
 # --- slices ----------------------------------------------------------------
@@ -185,14 +190,15 @@ def build_training(
     bundle = modality_bundle(sources, index, config)
     long = settle(feature_blocks(index, bundle, config))
     total = index.agg(F.count(F.lit(1))).scalar()
-    profile = settle(prune.feature_profile(long, total))
+    members = settle(features.measured_members(long).distinct())
+    profile = settle(prune.feature_profile(long, total, members))
     schema = settle(prune.kept_features(profile, config.min_support, config.top_k))
     names = schema_names(schema)
     if not names:
         raise prune.QualityError("pruning left no features")
     kept = long.join(schema.select("feature"), "feature", "left_semi")
     prune.assert_variable_fraction(
-        prune.variable_fraction(kept, total), config.min_variable_fraction
+        prune.variable_fraction(kept, total, members=members), config.min_variable_fraction
     )
     prune.assert_parity(table, long)
     counts = features.modality_counts(
@@ -202,7 +208,7 @@ def build_training(
             **{k: v for k, v in bundle.items() if k != "demo"},
         }
     )
-    return Training(index, table, kept, schema, names, counts)
+    return Training(index, table, kept, schema, names, counts, members)
 
 
 def training_rows(training: Training, seed: int = 42) -> DataFrame:
@@ -210,7 +216,7 @@ def training_rows(training: Training, seed: int = 42) -> DataFrame:
     split = sampling.stratified_split(
         training.labels, "entity_id", TARGETS["readmission"], seed=seed
     )
-    wide = features.to_wide(training.features, training.names)
+    wide = features.to_wide(training.features, training.names, members=training.members)
     return features.join_labels(wide, split)
 
 

@@ -34,14 +34,15 @@ c AS (SELECT target, group_category, group_value, count(*) AS n, avg(y) AS preva
              count(*) FILTER (WHERE p >= {THRESHOLD} AND y = 1) AS tp, count(*) FILTER (WHERE p >= {THRESHOLD} AND y = 0) AS fp,
              count(*) FILTER (WHERE p < {THRESHOLD} AND y = 1) AS fn FROM x GROUP BY ALL),
 m AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f0 FROM c JOIN a USING (target, group_category, group_value)),
-g AS (SELECT target, auc AS global_auc, f0 AS global_f1 FROM m WHERE group_category = 'all'),
+g AS (SELECT target, auc AS global_auc, f0 AS global_f1, n AS cohort_n FROM m WHERE group_category = 'all'),
 f AS (
   SELECT m.target, 'score' AS prob_source, group_category, group_value, n, prevalence, auc, pr_auc, brier,
     {THRESHOLD}::DOUBLE AS threshold, CASE WHEN tp + fn > 0 THEN f0 END AS f1,
     CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision,
     CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall, global_auc, global_f1,
-    auc - global_auc AS delta_auc, CASE WHEN tp + fn > 0 THEN f0 END - global_f1 AS delta_f1
-  FROM m JOIN g USING (target) WHERE group_category <> 'all' AND n >= 30)"""
+    auc - global_auc AS delta_auc, CASE WHEN tp + fn > 0 THEN f0 END - global_f1 AS delta_f1,
+    cohort_n, (n < {fairness.SMALL_GROUP})::INT AS small
+  FROM m JOIN g USING (target) WHERE group_category <> 'all')"""
 FIGURES = ("prevalence", "auc", "pr_auc", "brier", "f1", "precision", "recall",
            "global_auc", "global_f1", "delta_auc", "delta_f1")
 
@@ -63,21 +64,20 @@ def _shown(df):
 
 @query(
     "fairness_groups",
-    f"""{SQL} SELECT target, prob_source, group_category, group_value, n, threshold,
+    f"""{SQL} SELECT target, prob_source, group_category, group_value, n, cohort_n, small, threshold,
   {", ".join(f"round({c}, 6) AS {c}" for c in FIGURES)} FROM f""",
 )
 def fairness_groups(spark, d):
-    return _shown(_metrics(spark, d))
+    return _shown(_metrics(spark, d).withColumn("small", F.col("small").cast("int")))
 
 
 @query(
     "fairness_support",
-    f"""{SQL}, s AS (SELECT group_category, group_value, max(n) AS n FROM f GROUP BY ALL),
-q AS (SELECT sum(n) FILTER (WHERE group_category = 'lang') AS sn, max(n) FILTER (WHERE group_category = 'lang') AS mn, max(n) AS gn FROM s)
-SELECT group_category, group_value, n, round(n * 100 / (CASE WHEN coalesce(abs(sn - mn) > 1, FALSE) THEN sn ELSE gn END)::DOUBLE, 2) AS pct FROM s, q""",
+    f"""{SQL}, s AS (SELECT group_category, group_value, max(n) AS n FROM f GROUP BY ALL)
+SELECT group_category, group_value, n, round(n * 100 / (SELECT max(cohort_n) FROM f)::DOUBLE, 2) AS pct FROM s""",
 )
 def fairness_support(spark, d):
-    return fairness.support(_metrics(spark, d), "lang")
+    return fairness.support(_metrics(spark, d))
 
 
 @query(

@@ -8,6 +8,8 @@ from staylens.functions import text
 from staylens.operators import explain, features, prune
 from staylens.plans import bindings as b
 from staylens.plans.registry import query
+from staylens.session import settle
+from staylens.sources.files import schema_names
 
 SQL = b.FEATURES_SQL
 PROFILE = f"{SQL}, {b.PROFILE_SQL}"
@@ -153,30 +155,48 @@ def support_quantiles(spark, d):
     return out.select(*rest, *b.ends(*shown))
 
 
+@query(
+    "feature_wide_pruned",
+    f"""{_KEPT_SQL}
+SELECT entity_id, feature, round(value, 6) AS value FROM filled WHERE feature IN (SELECT feature FROM kept)""",
+)
+def feature_wide_pruned(spark, d):
+    """Cells of the wide form of pruned features, implied zeros included."""
+    long = b.settled_long(spark, d)
+    members = features.measured_members(long)
+    schema = settle(prune.kept_features(
+        prune.feature_profile(long, prune.entity_count(long)), MIN_SUPPORT, TOP_K
+    ))
+    names = schema_names(schema)
+    kept = long.join(schema.select("feature"), "feature", "left_semi")
+    wide = features.to_wide(kept, names, members=members)
+    cells = wide.unpivot("entity_id", [F.col(text.quoted(n)) for n in names], "feature", "value")
+    return cells.filter(F.col("value").isNotNull()).withColumn("value", F.round("value", 6))
+
+
+def _rounded(long):
+    return long.withColumn("value", F.round("value", 6))
+
+
 @query(
     "feature_health",
-    f"""{SQL},
-r AS (SELECT feature, entity_id, value,
-             row_number() OVER (PARTITION BY feature ORDER BY entity_id) AS rn FROM long),
-h AS (SELECT feature, sha1(string_agg(round(value * 1000000)::BIGINT::VARCHAR, ',' ORDER BY entity_id)) AS sample_hash
-      FROM r WHERE rn <= 10 GROUP BY feature)
-SELECT feature, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value,
+    f"""{PROFILE},
+c AS (SELECT feature, entity_id, stat, round(value, 6) AS value FROM filled)
+SELECT feature, min(value) AS min_value, max(value) AS max_value,
        round(stddev_pop(value), 4) AS std_pop, count(DISTINCT value) AS n_unique,
        round(1 - count(value) / (SELECT n FROM n_all)::DOUBLE, 6) AS missing_frac,
-       (count(DISTINCT value) <= 1)::INT AS all_constant, any_value(sample_hash) AS sample_hash
-FROM long JOIN h USING (feature)
-WHERE feature NOT LIKE '%\\_\\_std' ESCAPE '\\' AND feature NOT LIKE '%\\_\\_mean' ESCAPE '\\'
-GROUP BY feature""",
+       (count(DISTINCT value) <= 1)::INT AS all_constant,
+       sum({b.hash_sql("(entity_id::VARCHAR || ':' || value::DECIMAL(38, 6)::VARCHAR)", prune.HASH_SEED)})
+         FILTER (WHERE stat IS NULL OR stat <> 'measured' OR value <> 0)::VARCHAR AS values_hash
+FROM c GROUP BY feature""",
 )
 def feature_health(spark, d):
-    """Means and deviations are left out: their last digits depend on summation order."""
-    long = b.settled_long(spark, d)
-    total = prune.entity_count(long)
-    exact = long.filter(~F.coalesce(F.col("stat").isin("mean", "std"), F.lit(False)))
-    out = prune.health_profile(exact, total)
+    """Values are rounded first: the last digits of means depend on summation order."""
+    long = _rounded(b.settled_long(spark, d))
+    out = prune.health_profile(long, prune.entity_count(long))
     return out.select(
-        "feature", *b.ends(("min_value", 6), ("max_value", 6), ("std_pop", 4)), "n_unique",
-        *b.ends(("missing_frac", 6)), "all_constant", "sample_hash",
+        "feature", "min_value", "max_value", *b.ends(("std_pop", 4)), "n_unique",
+        *b.ends(("missing_frac", 6)), "all_constant", "values_hash",
     )
 
 
@@ -257,10 +277,10 @@ def id_parity(spark, d):
 
 @query(
     "variance_collapse",
-    f"""{SQL},
+    f"""{PROFILE},
 u AS (SELECT DISTINCT user_id AS entity_id FROM events),
-x AS (SELECT feature, var_pop(value) AS v, min(value) < max(value) AS s FROM long GROUP BY feature),
-y AS (SELECT feature, var_pop(value) AS v, min(value) < max(value) AS s FROM long
+x AS (SELECT feature, var_pop(value) AS v, min(value) < max(value) AS s FROM filled GROUP BY feature),
+y AS (SELECT feature, var_pop(value) AS v, min(value) < max(value) AS s FROM filled
       WHERE entity_id IN (SELECT entity_id FROM u) GROUP BY feature)
 SELECT x.feature, round(x.v, 3) AS var_before, round(y.v, 3) AS var_after,
        (x.s AND NOT coalesce(y.s, FALSE))::INT AS collapsed
@@ -310,13 +330,13 @@ def leakage_drop(spark, d):
 
 @query(
     "single_feature_auc",
-    f"""{b.COHORT_SQL}, {b.LABS_SQL}, {b.RX_SQL}, {b.VITALS_SQL}, {b.LONG_SQL},
+    f"""{b.COHORT_SQL}, {b.LABS_SQL}, {b.RX_SQL}, {b.VITALS_SQL}, {b.LONG_SQL}, {b.PROFILE_SQL},
+c AS (SELECT entity_id, feature, round(value, 6) AS value FROM filled),
 r AS (
   SELECT l.feature, l.value, t.prolonged_los_label AS y,
          rank() OVER (PARTITION BY l.feature ORDER BY l.value)
          + (count(*) OVER (PARTITION BY l.feature, l.value) - 1) / 2.0::DOUBLE AS rk
-  FROM long l JOIN label_table t USING (entity_id)
-  WHERE l.stat IS NULL OR l.stat NOT IN ('mean', 'std', 'range')),
+  FROM c l JOIN label_table t USING (entity_id)),
 g AS (SELECT feature, sum(y) AS p, count(*) - sum(y) AS n, sum(rk) FILTER (WHERE y = 1) AS s FROM r GROUP BY feature)
 SELECT feature, round(CASE WHEN p * n > 0 THEN (s - p * (p + 1) / 2.0::DOUBLE) / (p * n) END, 6) AS auc,
   round(CASE WHEN p * n > 0 THEN greatest((s - p * (p + 1) / 2.0::DOUBLE) / (p * n),
@@ -324,12 +344,12 @@ SELECT feature, round(CASE WHEN p * n > 0 THEN (s - p * (p + 1) / 2.0::DOUBLE) /
 FROM g""",
 )
 def single_feature_auc(spark, d):
-    """Derived floats are left out: ties between them depend on summation order."""
+    """Values are rounded first: ties between means depend on summation order."""
     from staylens.plans.queries_cohort import _label_table
 
-    long = b.settled_long(spark, d)
-    exact = long.filter(~F.coalesce(F.col("stat").isin("mean", "std", "range"), F.lit(False)))
-    out = explain.single_feature_auc(exact, _label_table(spark, d), "prolonged_los_label")
+    long = _rounded(b.settled_long(spark, d))
+    labels = settle(_label_table(spark, d))
+    out = explain.single_feature_auc(long, labels, "prolonged_los_label")
     return out.select("feature", *b.ends(("auc", 6), ("strength", 6)))
 
 

@@ -54,7 +54,7 @@ def kfold_stratified(spark, d):
     "downsample_majority",
     f"""{_ranked(SEED, "quality")}, p AS (SELECT count(*) AS all_n, count(*) FILTER (WHERE quality = 1) AS pos FROM labels)
 SELECT doc_id, quality, toxic FROM r, p
-WHERE all_n <= {CAP} OR quality = 1 OR rk < greatest({CAP} - pos, 0)""",
+WHERE quality = 1 OR rk < greatest({CAP} - pos, 0)""",
 )
 def downsample_majority(spark, d):
     return sampling.downsample_majority(_labels(spark, d), "doc_id", "quality", CAP, SEED)
@@ -62,10 +62,10 @@ def downsample_majority(spark, d):
 
 @query(
     "background_sample",
-    f"""{_ranked(SEED, "quality")}, p AS (SELECT count(*) AS all_n, count(*) FILTER (WHERE quality = 1) AS pos FROM labels)
+    f"""{_ranked(SEED, "quality")}, c AS (SELECT count(*) AS all_n, count(*) FILTER (WHERE quality = 1) AS pos FROM labels),
+p AS (SELECT least(pos, greatest(least(pos, {CAP // 2}), {CAP} - (all_n - pos))) AS keep FROM c)
 SELECT doc_id, quality, toxic FROM r, p
-WHERE all_n <= {CAP} OR rk < CASE WHEN quality = 1 THEN least(pos, {CAP // 2})
-      ELSE {CAP} - least(pos, {CAP // 2}) END""",
+WHERE rk < CASE WHEN quality = 1 THEN keep ELSE {CAP} - keep END""",
 )
 def background_sample(spark, d):
     return sampling.background_sample(_labels(spark, d), "doc_id", "quality", CAP, SEED)

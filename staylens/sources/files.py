@@ -56,17 +56,25 @@ def write_features(
     with_health: bool = False,
     minimum: float = MIN_PERSIST_FRACTION,
     mode: str = "overwrite",
+    members: DataFrame | None = None,
+    schema: DataFrame | None = None,
 ) -> None:
     """Persist pruned features, schema and provenance behind the variability guard.
 
-    ``raw`` (before pruning) and the health profile are written on request.
+    ``members`` (of the unpruned features) and the ordered ``schema`` are written
+    with them when given; ``raw`` (before pruning) and the health profile on request.
     """
-    assert_variable_fraction(variable_fraction(long, n_entities), minimum)
+    fraction = variable_fraction(long, n_entities, members=members)
+    assert_variable_fraction(fraction, minimum)
     long.write.mode(mode).parquet(f"{path}/features")
+    if members is not None:
+        members.distinct().write.mode(mode).parquet(f"{path}/members")
+    if schema is not None:
+        write_schema(schema, f"{path}/schema", mode)
     if raw is not None:
         raw.write.mode(mode).parquet(f"{path}/features_raw")
     if with_health:
-        health_profile(long, n_entities).write.mode(mode).json(f"{path}/health")
+        health_profile(long, n_entities, members=members).write.mode(mode).json(f"{path}/health")
     provenance(long).write.mode(mode).json(f"{path}/provenance")
 
 

@@ -24,7 +24,9 @@ def test_group_metrics(scored):
     rows = [(r["g"], r["y"], r["p"]) for r in scored.collect()]
     out = fairness.group_metrics(scored, {"g": F.col("g")})
     got = {r["group_value"]: r for r in out.collect()}
-    assert set(got) == {"edge", "none", "big"}  # 29 rows are too few, 30 are enough
+    assert {g for g in got if not got[g]["small"]} == {"edge", "none", "big"}
+    assert got["small"]["small"] and got["small"]["n"] == 29 and got["edge"]["n"] == 30
+    assert {r["cohort_n"] for r in got.values()} == {200}
     everyone = brute_auc([(y, p) for _, y, p in rows])
     for name in ("edge", "big"):
         auc = brute_auc([(y, p) for g, y, p in rows if g == name])
@@ -37,9 +39,10 @@ def test_group_metrics(scored):
     assert none["prevalence"] == 0.0 and none["prob_source"] == "score"
 
 
-def test_single_class_target_is_skipped(scored):
+def test_single_class_target_has_no_auc(scored):
     flat = scored.withColumn("y", F.lit(0))
-    assert fairness.group_metrics(flat, {"g": F.col("g")}).count() == 0
+    got = fairness.group_metrics(flat, {"g": F.col("g")}).collect()
+    assert len(got) == 4 and {r["auc"] for r in got} == {None}
 
 
 def test_groups_of_a_wide_frame(frame):
@@ -70,10 +73,9 @@ def table(frame):
 
 
 def test_support(table):
-    got = {r["group_value"]: (r["n"], r["pct"]) for r in fairness.support(table).collect()}
-    assert got["F"] == (41, 40.59) and got["M"] == (60, 59.41)  # 41 + 60 people
-    alone = table.filter("group_category <> 'gender'")
-    assert {r["pct"] for r in fairness.support(alone).collect()} == {100.0, 10.0}
+    whole = table.withColumn("cohort_n", F.lit(200))
+    got = {r["group_value"]: (r["n"], r["pct"]) for r in fairness.support(whole).collect()}
+    assert got["F"] == (41, 20.5) and got["M"] == (60, 30.0) and got["20-30"] == (5, 2.5)
 
 
 def test_flags_overview_matrix_order(table):

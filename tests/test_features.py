@@ -193,14 +193,16 @@ def test_profile_of_measured_features(spark, frame):
 
 def test_prune_rules(spark):
     long = wide_to_long(spark, random_wide())
-    kept = prune.prune(long, 60)
+    kept = prune.prune(long, 60, 10)
     names = {r[0] for r in kept.select("feature").distinct().collect()}
     assert names == {"plain", "gaps", "support10"}
-    again = prune.prune(kept, 60)
+    again = prune.prune(kept, 60, 10)
     assert again.count() == kept.count()
     low = {r[0] for r in prune.prune(long, 60, 0, 0).select("feature").distinct().collect()}
     assert low == {"plain", "gaps", "support9", "support10"}
-    report = prune.prune_report(prune.feature_profile(long, 60)).first()
+    default = {r[0] for r in prune.prune(long, 60).select("feature").distinct().collect()}
+    assert default == low  # nothing but constants goes unasked
+    report = prune.prune_report(prune.feature_profile(long, 60), 10).first()
     assert (report["zero_variance_dropped"], report["low_support_dropped"]) == (2, 1)
 
 
@@ -221,10 +223,18 @@ def test_top_k_score(spark):
 def test_health_profile(spark):
     import hashlib
 
+    def cell(i, v):
+        text = f"{i}:{v:.6f}:{prune.HASH_SEED}"
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
     wide = random_wide()
     got = {r["feature"]: r for r in prune.health_profile(wide_to_long(spark, wide), 60).collect()}
-    heads = [str(round(v * 10**6)) for v in wide["support10"].dropna().head(10)]
-    assert got["support10"]["sample_hash"] == hashlib.sha1(",".join(heads).encode()).hexdigest()
+    cells = wide["support10"].dropna()
+    assert got["support10"]["values_hash"] == str(sum(cell(i, v) for i, v in cells.items()))
+    wide.loc[59, "plain"] += 1.0  # the last entity counts like the first
+    changed = prune.health_profile(wide_to_long(spark, wide), 60).filter("feature = 'plain'").first()
+    assert changed["values_hash"] != got["plain"]["values_hash"]
+    wide.loc[59, "plain"] -= 1.0
     assert got["gaps"]["n_unique"] == wide["gaps"].nunique()
     assert got["gaps"]["missing_frac"] == pytest.approx(wide["gaps"].isna().mean())
     assert got["constant"]["all_constant"] == 1
@@ -300,6 +310,44 @@ def test_single_feature_auc(frame):
     assert got["flat"]["auc"] == 0.5
 
 
+@pytest.fixture
+def halves(spark, frame):
+    """Twenty entities measured once for ``a``, every second one also for ``b``."""
+    rows = [(i, i, "a", str(i), "2020-01-01 00:00:00") for i in range(20)]
+    rows += [(i, 100 + i, "b", "1", "2020-01-01 00:00:00") for i in range(0, 20, 2)]
+    return features.stats_to_long(features.event_stats(frame(rows, EVENTS)), "v")
+
+
+def test_implied_zeros_survive_pruning(halves):
+    members = features.measured_members(halves)
+    kept = prune.prune(halves, 20)
+    names = sorted(r[0] for r in kept.select("feature").distinct().collect())
+    assert "v:a__count" not in names and "v:b__measured" in names
+    want = {tuple(r) for r in features.to_wide(halves, names).collect()}
+    assert {tuple(r) for r in features.to_wide(kept, names, members=members).collect()} == want
+    place = 1 + names.index("v:b__measured")
+    assert sorted(r[place] for r in want) == [0.0] * 10 + [1.0] * 10
+
+
+def test_health_counts_implied_zeros(halves):
+    row = prune.health_profile(halves, 20).filter("feature = 'v:b__measured'").first()
+    assert (row["min_value"], row["max_value"], row["std_pop"]) == (0.0, 1.0, 0.5)
+    assert (row["n_unique"], row["missing_frac"], row["all_constant"]) == (2, 0.0, 0)
+
+
+def test_collapse_of_measured_features(halves):
+    for keep, share in (("entity_id % 2 = 0", "b only"), ("entity_id % 2 = 1", "none")):
+        out = prune.variance_collapse(halves, halves.filter(keep))
+        row = out.filter("feature = 'v:b__measured'").first()
+        assert (row["var_before"], row["var_after"], row["collapsed"]) == (0.25, 0.0, 1), share
+
+
+def test_measured_feature_that_equals_the_label(halves, frame):
+    labels = frame([(i, 1 - i % 2) for i in range(20)], "entity_id bigint, y int")
+    got = {r["feature"]: r for r in explain.single_feature_auc(halves, labels).collect()}
+    assert got["v:b__measured"]["auc"] == 1.0 and got["v:a__measured"]["auc"] == 0.5
+
+
 def test_baseline_table(frame):
     rows = frame(
         [("train", 1.0, 1, "a"), ("train", 3.0, 0, "b"), ("val", 2.0, 1, "a")],

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -233,3 +234,37 @@ def test_summary_and_comparison(spark):
     assert row["auc"] == pytest.approx(brute_auc(rows)) and row["threshold"] == 0.4
     both = metrics.compare_models(df, ["p", "q"]).first()
     assert both["p_auc"] == pytest.approx(1 - both["q_auc"])
+
+
+def test_invalid_scores_follow_one_rule(frame):
+    df = frame(
+        [(1, 0.9), (0, 0.1), (1, float("nan")), (0, None), (None, 0.5)], "y int, p double"
+    )
+    row = metrics.invalid_scores(df).first()
+    assert (row["n_rows"], row["n_invalid"]) == (5, 3)
+    assert metrics.score_metrics(df).first()["n"] == 2
+    found = metrics.confusion(df, 0.5).first()
+    assert [found[c] for c in ("tp", "fp", "fn", "tn")] == [1, 0, 0, 1]
+    assert metrics.brier(df).first()["brier"] == pytest.approx(0.01)
+    assert metrics.reliability(df, 2).agg({"n": "sum"}).first()[0] == 2
+
+
+def test_digits_keep_the_order_and_bound_every_group(spark):
+    """A million values between 1e9 and 1e9 + 1 share all leading bits."""
+    narrow = spark.range(1_000_000).select((F.lit(1e9) + F.col("id") / 1e6).alias("v")).distinct()
+    placed = ranking.with_digits(narrow, "v")
+    for level in range(len(ranking.DIGITS)):
+        child = ranking.DIGITS[level + 1] if level + 1 < len(ranking.DIGITS) else "v"
+        sizes = placed.groupBy(*ranking.DIGITS[: level + 1]).agg(F.count_distinct(child).alias("n"))
+        assert sizes.agg(F.max("n")).first()[0] <= 65_537
+    rng = random.Random(7)
+    values = {0.0, 1.0, 2.0, 4.0, 1000.0, 8.0, 5e-324, 1e-310, 1.7e308, float("inf")}
+    values |= {rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(2000)}
+    values |= {2.0**k for k in range(-60, 60)} | {math.nextafter(2.0**k, 0) for k in range(-60, 60)}
+    values |= {-v for v in values}
+    rows = ranking.with_digits(
+        spark.createDataFrame([(v,) for v in values], "v double"), "v"
+    ).collect()
+    rows.sort(key=lambda r: r["v"])
+    keys = [tuple(r[d] for d in ranking.DIGITS) for r in rows]
+    assert keys == sorted(keys)

@@ -28,9 +28,10 @@ def test_event_statistics_hash_aggregate(spark, frame):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
-def test_health_keeps_ten_rows_per_task(spark):
+def test_health_combines_on_the_map_side(spark):
     text = plan(prune.health_profile(wide_to_long(spark, random_wide()), 60))
-    assert "WindowGroupLimit" in text
+    assert "HashAggregate" in text
+    assert "Window" not in text and "SortAggregate" not in text
 
 
 def test_window_bounds_reach_the_reader(spark, tmp_path, frame):
