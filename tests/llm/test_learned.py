@@ -201,3 +201,38 @@ def test_revisits_equal_brute_force(spark):
 def test_no_captures(spark):
     assert revisits.resolve(spark.createDataFrame([], CAPTURES)).count() == 0
     assert plain_docs(spark, []).count() == 0
+
+
+def test_rare_toxic_vocabulary_is_found(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(300)]
+    table, labels = [], []
+    for i in range(900):
+        rare = i % 70 == 0  # 13 documents
+        toxic = rare or i % 20 == 7
+        text = list(rng.choice(words, 40))
+        if toxic:
+            text[3:5] = ["zorkabe", "zorkudi"] if rare else ["idiot", "moron"]
+        table.append((i, " ".join(text), "yy" if rare else "xx", 1, "f"))
+        labels.append((i, int(toxic), "f"))
+    met = [i for i in range(0, 900, 70) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 0 < len(met) < 10  # fewer than a fixed limit of ten documents
+    df, marked = spark.createDataFrame(table, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int, feature string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxic_scores(df, marked).collect()}
+    assert got == {i: t for i, t, _ in labels}
+
+
+def test_weights_are_shrunken_and_have_both_signs():
+    falling = [toxicity.weight(k, 0, 300, 2400)[1] for k in (40, 10, 5, 3, 1)]
+    assert falling == sorted(falling, reverse=True) and 0 < falling[-1] < 0.01 and falling[0] > 4
+    assert toxicity.weight(0, 600, 300, 2400)[1] < -3
+    assert toxicity.counted([["^lose", "=loser"], ["^lose"]]) == {"^lose", "=loser", "^lose 2"}
+
+
+def test_near_copies_of_a_text_count_once(spark):
+    text = [f"w{i}" for i in range(60)]
+    copies = [(" ".join(text[:i] + ["x"] + text[i:]), 1) for i in range(0, 60, 6)]
+    other = [("entirely other words", 1), (" ".join(text), 0), ("", 0)]
+    training = spark.createDataFrame(copies + other, "text string, toxic int")
+    got = sorted((r["toxic"], len(r["text"].split())) for r in toxicity.without_copies(training).collect())
+    assert got == [(0, 0), (0, 60), (1, 3), (1, 61)]
