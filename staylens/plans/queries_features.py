@@ -375,5 +375,5 @@ def linear_contributions_topk(spark, d):
     weights = long.select("feature").distinct().withColumn(
         "weight", (number * 7 % 11 - 5) / F.lit(10.0)
     )
-    out = explain.mean_abs_contribution(explain.linear_contributions(long, weights))
+    out = explain.mean_abs_contribution(explain.linear_contributions(long, weights), top_k=25)
     return out.select("feature", *b.ends(("mean_abs_contribution", 6)))
