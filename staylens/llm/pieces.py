@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 
-REMEMBERED = 1_000_000  # pieces a worker remembers, about 40 bytes each
+REMEMBERED = 32 << 20  # bytes a memory may take
 LONGEST = 64  # bytes of a piece worth remembering
-BYTES_AT_ONCE = 6 << 20  # of text
+BYTES_AT_ONCE = 3 << 20  # of text
 
 # A letter followed by closing marks: the marks are tokens of their own.
 CORE_AND_TAIL = r"(?s)^(?P<core>.*\p{L})(?P<tail>[.,]+)$"
@@ -47,22 +50,69 @@ def spans(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.
                 yield batch.slice(a, b - a)
 
 
+@lru_cache(maxsize=1)
+def unsettled() -> str:
+    """Pattern of a last letter that a normaliser turns into letter and mark: a full stop
+    after it shares a token with the mark, so it must not be cut off."""
+    found = [
+        f"\\x{{{c:X}}}"
+        for c in range(sys.maxunicode + 1)
+        if chr(c).isalpha() and not unicodedata.normalize("NFC", chr(c)).lower()[-1].isalpha()
+    ]
+    return f"[{''.join(found)}]$"
+
+
+class Generation:
+    """Pieces and their ids under sorted hashes of the pieces; equal bytes decide a hit."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.at = np.zeros(0, np.int32)  # the piece of each hash
+        self.words = pa.array([], pa.string())
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.at, self.words, self.ends, self.ids))
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 where it is not known."""
+        place = np.full(len(words), -1, np.int64)
+        if self.hashes.size:
+            slot = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
+            hit = np.flatnonzero(self.hashes[slot] == hashes)
+            found = self.at[slot[hit]]
+            same = pc.equal(self.words.take(pa.array(found)), words.take(pa.array(hit)))
+            same = same.to_numpy(zero_copy_only=False)
+            place[hit[same]] = found[same]
+        return place
+
+    def add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        slots = np.searchsorted(self.hashes, hashes[order])
+        self.at = np.insert(self.at, slots, (len(self.words) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, slots, hashes[order])
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class Memory:
     """Tokenises texts by pieces and remembers the pieces' ids.
 
     ``led``: a piece keeps the blank before it, and blanks within runs of white space do
     not cut.  Otherwise pieces hold no blank and ASCII case is ignored, for tokenizers
-    that drop both.
+    that drop both.  ``size`` bounds its bytes: pieces go to the young of two generations,
+    and when that has used its half the old one is forgotten.
     """
 
     def __init__(self, encode: Encode, led: bool, size: int = REMEMBERED):
         self.encode, self.led, self.size = encode, led, size
-        self.words = pa.array([], pa.string())
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.used = np.zeros(0, np.int64)
-        self.clock = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.old = Generation(), Generation()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
@@ -119,6 +169,9 @@ class Memory:
         parts = pc.extract_regex(keys, CORE_AND_TAIL)
         core = pc.coalesce(pc.struct_field(parts, "core"), keys)
         tail = pc.fill_null(pc.struct_field(parts, "tail"), "")
+        if not self.led:  # with a blank kept, nothing is normalised
+            whole = pc.match_substring_regex(core, unsettled())
+            core, tail = pc.if_else(whole, keys, core), pc.if_else(whole, "", tail)
         if not self.led:
             core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
         coded = pa.concat_arrays([core, tail]).dictionary_encode()
@@ -130,39 +183,40 @@ class Memory:
         return joined, np.cumsum(sizes) - sizes, sizes
 
     def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.clock += 1
-        place = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False)
-        missing = np.flatnonzero(place < 0)
-        self.used[place[place >= 0]] = self.clock
-        new = words.take(pa.array(missing))
-        ids, counts = self.encode(new.to_pylist())
-        flat = np.concatenate([self.flat, ids])
+        hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        known = place >= 0
-        starts[known], sizes[known] = self.starts[place[known]], self.sizes[place[known]]
-        starts[missing] = self.flat.size + np.cumsum(counts) - counts
-        sizes[missing] = counts
-        keep = pc.less_equal(pc.binary_length(new), LONGEST).to_numpy(zero_copy_only=False)
-        self._remember(new.filter(pa.array(keep)), ids, (np.cumsum(counts) - counts)[keep], counts[keep])
+        missing, flats, base = np.ones(len(words), bool), [], 0
+        for kept in (self.young, self.old):
+            here = np.flatnonzero(missing)
+            place = kept.find(words.take(pa.array(here)), hashes[here])
+            here, place = here[place >= 0], place[place >= 0]
+            starts[here] = base + kept.ends[place]
+            sizes[here] = kept.ends[place + 1] - kept.ends[place]
+            missing[here] = False
+            flats.append(kept.ids)
+            base += kept.ids.size
+            if kept is self.young:
+                fresh = missing.copy()
+        new = np.flatnonzero(missing)
+        ids, counts = self.encode(words.take(pa.array(new)).to_pylist())
+        starts[new] = base + np.cumsum(counts) - counts
+        sizes[new] = counts
+        flat = np.concatenate([*flats, ids])
+        # What only the old generation knew moves to the young one and outlives its turn.
+        short = pc.less_equal(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(short & fresh)
+        self.young.add(
+            words.take(pa.array(keep)), hashes[keep],
+            gather(flat, starts[keep], sizes[keep]), sizes[keep],
+        )
+        if self.young.bytes > self.size // 2:
+            self.young, self.old = Generation(), self.young
+            if self.old.bytes > self.size:  # one slice of texts held more than the budget
+                self.old = Generation()
         return flat, starts, sizes
 
-    def _remember(self, words: pa.Array, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        if len(self.words) + len(words) > self.size:  # keep the half used last
-            stay = self.used >= np.median(self.used) if self.used.size else np.zeros(0, bool)
-            if stay.sum() + len(words) > self.size:
-                stay[:] = False
-            self.flat = gather(self.flat, self.starts[stay], self.sizes[stay])
-            self.words = self.words.filter(pa.array(stay))
-            self.sizes, self.used = self.sizes[stay], self.used[stay]
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = pa.concat_arrays([self.words, words])
-        self.starts = np.concatenate([self.starts, self.flat.size + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, gather(ids, starts, sizes)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used = np.concatenate([self.used, np.full(len(words), self.clock)])
-
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def library(path: str, led: bool) -> Memory:
     """A tokenizer of the tokenizers library behind a memory, once per worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -171,12 +225,43 @@ def library(path: str, led: bool) -> Memory:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    last = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
+    if suffix:
+        for token, number in tokenizer.get_vocab().items():
+            last[number] = token.endswith(suffix)
 
-    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def encode_each(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         one = tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(one.word_ids, np.int64), minlength=len(parts))
         return np.array(one.ids, np.uint32), counts
 
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters only go as one text, which keeps no offsets; tokens that end
+        a word tell them apart."""
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if led or not suffix:
+            return encode_each(parts)
+        plain = np.fromiter((part.isalpha() for part in parts), bool, len(parts))
+        words = [part for part, alone in zip(parts, plain) if alone]
+        ids = np.array(
+            tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids,
+            np.uint32,
+        )
+        ends = np.flatnonzero(last[ids]) + 1
+        if ends.size != len(words) or (ends.size and ends[-1] != ids.size):
+            return encode_each(parts)  # a letter became letter and mark
+        counts = np.zeros(len(parts), np.int64)
+        counts[plain] = np.diff(ends, prepend=0)
+        other = [part for part, alone in zip(parts, plain) if not alone]
+        if not other:
+            return ids, counts
+        more, counts[~plain] = encode_each(other)
+        both = np.concatenate([ids, more])
+        starts = np.zeros(len(parts), np.int64)
+        starts[plain] = ends - counts[plain]
+        starts[~plain] = ids.size + np.cumsum(counts[~plain]) - counts[~plain]
+        return gather(both, starts, counts), counts
+
     return Memory(encode, led)
