@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from staylens.llm import (
     bpe,
+    divergence,
     elias_fano,
     exact_dedup,
     language,
+    mixture,
+    orchard,
     packing,
     revisits,
     secrets,
@@ -145,6 +148,107 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), cells AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), occurring AS (
+  SELECT DISTINCT lang, source FROM d
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n
+  FROM occurring LEFT JOIN cells USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * v.v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN cells c USING (lang, source, term)
+), l AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(t.all_n) + 2 * any_value(v.v)) AS q
+  FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS all_n FROM g GROUP BY lang) t USING (lang)
+  GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item,
+         coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), term AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(read(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def _op13_sql() -> str:
+    """The rounds, written out one after another."""
+    steps = [r"""
+kept AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS center
+  FROM kept QUALIFY c < 16
+)"""]
+    for r in range(4):
+        steps.append(f"""
+d{r} AS (
+  SELECT row, vec_id, v, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, center)])::BIGINT AS d
+  FROM kept, c{r}
+), a{r} AS (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM d{r} GROUP BY row
+)""")
+        if r < 3:
+            steps.append(f"""
+s{r} AS (
+  SELECT c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM a{r}, range(1, 65) t(i) GROUP BY c, i
+), m{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS center FROM s{r} GROUP BY c
+), c{r + 1} AS (
+  SELECT c, coalesce(m{r}.center, c{r}.center) AS center FROM c{r} LEFT JOIN m{r} USING (c)
+)""")
+    return "WITH" + ",".join(steps) + r"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance,
+       sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(center, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
+
 OPERATORS = (
     (op1_language_id, None),
     (op2_scaled_sketch, None),
@@ -156,6 +260,9 @@ OPERATORS = (
     (op8_simhash_dedup, None),
     (op9_bpe_round_trip, None),
     (op10_secret_scan, None),
+    (op11_source_mix, None),
+    (op12_source_divergence, OP12_SQL),
+    (op13_orchard_clusters, _op13_sql()),
 )
 
 
