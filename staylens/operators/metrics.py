@@ -20,8 +20,13 @@ from staylens.functions.numbers import (
     ratio_or_zero,
 )
 from staylens.operators.ranking import cumulative_values, exact_quantiles
-from staylens.operators.sampling import bootstrap
-from staylens.session import attach
+from staylens.operators.sampling import (
+    REPLICATES,
+    bootstrap,
+    replicate_rows,
+    replicate_sums,
+)
+from staylens.session import attach, settle
 
 
 def scored_rows(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -439,6 +444,57 @@ def compare_models(
     return figures.groupBy(key).agg(*columns)
 
 
+CHUNK = 1 << 14  # distinct scores summed in one group
+
+
+def replicate_aucs(
+    tall: DataFrame, key: str, keys: Sequence[str], n_rep: int, seed: int = 42, y: str = "y"
+) -> tuple[DataFrame, DataFrame]:
+    """(keys, auc) of the rows themselves, and (keys, replicate, auc) of Poisson replicates.
+
+    The distinct scores are ranked once, for all replicates.  Weights are then summed per
+    score as vectors over the replicates; the area is the sum inside chunks of
+    neighbouring scores, and chunks add the negatives below them.  State is distinct
+    scores x replicates, whatever the number of rows.
+    """
+    keys = list(keys)
+    counts = score_counts(tall, y, "p", keys).withColumn("one", F.lit(1).cast("long"))
+    ranked = settle(cumulative_values(counts, keys, "score", ["pos", "neg", "one"]))
+    pairs = F.max(_d("total_pos")) * F.max(_d("total_neg"))
+    area = F.sum(_d("pos") * (_d("cum_neg") - _d("neg") / 2))
+    whole = ranked.groupBy(*keys).agg(F.when(pairs > 0, area / pairs).alias("auc"))
+
+    chunk = F.floor((F.col("cum_one") - 1) / CHUNK).alias("chunk")
+    rows = scored_rows(tall, y).select(*keys, key, y, F.col("p").cast("double").alias("score"))
+    placed = rows.join(ranked.select(*keys, "score", chunk), [*keys, "score"])
+    sums = replicate_sums(
+        placed, key, n_rep, [*keys, "chunk", "score"],
+        {
+            "pos": lambda w: F.when(F.col(y) == 1, w).otherwise(0),
+            "neg": lambda w: F.when(F.col(y) == 1, 0).otherwise(w),
+        },
+        seed,
+    )
+    each = range(REPLICATES)
+    inside = Window.partitionBy(*keys, "chunk", "block").orderBy("score")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = sums.select("*", *[F.sum(f"neg_{j}").over(inside).alias(f"cum_{j}") for j in each])
+    parts = running.groupBy(*keys, "chunk", "block").agg(
+        *[F.sum(_d(f"pos_{j}") * (_d(f"cum_{j}") - _d(f"neg_{j}") / 2)).alias(f"area_{j}") for j in each],
+        *[F.sum(f"{side}_{j}").alias(f"{side}_{j}") for side in ("pos", "neg") for j in each],
+    )
+    lower = Window.partitionBy(*keys, "block").orderBy("chunk")
+    lower = lower.rowsBetween(Window.unboundedPreceding, -1)
+    below = [F.coalesce(F.sum(f"neg_{j}").over(lower), F.lit(0)).alias(f"below_{j}") for j in each]
+    joined = parts.select("*", *below).groupBy(*keys, "block").agg(
+        *[F.sum(_d(f"area_{j}") + _d(f"pos_{j}") * _d(f"below_{j}")).alias(f"area_{j}") for j in each],
+        *[(F.sum(_d(f"pos_{j}")) * F.sum(_d(f"neg_{j}"))).alias(f"pairs_{j}") for j in each],
+    )
+    drawn = replicate_rows(joined, n_rep, keys, ["area", "pairs"])
+    auc = F.when(F.col("pairs") > 0, F.col("area") / F.col("pairs")).alias("auc")
+    return whole, drawn.select(*keys, "replicate", auc)
+
+
 def bootstrap_auc_diff(
     scored: DataFrame,
     a: str,
@@ -447,20 +503,20 @@ def bootstrap_auc_diff(
     n_rep: int = 2000,
     q: tuple[float, float] = (0.025, 0.975),
     seed: int = 42,
-    method: str = "exact",
+    method: str = "poisson",
     target: str = "target",
     y: str = "y",
 ) -> DataFrame:
     """AUC difference a - b with bootstrap interval and two-sided p per target.
 
-    All replicates of both scores are ranked in one job.  Replicates with one
-    class drop out and lower ``n_boot_effective``.
+    Replicates weigh each row by an independent Poisson(1) count and work on distinct
+    scores (``replicate_aucs``); ``exact`` draws as many rows as there are, which writes
+    rows x replicates.  Replicates with one class drop out and lower ``n_boot_effective``.
     """
+    tall = scored.select(target, key, y, a, b).unpivot([target, key, y], [a, b], "score_name", "p")
+    by = [target, "score_name"]
 
-    def auc_gap(rows: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
-        keep = [*keys, y] + ([weight] if weight else [])
-        tall = rows.select(*keep, a, b).unpivot(keep, [a, b], "score_name", "p")
-        auc = roc_auc(tall, y, "p", [*keys, "score_name"], weight)
+    def auc_gap(auc: DataFrame, keys: list[str]) -> DataFrame:
         sides = [
             F.max(F.when(F.col("score_name") == s, F.col("auc"))).alias(f"auc_{side}")
             for s, side in ((a, "a"), (b, "b"))
@@ -468,11 +524,18 @@ def bootstrap_auc_diff(
         both = auc.groupBy(*keys).agg(*sides)
         return both.withColumn("diff", F.col("auc_a") - F.col("auc_b"))
 
-    observed = auc_gap(scored, [target], None)
+    if method == "poisson":
+        whole, replicates = replicate_aucs(tall, key, by, n_rep, seed, y)
+    else:
+        slim = scored.select(target, key, y, a, b)
+        drawn = bootstrap(slim, key, n_rep, seed, method, [target])
+        kept = [target, "replicate", y, "weight"]
+        spread = drawn.select(*kept, a, b).unpivot(kept, [a, b], "score_name", "p")
+        whole = roc_auc(tall, y, "p", by)
+        replicates = roc_auc(spread, y, "p", [*by, "replicate"], "weight")
+    observed = settle(auc_gap(whole, [target]))
     size = scored.groupBy(target).agg(F.count(F.lit(1)).alias("n_test"))
-    slim = scored.select(target, key, y, a, b)
-    drawn = bootstrap(slim, key, n_rep, seed, method, [target])
-    gaps = auc_gap(drawn, [target, "replicate"], "weight").filter(F.col("diff").isNotNull())
+    gaps = auc_gap(replicates, [target, "replicate"]).filter(F.col("diff").isNotNull())
     gaps = gaps.select(target, F.col("diff").alias("boot_diff"))
     # One row per replicate here: n_rep rows per target bound the exact percentile.
     bounds = F.percentile("boot_diff", F.array(*[F.lit(v) for v in q]))

@@ -7,7 +7,7 @@ seed only, never on partitioning.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,17 +175,85 @@ def split_by_counts(
     return cut.filter(F.col("_slice") < len(counts)).withColumn("split", split).drop("_slice")
 
 
-def poisson_limits(tail: float = 1e-10) -> list[int]:
-    """Hash values at which a Poisson(1) count steps up by one."""
+REPLICATES = 8  # of a block: one sha256 gives so many 32-bit hashes
+
+
+def poisson_limits(tail: float = 1e-10) -> list[str]:
+    """Hashes, as eight hex digits, at which a Poisson(1) count steps up by one."""
     limits, mass, below, k = [], math.exp(-1.0), 0.0, 0
     while 1.0 - below > tail:
         below += mass
-        limits.append(int(below * HASH_SPAN))
+        limits.append(f"{min(int(below * HASH_SPAN), HASH_SPAN - 1):08x}")
         k += 1
         mass /= k
     return limits
 
 
+def poisson_weights(digest: Column) -> list[Column]:
+    """Poisson(1) weights of a row in the replicates of a block, from its hash there."""
+    out = []
+    for j in range(REPLICATES):
+        h = F.substring(digest, 8 * j + 1, 8)
+        weight = F.when(h < poisson_limits()[0], 0)
+        for count, limit in enumerate(poisson_limits()[1:], 1):
+            weight = weight.when(h < limit, count)
+        out.append(weight.otherwise(len(poisson_limits())).cast("long"))
+    return out
+
+
+def weight_sql(digits: str) -> str:
+    """The weight of eight hex digits in SQL."""
+    steps = [f"WHEN {digits} < '{limit}' THEN {count}" for count, limit in enumerate(poisson_limits())]
+    return f"CASE {' '.join(steps)} ELSE {len(steps)} END"
+
+
+def with_blocks(df: DataFrame, key: str, n_rep: int, seed: int) -> DataFrame:
+    """One row per block of replicates: ``block`` and the row's hash ``digest`` in it."""
+    last = -(-n_rep // REPLICATES) - 1
+    spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
+    text = F.concat_ws(":", F.col(key).cast("string"), F.col("block").cast("string"), F.lit(str(seed)))
+    return spread.withColumn("digest", F.sha2(text, 256))
+
+
+def replicate_sums(
+    df: DataFrame,
+    key: str,
+    n_rep: int,
+    by: Sequence[str],
+    measures: Mapping[str, Callable[[Column], Column]],
+    seed: int = 42,
+) -> DataFrame:
+    """Sums over Poisson weights per ``by`` and block, ``<measure>_<j>`` for each replicate.
+
+    A measure maps a row's weight to what is summed.  The sums of a block are a vector
+    that adds up on the map side, so what is shuffled is cells x replicates, not rows x
+    replicates, wherever rows share a cell.
+    """
+    weighted = with_blocks(df, key, n_rep, seed)
+    for j, weight in enumerate(poisson_weights(F.col("digest"))):
+        weighted = weighted.withColumn(f"_w{j}", weight)
+    sums = [
+        F.sum(value(F.col(f"_w{j}"))).alias(f"{name}_{j}")
+        for name, value in measures.items()
+        for j in range(REPLICATES)
+    ]
+    return weighted.groupBy(*by, "block").agg(*sums)
+
+
+def replicate_rows(
+    sums: DataFrame, n_rep: int, by: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """One row per (by, replicate) from the vectors of the blocks."""
+    each = [
+        F.struct(F.lit(j).alias("j"), *[F.col(f"{m}_{j}").alias(m) for m in measures])
+        for j in range(REPLICATES)
+    ]
+    long = sums.select(*by, "block", F.explode(F.array(*each)).alias("r"))
+    replicate = (F.col("block") * REPLICATES + F.col("r.j")).cast("int").alias("replicate")
+    out = long.select(*by, replicate, *[F.col(f"r.{m}").alias(m) for m in measures])
+    return out.filter(F.col("replicate") < n_rep)
+
+
 def bootstrap(
     df: DataFrame,
     key: str,
@@ -202,13 +270,15 @@ def bootstrap(
     """
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("replicate")
     if method == "poisson":
-        spread = df.select("*", reps)
-        h = portable_hash(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate")), seed)
-        weight = F.lit(0)
-        for limit in poisson_limits():
-            weight = weight + (F.col("_h") >= F.lit(limit)).cast("int")
-        weighted = spread.withColumn("_h", h).withColumn("weight", weight.cast("long"))
-        return weighted.filter(F.col("weight") > 0).drop("_h")
+        blocks = with_blocks(df, key, n_rep, seed)
+        each = [
+            F.struct(F.lit(j).alias("j"), w.alias("weight"))
+            for j, w in enumerate(poisson_weights(F.col("digest")))
+        ]
+        spread = blocks.select(*columns_of(df), "block", F.explode(F.array(*each)).alias("_r"))
+        replicate = (F.col("block") * REPLICATES + F.col("_r.j")).cast("int").alias("replicate")
+        weighted = spread.select(*columns_of(df), replicate, F.col("_r.weight").alias("weight"))
+        return weighted.filter((F.col("weight") > 0) & (F.col("replicate") < n_rep))
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     groups = list(groups)

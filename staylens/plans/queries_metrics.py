@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.operators import metrics, ranking
+from staylens.operators import metrics, ranking, sampling
 from staylens.plans import bindings as b
 from staylens.plans.registry import query
 
 THRESHOLD = 0.5
-N_BOOT = 20
+N_BOOT = 2000
 
 # Distinct scores with the counts at or above each one.
 RANKED = f"""WITH {b.SCORED_SQL},
@@ -311,19 +311,18 @@ def metric_sanity(spark, d):
 @query(
     "bootstrap_auc_diff",
     f"""WITH {b.SCORED_SQL},
-hr AS (SELECT *, {b.hash_sql("entity_id", 42)} AS hh FROM scored),
-r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hh, entity_id) - 1 AS rk,
-             count(*) OVER (PARTITION BY target) AS n FROM hr),
-d AS (SELECT target, b.i AS rep, ('0x' || substr(md5(b.i::VARCHAR || ':' || rk::VARCHAR || ':42'), 1, 8))::BIGINT % n AS rk
-      FROM r, range(0, {N_BOOT}) b(i)),
-s AS (SELECT d.target, d.rep, r.p, r.p2, r.y FROM d JOIN r USING (target, rk)),
-t AS (SELECT target, rep, 'a' AS m, p AS v, y FROM s UNION ALL SELECT target, rep, 'b', p2, y FROM s
-      UNION ALL SELECT target, -1, 'a', p, y FROM scored UNION ALL SELECT target, -1, 'b', p2, y FROM scored),
-k AS (SELECT *, rank() OVER (PARTITION BY target, rep, m ORDER BY v)
-           + (count(*) OVER (PARTITION BY target, rep, m, v) - 1) / 2.0::DOUBLE AS rnk FROM t),
-g AS (SELECT target, rep, m, sum(y)::DOUBLE AS np, (count(*) - sum(y))::DOUBLE AS nn, sum(rnk) FILTER (WHERE y = 1) AS sr
-      FROM k GROUP BY target, rep, m),
-a AS (SELECT target, rep, m, CASE WHEN np * nn > 0 THEN (sr - np * (np + 1) / 2) / (np * nn) END AS auc FROM g),
+x AS (SELECT target, y, p, p2, k.i AS blk, sha256(entity_id::VARCHAR || ':' || k.i::VARCHAR || ':42') AS dg
+      FROM scored, range(0, {N_BOOT // sampling.REPLICATES}) k(i)),
+s AS (SELECT target, y, p, p2, blk * {sampling.REPLICATES} + j.i AS rep, {sampling.weight_sql("substr(dg, 8 * j.i + 1, 8)")} AS wt
+      FROM x, range(0, {sampling.REPLICATES}) j(i)),
+t AS (SELECT target, rep, 'a' AS m, p AS v, y, wt FROM s UNION ALL SELECT target, rep, 'b', p2, y, wt FROM s
+      UNION ALL SELECT target, -1, 'a', p, y, 1 FROM scored UNION ALL SELECT target, -1, 'b', p2, y, 1 FROM scored),
+c AS (SELECT target, rep, m, v, sum(wt) FILTER (WHERE y = 1)::DOUBLE AS pos, sum(wt) FILTER (WHERE y = 0)::DOUBLE AS neg
+      FROM t GROUP BY target, rep, m, v),
+u AS (SELECT target, rep, m, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg,
+             sum(coalesce(neg, 0)) OVER (PARTITION BY target, rep, m ORDER BY v) AS cum FROM c),
+a AS (SELECT target, rep, m, CASE WHEN sum(pos) * sum(neg) > 0
+             THEN sum(pos * (cum - neg / 2)) / (sum(pos) * sum(neg)) END AS auc FROM u GROUP BY target, rep, m),
 w AS (SELECT target, rep, max(auc) FILTER (WHERE m = 'a') AS auc_a, max(auc) FILTER (WHERE m = 'b') AS auc_b FROM a GROUP BY target, rep),
 o AS (SELECT target, auc_a, auc_b, auc_a - auc_b AS diff FROM w WHERE rep = -1),
 e AS (SELECT w.target, w.auc_a - w.auc_b AS bd, o.diff FROM w JOIN o USING (target) WHERE rep >= 0 AND w.auc_a - w.auc_b IS NOT NULL),

@@ -9,6 +9,7 @@ from staylens.plans import bindings as b
 from staylens.plans.registry import query
 
 SEED = 42
+N_BOOT = 2000
 CAP = 150
 
 
@@ -125,18 +126,18 @@ def align_labels(spark, d):
 
 @query(
     "bootstrap_poisson",
-    f"""WITH r AS (SELECT unnest(range(0, 20))::INT AS replicate),
-h AS (SELECT l.doc_id, r.replicate,
-        ('0x' || substr(md5(l.doc_id::VARCHAR || ':' || r.replicate::VARCHAR || ':42'), 1, 8))::BIGINT AS h
-      FROM labels l, r),
-w AS (SELECT replicate, {" + ".join(f"(h >= {v})::INT" for v in sampling.poisson_limits())} AS weight FROM h)
-SELECT replicate, count(*) AS n_rows, sum(weight)::BIGINT AS drawn FROM w WHERE weight > 0 GROUP BY replicate""",
+    f"""WITH x AS (SELECT k.i AS blk, sha256(l.doc_id::VARCHAR || ':' || k.i::VARCHAR || ':42') AS dg
+           FROM labels l, range(0, {N_BOOT // sampling.REPLICATES}) k(i)),
+w AS (SELECT (blk * {sampling.REPLICATES} + j.i)::INT AS replicate, {sampling.weight_sql("substr(dg, 8 * j.i + 1, 8)")} AS weight
+      FROM x, range(0, {sampling.REPLICATES}) j(i))
+SELECT replicate, count(*) FILTER (WHERE weight > 0) AS n_rows, sum(weight)::BIGINT AS drawn FROM w GROUP BY replicate""",
 )
 def bootstrap_poisson(spark, d):
-    drawn = sampling.bootstrap(_labels(spark, d), "doc_id", 20, SEED, "poisson")
-    return drawn.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("drawn")
+    sums = sampling.replicate_sums(
+        _labels(spark, d), "doc_id", N_BOOT, [],
+        {"n_rows": lambda w: (w > 0).cast("long"), "drawn": lambda w: w}, SEED,
     )
+    return sampling.replicate_rows(sums, N_BOOT, [], ["n_rows", "drawn"])
 
 
 @query(

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from staylens.operators import metrics, ranking
+from staylens.operators.sampling import poisson_limits, replicate_sums
 
 
 def brute_auc(rows):
@@ -207,18 +209,57 @@ def test_bootstrap_difference(spark):
         y = int(rng.random() < 0.4)
         rows.append(("t", i, y, y * 0.3 + rng.random(), rng.random()))
     df = spark.createDataFrame(rows, "target string, id bigint, y int, a double, b double")
-    got = metrics.bootstrap_auc_diff(df, "a", "b", "id", n_rep=30).first()
+    got = metrics.bootstrap_auc_diff(df, "a", "b", "id", n_rep=30, method="exact").first()
     pairs = lambda c: [(r[2], r[c]) for r in rows]
     assert got["auc_a"] == pytest.approx(brute_auc(pairs(3)))
     assert got["auc_b"] == pytest.approx(brute_auc(pairs(4)))
     assert got["ci_lower"] <= got["diff_a_minus_b"] <= got["ci_upper"]
     assert 0 < got["p_two_sided"] <= 1 and got["n_boot_effective"] == 30 and got["n_test"] == 120
+    loose = metrics.bootstrap_auc_diff(df, "a", "b", "id", n_rep=30).first()
     again = metrics.bootstrap_auc_diff(df.repartition(5), "a", "b", "id", n_rep=30).first()
-    assert again["ci_lower"] == pytest.approx(got["ci_lower"], abs=1e-12)
-    loose = metrics.bootstrap_auc_diff(df, "a", "b", "id", n_rep=30, method="poisson").first()
+    assert again["ci_lower"] == pytest.approx(loose["ci_lower"], abs=1e-12)
     assert abs(loose["ci_lower"] - got["ci_lower"]) < 0.15
 
 
+def poisson_weight(row_id, replicate, seed=42):
+    digest = hashlib.sha256(f"{row_id}:{replicate // 8}:{seed}".encode()).hexdigest()
+    return sum(digest[8 * (replicate % 8) :][:8] >= limit for limit in poisson_limits())
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 14])
+def test_replicates_over_cells(spark, monkeypatch, chunk):
+    """Weights summed per distinct score give the area of the weighted rows."""
+    monkeypatch.setattr(metrics, "CHUNK", chunk)
+    rng = random.Random(3)
+    rows = [("t", i, int(rng.random() < 0.4), rng.randrange(9) / 8) for i in range(70)]
+    rows += [("one class", i, 1, 0.5) for i in range(3)]
+    rows += [("t", 900, None, 0.5), ("t", 901, 1, None), ("t", 902, 0, float("nan"))]
+    df = spark.createDataFrame(rows, "target string, id bigint, y int, p double")
+    whole, drawn = metrics.replicate_aucs(df, "id", ["target"], 21)
+    kept = [r for r in rows if r[0] == "t" and r[1] < 900]
+    got = {r["target"]: r["auc"] for r in whole.collect()}
+    assert got["one class"] is None and got["t"] == pytest.approx(brute_auc([r[2:] for r in kept]))
+    found = {(r["target"], r["replicate"]): r["auc"] for r in drawn.collect()}
+    assert len(found) == 42
+    for b in range(21):
+        many = [r[2:] for r in kept for _ in range(poisson_weight(r[1], b))]
+        assert found["t", b] == pytest.approx(brute_auc(many))
+        assert found["one class", b] is None
+
+
+def test_replicates_shuffle_cells_not_rows(spark):
+    """Rows that share a score are one vector before anything is shuffled."""
+    df = spark.range(20_000).select(
+        F.lit("t").alias("target"), "id", (F.col("id") % 2).alias("y"), (F.col("id") % 5 / 5).alias("p")
+    )
+    sums = replicate_sums(
+        df.coalesce(2), "id", 16, ["target", "p"], {"pos": lambda w: w * F.col("y")}
+    )
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")
+    assert "Python" not in plan and sums.count() == 10
+
+
 def test_sanity_flags(frame):
     fresh = frame([("a", 0.8, 0.5), ("b", 0.8, 0.5), ("c", 0.8, 0.5)], "target string, auc double, f1 double")
     stored = frame([("a", 0.805, 0.5), ("b", 0.85, None)], "target string, auc double, f1 double")
