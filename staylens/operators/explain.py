@@ -1,4 +1,4 @@
-"""Feature contributions, importances and single-feature ranking checks."""
+"""Permutation importance and single-feature ranking checks."""
 
 from __future__ import annotations
 
@@ -7,32 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.functions.text import quoted
 from staylens.operators.features import measured_members
 from staylens.operators.metrics import roc_auc
 from staylens.operators.ranking import hash_rank
-from staylens.session import attach
-
-
-def linear_contributions(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per row and feature w * (x - mean) of a linear model.
-
-    ``weights`` is (feature, weight), one row per feature.
-    """
-    means = long.groupBy("feature").agg(F.avg("value").alias("mean"))
-    table = weights.join(means, "feature")
-    part = F.col("weight") * (F.col("value") - F.col("mean"))
-    return attach(long, table, "feature").select(
-        "entity_id", "feature", part.alias("contribution")
-    )
-
-
-def mean_abs_contribution(contributions: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Global importance: mean absolute contribution, largest first."""
-    out = contributions.groupBy("feature").agg(
-        F.avg(F.abs("contribution")).alias("mean_abs_contribution")
-    )
-    ordered = out.orderBy(F.col("mean_abs_contribution").desc(), "feature")
-    return ordered if top_k is None else ordered.limit(top_k)
 
 
 def permutation_importance(
@@ -43,34 +21,34 @@ def permutation_importance(
     y: str = "y",
     seed: int = 42,
 ) -> DataFrame:
-    """AUC lost when one feature at a time is shuffled between rows.
+    """AUC lost when one feature at a time is taken from another row.
 
-    ``score`` adds a column ``p``.  A shuffle pairs the row of rank r under one
-    hash order with the donor of rank r under another, so it is a plain equi
-    join on unique ranks; all features are scored and ranked in one job.
+    ``score`` adds a column ``p`` row by row.  One permutation serves all features: the
+    row of rank r under one hash order has the row of rank r under another as its donor,
+    an equi join on unique ranks.  Each row then scores itself once per feature with that
+    value exchanged, and only (feature, y, p) is shuffled for the ranking.
     """
-    base = df.select(key, y, *features)
+    base = df.select(key, y, *[F.col(quoted(f)) for f in features])
     names = list(features)
-    cells = base.select(
-        key, F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("donor"))
-            for f in names
-        ])).alias("c")
-    ).select("c.*", F.concat_ws("|", F.col(key).cast("string"), F.col("c.feature")).alias("cell"))
-    donors = hash_rank(cells, "cell", seed + 1, ["feature"], "slot")
-    donors = donors.select("feature", "slot", "donor")
+    values = F.struct(*[F.col(quoted(f)).cast("double").alias(f"f{i}") for i, f in enumerate(names)])
     slots = hash_rank(base, key, seed, name="slot").drop("group_size")
-    spread = slots.select("*", F.explode(F.array(*[F.lit(f) for f in names])).alias("feature"))
-    mixed = spread.join(donors, ["feature", "slot"]).select(
-        "feature",
+    donors = hash_rank(base.select(key, values.alias("donor")), key, seed + 1, name="slot")
+    paired = slots.join(donors.select("slot", "donor"), "slot")
+    spread = paired.select(
+        key, y, "donor", *[F.col(quoted(f)) for f in names],
+        F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_at"),
+    )
+    mixed = spread.select(
+        F.element_at(F.array(*[F.lit(f) for f in names]), F.col("_at") + 1).alias("feature"),
         key,
         y,
         *[
-            F.when(F.col("feature") == f, F.col("donor")).otherwise(F.col(f)).alias(f)
-            for f in names
+            F.when(F.col("_at") == i, F.col(f"donor.f{i}")).otherwise(F.col(quoted(f))).alias(f)
+            for i, f in enumerate(names)
         ],
     )
-    shuffled = roc_auc(score(mixed), y, "p", ["feature"])
+    scored = score(mixed).select("feature", y, "p")
+    shuffled = roc_auc(scored, y, "p", ["feature"])
     whole = roc_auc(score(base), y, "p").scalar()
     return shuffled.select(
         "feature",

@@ -42,8 +42,14 @@ def class_weight(df: DataFrame, y: str = "y") -> tuple[float, float]:
     return share, (1.0 - share) / max(share, 1e-6)
 
 
-def _prepare(features: Sequence[str], scale: bool) -> list:
-    """Median imputation and assembly, saved with the model for train and score alike."""
+def _prepare(features: Sequence[str] | str, scale: bool) -> list:
+    """Median imputation and assembly, saved with the model for train and score alike.
+
+    The name of a vector column stands for rows that ``vectors`` has imputed.
+    """
+    if isinstance(features, str):
+        named = SQLTransformer(statement=f"SELECT *, {quoted(features)} AS assembled FROM __THIS__")
+        return [named, *([_scaler()] if scale else [])]
     raw = [f"raw_{i}" for i in range(len(features))]
     filled = [f"filled_{i}" for i in range(len(features))]
     casts = ", ".join(f"CAST({quoted(f)} AS DOUBLE) AS {r}" for f, r in zip(features, raw))
@@ -52,15 +58,15 @@ def _prepare(features: Sequence[str], scale: bool) -> list:
         Imputer(strategy="median", inputCols=raw, outputCols=filled, relativeError=1e-4),
         VectorAssembler(inputCols=filled, outputCol="assembled"),
     ]
-    if scale:
-        stages.append(
-            StandardScaler(inputCol="assembled", outputCol="features", withMean=False, withStd=True)
-        )
-    return stages
+    return [*stages, *([_scaler()] if scale else [])]
+
+
+def _scaler() -> StandardScaler:
+    return StandardScaler(inputCol="assembled", outputCol="features", withMean=False, withStd=True)
 
 
 def baseline_logistic(
-    train: DataFrame, features: Sequence[str], y: str = "y", max_iter: int = 500
+    train: DataFrame, features: Sequence[str] | str, y: str = "y", max_iter: int = 500
 ) -> PipelineModel:
     """Median impute, scale without centring, class-balanced logistic regression."""
     share, _ = class_weight(train, y)
@@ -74,7 +80,7 @@ def baseline_logistic(
 
 def boosted_trees(
     train: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     params: Mapping[str, object] | None = None,
     y: str = "y",
     seed: int = 42,
@@ -118,7 +124,7 @@ def draw_params(
 
 def tune(
     train: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     trials: Sequence[Mapping[str, object]],
     folds: int = 5,
     y: str = "y",
@@ -201,7 +207,7 @@ class TargetModel:
 
 def fit_target(
     rows: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     params: Mapping[str, object] | None = None,
     y: str = "y",
     with_full: bool = True,

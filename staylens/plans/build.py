@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.text import DRUG_PATTERNS, ETHNICITY_RULES, PROCEDURE_PATTERNS
-from staylens.operators import cohort, features, labels, models, prune, sampling, window
+from staylens.operators import cohort, features, labels, models, prune, sampling, vectors, window
 from staylens.session import settle, tune
 from staylens.sources.files import schema_names
 from staylens.sources.tables import id_frame
@@ -220,9 +220,39 @@ def training_rows(training: Training, seed: int = 42) -> DataFrame:
     return features.join_labels(wide, split)
 
 
+VECTOR = "vector"
+
+
+def vector_rows(
+    long: DataFrame, schema: DataFrame, entities: DataFrame, members: DataFrame | None = None
+) -> DataFrame:
+    """(entity_id, vector) of ``entities`` under a (feature, ordinal, median) schema."""
+    cells = vectors.centred_cells(long, schema.select("feature", "median"), members)
+    return vectors.sparse_vectors(cells, schema, entities, schema.count(), VECTOR)
+
+
+def training_vectors(training: Training, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Labels, shared split and sparse feature vectors, and the schema they follow.
+
+    Medians are those of the train split and part of the schema, so that scoring
+    imputes alike.  A feature unknown there has the median 0.
+    """
+    split = settle(
+        sampling.stratified_split(training.labels, "entity_id", TARGETS["readmission"], seed=seed)
+    )
+    train = split.filter(F.col("split") == "train").select("entity_id")
+    medians = vectors.feature_medians(
+        cohort.within_cohort(training.features, train), cohort.within_cohort(training.members, train)
+    )
+    schema = training.schema.select("feature", "ordinal").join(medians, "feature", "left")
+    schema = settle(schema.select("feature", "ordinal", F.coalesce("median", F.lit(0.0)).alias("median")))
+    rows = vector_rows(training.features, schema, split, training.members)
+    return features.join_labels(rows, split), schema
+
+
 def fit_all(
     rows: DataFrame,
-    names: Sequence[str],
+    names: Sequence[str] | str = VECTOR,
     params: Mapping[str, Mapping[str, object]] | None = None,
     with_full: bool = False,
     seed: int = 42,
@@ -241,15 +271,16 @@ def score_unseen(
     sources: Sources,
     cohort_ids: DataFrame | Sequence[int],
     fitted: Mapping[str, models.TargetModel],
-    names: Sequence[str],
+    names: Sequence[str] | DataFrame,
     config: Config | None = None,
     require_labels: bool = False,
     strict: bool = False,
 ) -> DataFrame:
     """Calibrated probabilities of the entities of a cohort, four fixed columns.
 
-    Features are aligned to the stored schema and never pruned, so a small batch
-    keeps all its columns.  ``require_labels`` also applies the early-event
+    ``names`` is the schema the models were fitted on: that of ``training_vectors``, or
+    the column names of wide rows.  Features are aligned to it and never pruned, so a
+    small batch keeps all its columns.  ``require_labels`` also applies the early-event
     exclusion, which looks at future data.
     """
     config = config or Config()
@@ -263,11 +294,21 @@ def score_unseen(
         index = cohort.within_cohort(index, _labels(sources, index, config))
     index = settle(index)
     long = feature_blocks(index, modality_bundle(sources, index, config), config)
-    wide = settle(features.to_wide(long, names))
-    prune.assert_variable_fraction(
-        prune.wide_variable_fraction(wide), config.min_scoring_fraction, strict
-    )
-    scored = models.score(wide, fitted, OUTPUTS)
+    if isinstance(names, DataFrame):
+        long = settle(long)
+        members = settle(features.measured_members(long).distinct())
+        known = long.join(names.select("feature"), "feature", "left_semi")
+        total = index.agg(F.count(F.lit(1))).scalar()
+        fraction = prune.variable_fraction(known, total, members=members).select(
+            F.lit(names.count()).alias("n_features"), "n_variable"
+        )
+        fraction = fraction.withColumn("variable_fraction", F.col("n_variable") / F.col("n_features"))
+        rows = vector_rows(long, names, index, members)
+    else:
+        rows = settle(features.to_wide(long, names))
+        fraction = prune.wide_variable_fraction(rows)
+    prune.assert_variable_fraction(fraction, config.min_scoring_fraction, strict)
+    scored = models.score(rows, fitted, OUTPUTS)
     return features.final_columns(
         scored, ["mortality_proba", "prolonged_LOS_proba", "readmission_proba"]
     )

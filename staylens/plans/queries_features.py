@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staylens.functions import text
-from staylens.operators import explain, features, prune
+from staylens.operators import explain, features, prune, vectors
 from staylens.plans import bindings as b
 from staylens.plans.registry import query
 from staylens.session import settle
@@ -363,7 +365,8 @@ SELECT 'dim_' || i AS feature, round(a, 6) AS mean_abs_contribution FROM c
 ORDER BY a DESC, feature LIMIT 25""",
 )
 def linear_contributions_topk(spark, d):
-    long = b.table(spark, d, "embeddings").select(
+    base = b.table(spark, d, "embeddings")
+    long = base.select(
         F.col("vec_id").alias("entity_id"), F.posexplode("embedding").alias("i", "v")
     )
     long = long.select(
@@ -375,5 +378,52 @@ def linear_contributions_topk(spark, d):
     weights = long.select("feature").distinct().withColumn(
         "weight", (number * 7 % 11 - 5) / F.lit(10.0)
     )
-    out = explain.mean_abs_contribution(explain.linear_contributions(long, weights), top_k=25)
+    parts = vectors.linear_contributions(long, weights, base.agg(F.count(F.lit(1))).scalar())
+    out = vectors.mean_abs_contribution(parts, top_k=25)
+    return out.select("feature", *b.ends(("mean_abs_contribution", 6)))
+
+
+# The dense matrix: implied zeros filled in, then medians; values rounded as in single_feature_auc.
+DENSE = f"""{PROFILE},
+c AS (SELECT entity_id, feature, round(value, 6) AS value FROM filled),
+med AS (SELECT feature, median(value) AS m, row_number() OVER (ORDER BY feature) - 1 AS ordinal
+        FROM c GROUP BY feature),
+dense AS (SELECT e.entity_id, med.feature, med.ordinal, coalesce(c.value, med.m) - med.m AS v
+          FROM (SELECT DISTINCT entity_id FROM long) e CROSS JOIN med LEFT JOIN c USING (entity_id, feature))"""
+
+
+def _cells(spark, d):
+    """Settled long features, their schema with medians, and the centred cells."""
+    long = settle(_rounded(b.settled_long(spark, d)))
+    medians = vectors.feature_medians(long)
+    schema = settle(
+        medians.withColumn("ordinal", F.row_number().over(Window.orderBy("feature")) - 1)
+    )
+    return long, schema, vectors.centred_cells(long, schema.select("feature", "median"))
+
+
+@query(
+    "sparse_vectors",
+    f"{DENSE} SELECT entity_id, ordinal::INT AS ordinal, round(v, 6) AS value FROM dense WHERE v <> 0",
+)
+def sparse_vectors(spark, d):
+    """The stored cells of the vectors that the fits read."""
+    long, schema, cells = _cells(spark, d)
+    rows = vectors.sparse_vectors(cells, schema, long, schema.count())
+    each = rows.select("entity_id", F.posexplode(vector_to_array("vector")).alias("ordinal", "value"))
+    return each.filter(F.col("value") != 0).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "linear_importance",
+    f"""{DENSE},
+w AS (SELECT *, ((ordinal * 7) % 11 - 5) / 10.0::DOUBLE AS w, avg(v) OVER (PARTITION BY feature) AS mean FROM dense)
+SELECT feature, round(avg(abs(w * (v - mean))), 6) AS mean_abs_contribution FROM w GROUP BY feature""",
+)
+def linear_importance(spark, d):
+    """Mean absolute contribution over all cells, implied and imputed ones in closed form."""
+    long, schema, cells = _cells(spark, d)
+    weights = schema.select("feature", ((F.col("ordinal") * 7 % 11 - 5) / F.lit(10.0)).alias("weight"))
+    total = long.agg(F.count_distinct("entity_id")).scalar()
+    out = vectors.mean_abs_contribution(vectors.linear_contributions(cells, weights, total))
     return out.select("feature", *b.ends(("mean_abs_contribution", 6)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.operators import explain, metrics, models, sampling
+from staylens.operators import explain, metrics, models, sampling, vectors
 from staylens.plans import bindings as b
 from staylens.plans import build
 from staylens.plans.registry import query
@@ -16,6 +16,7 @@ from staylens.session import settle
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "distinct_share"]
 TREES = {"maxIter": 5, "maxDepth": 3}
 SEED = 42
+TARGETS = ("quality", "toxic")
 
 
 def document_rows(spark, d):
@@ -46,8 +47,8 @@ def fit_logistic_baseline(spark, d):
     """Validation AUC of the baseline per target."""
     rows = document_rows(spark, d)
     out = None
-    for target in ("quality", "toxic"):
-        fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, target, max_iter=50)
+    for target in TARGETS:
+        fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, target)
         scored = models.predict(fitted, _split(rows, "val"))
         auc = metrics.roc_auc(scored, target).select(
             F.lit(target).alias("target"), F.col("auc").alias("baseline_val_auc")
@@ -122,14 +123,71 @@ def permutation_importance(spark, d):
     )
 
 
+LINEAR = {"size": 1.0, "rest": 3.0, "part": 50.0}
+
+
+@query(
+    "permutation_linear",
+    f"""WITH l AS (
+  SELECT l.doc_id, t.target, CASE WHEN t.target = 'quality' THEN l.quality ELSE l.toxic END AS y,
+         d.n_chars::DOUBLE AS size, (d.n_chars % 997)::DOUBLE AS rest, (l.doc_id % 101)::DOUBLE AS part
+  FROM labels l JOIN documents d USING (doc_id) CROSS JOIN (VALUES ('quality'), ('toxic')) t(target)),
+a AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {b.hash_sql("doc_id", 42)}, doc_id) AS slot,
+             row_number() OVER (PARTITION BY target ORDER BY {b.hash_sql("doc_id", 43)}, doc_id) AS gives FROM l),
+m AS (SELECT a.target, f.feature, a.y,
+             CASE f.feature WHEN 'size' THEN z.size ELSE a.size END
+             + 3 * CASE f.feature WHEN 'rest' THEN z.rest ELSE a.rest END
+             + 50 * CASE f.feature WHEN 'part' THEN z.part ELSE a.part END AS p
+      FROM a JOIN a z ON z.target = a.target AND z.gives = a.slot
+      CROSS JOIN (VALUES ('size'), ('rest'), ('part'), ('')) f(feature)),
+k AS (SELECT *, rank() OVER (PARTITION BY target, feature ORDER BY p)
+             + (count(*) OVER (PARTITION BY target, feature, p) - 1) / 2.0::DOUBLE AS rk FROM m),
+g AS (SELECT target, feature, sum(y)::DOUBLE AS np, (count(*) - sum(y))::DOUBLE AS nn,
+             sum(rk) FILTER (WHERE y = 1) AS s FROM k GROUP BY target, feature),
+u AS (SELECT target, feature, (s - np * (np + 1) / 2) / (np * nn) AS auc FROM g)
+SELECT x.target, x.feature, round(w.auc, 6) AS base_auc, round(x.auc, 6) AS shuffled_auc,
+       round(w.auc - x.auc, 6) AS importance
+FROM u x JOIN u w ON w.target = x.target AND w.feature = '' WHERE x.feature <> ''""",
+)
+def permutation_linear(spark, d):
+    """AUC lost per shuffled feature of a fixed linear score, both targets."""
+    docs = b.table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = settle(
+        b.table(spark, d, "labels").join(docs, "doc_id").select(
+            F.col("doc_id").alias("entity_id"), "quality", "toxic",
+            F.col("n_chars").cast("double").alias("size"),
+            (F.col("n_chars") % 997).cast("double").alias("rest"),
+            (F.col("doc_id") % 101).cast("double").alias("part"),
+        )
+    )
+    p = sum(F.col(f) * w for f, w in LINEAR.items())
+    out = None
+    for target in TARGETS:
+        lost = explain.permutation_importance(
+            rows, list(LINEAR), lambda df: df.withColumn("p", p), y=target, seed=SEED
+        )
+        lost = lost.select(
+            F.lit(target).alias("target"), "feature",
+            *b.ends(("base_auc", 6), ("shuffled_auc", 6), ("importance", 6)),
+        )
+        out = lost if out is None else out.unionByName(lost)
+    return out
+
+
 @query("logistic_contributions")
 def logistic_contributions(spark, d):
-    """Mean absolute contribution of every feature to the baseline."""
+    """Mean absolute contribution of every feature to the baseline of each target."""
     rows = document_rows(spark, d)
-    fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, "quality", max_iter=50)
-    weights = models.logistic_weights(fitted, FEATURES, spark)
-    long = rows.unpivot(["entity_id"], FEATURES, "feature", "value")
-    return explain.mean_abs_contribution(explain.linear_contributions(long, weights))
+    cells = rows.unpivot(["entity_id"], FEATURES, "feature", "value")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    out = None
+    for target in TARGETS:
+        fitted = models.baseline_logistic(_split(rows, "train"), FEATURES, target)
+        weights = models.logistic_weights(fitted, FEATURES, spark)
+        parts = vectors.mean_abs_contribution(vectors.linear_contributions(cells, weights, total))
+        parts = parts.select(F.lit(target).alias("target"), "feature", "mean_abs_contribution")
+        out = parts if out is None else out.unionByName(parts)
+    return out
 
 
 def surrogate_sources(spark, d) -> build.Sources:
@@ -188,8 +246,8 @@ def score_unseen(spark, d):
     """Train on the cohort, then score every customer."""
     sources, config = surrogate_sources(spark, d), surrogate_config()
     training = build.build_training(sources, None, config)
-    rows = settle(build.training_rows(training, config.seed))
+    rows, schema = build.training_vectors(training, config.seed)
     params = {t: TREES for t in build.TARGETS}
-    fitted = build.fit_all(rows, training.names, params, seed=config.seed)
+    fitted = build.fit_all(settle(rows), params=params, seed=config.seed)
     everyone = sources.entities.select("entity_id")
-    return build.score_unseen(sources, everyone, fitted, training.names, config)
+    return build.score_unseen(sources, everyone, fitted, schema, config)

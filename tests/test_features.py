@@ -289,16 +289,6 @@ def test_variance_collapse(spark):
     assert got["plain"] == 1 and got["constant"] == 0
 
 
-def test_contributions(frame):
-    long = frame(
-        [(1, "a", 1.0), (2, "a", 3.0), (1, "b", 5.0), (2, "b", 5.0)],
-        "entity_id bigint, feature string, value double",
-    )
-    weights = frame([("a", 2.0), ("b", 9.0)], "feature string, weight double")
-    out = explain.mean_abs_contribution(explain.linear_contributions(long, weights), 1).collect()
-    assert [(r[0], r[1]) for r in out] == [("a", 2.0)]
-
-
 def test_single_feature_auc(frame):
     long = frame(
         [(i, "leak", float(i)) for i in range(4)] + [(i, "flat", 1.0) for i in range(4)],
