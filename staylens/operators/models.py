@@ -11,12 +11,12 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.text import columns_of, quoted
+from staylens.operators.isotonic import apply_steps, fit_steps
 from staylens.operators.metrics import best_threshold, roc_auc
 from staylens.operators.sampling import downsample_majority, stratified_folds
 from staylens.session import settle
@@ -165,34 +165,24 @@ def tune(
     )
 
 
-def fit_calibrator(valid: DataFrame, p: str = "p_raw", y: str = "y") -> IsotonicRegressionModel:
-    """Isotonic map of raw scores, constant outside the fitted range.
-
-    Equal scores are merged to weighted means first: the fit is the same and
-    far fewer rows reach its sequential part.
-    """
-    score = F.col(p).cast("double")
-    merged = valid.groupBy(score.alias("score")).agg(
-        F.avg(F.col(y).cast("double")).alias("label"),
-        F.count(F.lit(1)).cast("double").alias("weight"),
-    )
-    learner = IsotonicRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", isotonic=True
-    )
-    return learner.fit(merged.withColumn("features", array_to_vector(F.array("score"))))
+def fit_calibrator(
+    valid: DataFrame, p: str = "p_raw", y: str = "y", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Isotonic map of raw scores as a table of steps, constant outside the fitted range."""
+    return fit_steps(valid, p, y, keys)
 
 
 def calibrate(
     df: DataFrame,
-    calibrator: IsotonicRegressionModel | None,
+    calibrator: DataFrame | None,
     p: str = "p_raw",
     name: str = "p",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Add the calibrated score; without a calibrator the raw one."""
     if calibrator is None:
         return df.withColumn(name, F.col(quoted(p)))
-    held = df.withColumn("features", array_to_vector(F.array(F.col(p).cast("double"))))
-    return calibrator.transform(held).select(*columns_of(df), F.col("prediction").alias(name))
+    return apply_steps(df, calibrator, p, name, keys)
 
 
 @dataclass
@@ -201,7 +191,7 @@ class TargetModel:
 
     base: PipelineModel
     full: PipelineModel | None
-    calibrator: IsotonicRegressionModel | None
+    calibrator: DataFrame | None
     threshold: float
 
 

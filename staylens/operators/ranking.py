@@ -154,6 +154,46 @@ def exact_quantiles(
     return ends.select(*keys, "ordinal", "prob", blend.alias("value"))
 
 
+def as_of(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    start: str,
+    payload: Sequence[str],
+) -> DataFrame:
+    """``rows`` with the payload of the last table row whose ``start`` is at most ``value``.
+
+    Both sides are dealt by ranges of (keys, value) and read in order; what precedes a
+    range, the last table row of the ranges before it, is one row per range.  Rows should
+    be distinct in (keys, value), so that no value is a range of its own.
+    """
+    keys = list(keys)
+    both = rows.select(
+        *keys, F.col(value).alias("_v"), F.lit(1).alias("_side"),
+        *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in payload],
+    ).unionByName(
+        table.select(*keys, F.col(start).alias("_v"), F.lit(0).alias("_side"), *payload)
+    )
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(
+        both.repartitionByRange(n, *keys, "_v", "_side").withColumn("_part", F.spark_partition_id())
+    )
+    held = F.when(F.col("_side") == 0, F.struct(*payload))
+    inside = Window.partitionBy("_part", *keys).orderBy("_v", "_side")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = dealt.withColumn("_near", F.last(held, ignorenulls=True).over(inside))
+    lasts = dealt.groupBy("_part", *keys).agg(
+        F.max_by(held, F.when(F.col("_side") == 0, F.col("_v"))).alias("_last")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("_part", *keys, F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    joined = near.filter(F.col("_side") == 1).join(lasts, ["_part", *keys])
+    found = F.coalesce("_near", "_before")
+    return joined.select(*keys, F.col("_v").alias(value), *[found[c].alias(c) for c in payload])
+
+
 def hash_rank(
     df: DataFrame, key: str, seed: int, groups: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:

@@ -81,24 +81,26 @@ def cv_tune(spark, d):
     return models.tune(rows, FEATURES, trials, 3, "quality", seed=SEED)
 
 
-@query(
-    "isotonic_scores",
-    f"""WITH {b.SCORED_SQL},
-g AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i
-      FROM scored WHERE target = 'quality' GROUP BY p),
-c AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn, s, n FROM g),
-m AS (SELECT a.i AS a, z.i AS z, (z.cs - a.cs + a.s) / (z.cn - a.cn + a.n) AS v FROM c a JOIN c z ON z.i >= a.i),
-lo AS (SELECT a, z, min(v) OVER (PARTITION BY a ORDER BY z DESC) AS v FROM m),
-f AS (SELECT z AS i, max(v) AS p_cal FROM lo GROUP BY z)
-SELECT x.entity_id, x.y, round(x.p, 9) AS p, round(f.p_cal, 6) AS p_cal
-FROM scored x JOIN g USING (p) JOIN f USING (i) WHERE x.target = 'quality'""",
-)
+ISOTONIC = f"""WITH {b.SCORED_SQL},
+g AS (SELECT target, p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (PARTITION BY target ORDER BY p) AS i
+      FROM scored GROUP BY target, p),
+c AS (SELECT target, i, p, sum(s) OVER (PARTITION BY target ORDER BY i) AS cs,
+             sum(n) OVER (PARTITION BY target ORDER BY i) AS cn, s, n FROM g),
+m AS (SELECT a.target, a.i AS a, z.i AS z, (z.cs - a.cs + a.s) / (z.cn - a.cn + a.n) AS v
+      FROM c a JOIN c z ON z.target = a.target AND z.i >= a.i),
+lo AS (SELECT target, a, z, min(v) OVER (PARTITION BY target, a ORDER BY z DESC) AS v FROM m),
+f AS (SELECT target, z AS i, max(v) AS p_cal FROM lo GROUP BY target, z)
+SELECT x.target, x.entity_id, x.y, round(x.p, 9) AS p, round(f.p_cal, 6) AS p_cal
+FROM scored x JOIN g USING (target, p) JOIN f USING (target, i)"""
+
+
+@query("isotonic_scores", ISOTONIC)
 def isotonic_scores(spark, d):
-    """Every scored document with its isotonic calibration."""
-    rows = b.scored(spark, d).filter(F.col("target") == "quality")
-    calibrator = models.fit_calibrator(rows, "p", "y")
-    out = models.calibrate(rows.select("entity_id", "y", "p"), calibrator, "p", "p_cal")
-    return out.select("entity_id", "y", *b.ends(("p", 9), ("p_cal", 6)))
+    """Every scored document of both targets with its isotonic calibration."""
+    rows = b.scored(spark, d)
+    steps = models.fit_calibrator(rows, "p", "y", ["target"])
+    out = models.calibrate(rows.select("target", "entity_id", "y", "p"), steps, "p", "p_cal", ["target"])
+    return out.select("target", "entity_id", "y", *b.ends(("p", 9), ("p_cal", 6)))
 
 
 def _trees(spark, d):
