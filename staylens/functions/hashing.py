@@ -15,15 +15,25 @@ def portable_hash(key: Column, seed: int | str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+# Room for every id of 64 bits, and for every time a timestamp can hold.
+ID_ROOM = 10**20
+ID_SHIFT = 2**63
+TIME_SHIFT = 10**17
+NO_TIME = 99 * 10**16
+
+
 def order_key(time_micros: Column, tie: Column) -> Column:
-    """(time, non-negative integer tie) packed into one ordered decimal.
+    """(time, integer tie) packed into one decimal with their order, missing times last.
 
-    A decimal is a fixed-width aggregation buffer, so max_by over it stays a
-    hash aggregate where a struct key would force a sort of the input.
+    A decimal is a fixed-width aggregation buffer, so a minimum, or max_by over it, stays
+    a hash aggregate where a struct key would force a sort of the input.  Negative ids
+    and times before 1970 keep their place; a missing id is the smallest.
     """
-    shift = F.lit("10000000000000000000").cast("decimal(20,0)")
-    high = (time_micros.cast("decimal(18,0)") * shift).cast("decimal(38,0)")
-    return (high + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+    time = time_micros.cast("decimal(18,0)") + F.lit(TIME_SHIFT).cast("decimal(18,0)")
+    time = F.coalesce(time.cast("decimal(18,0)"), F.lit(NO_TIME).cast("decimal(18,0)"))
+    high = (time * F.lit(str(ID_ROOM)).cast("decimal(21,0)")).cast("decimal(38,0)")
+    low = tie.cast("decimal(20,0)") + F.lit(str(ID_SHIFT)).cast("decimal(20,0)")
+    return (high + F.coalesce(low.cast("decimal(20,0)"), F.lit(0))).cast("decimal(38,0)")
 
 
 def sha1_of(values: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, TimestampNTZType, TimestampType
 
 from staylens.functions import times
+from staylens.functions.hashing import TIME_SHIFT, order_key
 
 HORIZON_HOURS = 54.0
 OFFSETS = (
@@ -18,11 +20,31 @@ OFFSETS = (
 )
 
 
-def _stay_order(start: str, tie: str) -> Column:
-    """Sort key of a stay: by start, missing starts last, then by id."""
+def _order(rows: DataFrame, start: str, tie: str) -> Column:
+    """Sort key of a stay: by start, missing starts last, then by id.
+
+    Packed into a decimal where the id is a whole number, else a struct.
+    """
+    if isinstance(rows.schema[tie].dataType, IntegralType):
+        return order_key(times.micros(F.col(start)), F.col(tie))
     return F.struct(F.col(start).isNull(), F.col(start), F.col(tie))
 
 
+def _with_least(rows: DataFrame, entity: str, order: Column) -> DataFrame:
+    """The row of least order per entity, of equal ones that of the least hash.
+
+    The minimum is a hash aggregate, combined on the map side; rows then meet it by their
+    entity, and only rows that share the minimum are ranked.
+    """
+    keyed = rows.withColumn("_order", order)
+    least = keyed.groupBy(F.col(entity).alias("_entity")).agg(F.min("_order").alias("_least"))
+    found = keyed.join(
+        least, keyed[entity].eqNullSafe(least["_entity"]) & keyed["_order"].eqNullSafe(least["_least"])
+    )
+    ties = Window.partitionBy(entity).orderBy(F.xxhash64(*rows.columns))
+    return found.withColumn("_nth", F.row_number().over(ties)).filter("_nth = 1").select(rows.columns)
+
+
 def index_stay(
     stays: DataFrame,
     entity: str = "entity_id",
@@ -34,19 +56,29 @@ def index_stay(
 
     ``first_row`` returns the true first stay.  ``first_non_null`` fills every
     column from the first stay in which it is present, so a row may combine
-    several stays.  Both are min_by aggregates, combined on the map side: an
-    entity with very many stays never meets in one task, as it would under a
-    ranking window.
+    several stays.  Both start from minima of a packed order key: an entity with very
+    many stays never meets in one task, as it would under a ranking window over them.
     """
-    order = _stay_order(start, tie)
+    order = _order(stays, start, tie)
     others = [c for c in stays.columns if c != entity]
     if mode == "first_row":
-        row = F.min_by(F.struct(*others), order).alias("row")
-        return stays.groupBy(entity).agg(row).select(entity, "row.*").select(stays.columns)
+        return _with_least(stays, entity, order)
     if mode == "first_non_null":
-        # min_by skips rows whose order is NULL, so the order carries the filter.
-        firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in others]
-        return stays.groupBy(entity).agg(*firsts).select(stays.columns)
+        keyed = stays.withColumn("_order", order).withColumn("_of", F.col(entity))
+        present = [
+            F.min(F.when(F.col(c).isNotNull(), F.col("_order"))).alias(f"_at{i}")
+            for i, c in enumerate(others)
+        ]
+        least = keyed.groupBy(F.col(entity).alias("_entity")).agg(*present)
+        marks = [F.col(f"_at{i}") for i in range(len(others))]
+        wanted = keyed["_of"].eqNullSafe(least["_entity"]) & F.col("_order").isin(*marks)
+        # At most one stay per column is left of each entity; a list of one value each.
+        held = keyed.drop(entity).join(least, wanted, "right")
+        firsts = [
+            F.get(F.sort_array(F.collect_list(F.when(F.col("_order") == at, F.col(c)))), F.lit(0)).alias(c)
+            for at, c in zip(marks, others)
+        ]
+        return held.groupBy(F.col("_entity").alias(entity)).agg(*firsts).select(stays.columns)
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -66,10 +98,18 @@ def within_cohort(rows: DataFrame, cohort: DataFrame, on: str = "entity_id") ->
 
 
 def one_per_entity(rows: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
-    """Deduplicate to one row per entity, the smallest by ``order``."""
-    others = [c for c in rows.columns if c != entity]
-    row = F.min_by(F.struct(*others), F.struct(*order)).alias("row")
-    return rows.groupBy(entity).agg(row).select(entity, "row.*").select(rows.columns)
+    """Deduplicate to one row per entity, the smallest by ``order``, missing values first.
+
+    A whole number, or a time and a whole number, is packed; other orders are a struct,
+    whose minimum needs a sort.
+    """
+    kinds = [rows.schema[c].dataType for c in order]
+    if len(order) == 1 and isinstance(kinds[0], IntegralType):
+        return _with_least(rows, entity, F.coalesce(F.col(order[0]).cast("decimal(20,0)"), F.lit(str(-(2**64))).cast("decimal(20,0)")))
+    if len(order) == 2 and isinstance(kinds[0], (TimestampType, TimestampNTZType)) and isinstance(kinds[1], IntegralType):
+        early = F.coalesce(times.micros(F.col(order[0])), F.lit(-TIME_SHIFT))
+        return _with_least(rows, entity, order_key(early, F.col(order[1])))
+    return _with_least(rows, entity, F.struct(*order))
 
 
 def next_stay(index: DataFrame, stays: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from staylens.functions import times
 from staylens.functions.numbers import ratio_or_zero
 from staylens.functions.text import columns_of, group_value, quoted
-from staylens.operators.metrics import score_metrics
+from staylens.operators.metrics import derive_threshold, score_metrics
+from staylens.session import settle
 
 SMALL_GROUP = 30
 DELTA = 0.05
@@ -99,6 +100,58 @@ def group_metrics(
     )
 
 
+def fairness_table(
+    rows: DataFrame,
+    targets: Mapping[str, tuple[str, str]],
+    thresholds: Mapping[str, float | None] | None = None,
+    groups: Mapping[str, Column] | Sequence[tuple[str, Column]] | None = None,
+    test_ids: DataFrame | None = None,
+    test_only: bool = True,
+    sources: Mapping[str, str] | None = None,
+    small_n: int = SMALL_GROUP,
+    key: str = "entity_id",
+) -> DataFrame:
+    """The whole audit: one row per target, category and value, in that order.
+
+    ``rows`` holds labels, scores and demographics of an entity; ``targets`` names the
+    label and the score column of each target.  Without ``groups`` those of the
+    demographics are taken.  ``test_only`` restricts to ``test_ids`` and refuses to run
+    without them.  A target with one class is left out; one without a threshold gets the
+    fallback sweep's.  A table without rows is an error.
+    """
+    if test_only:
+        if test_ids is None:
+            raise ValueError("a test-only table needs the ids of the test split")
+        rows = rows.join(test_ids.select(key).distinct(), key, "left_semi")
+    groups = demographic_groups(rows) if groups is None else groups
+    each = [
+        F.struct(
+            F.lit(target).alias("target"),
+            F.col(quoted(label)).cast("int").alias("y"),
+            F.col(quoted(score)).cast("double").alias("p"),
+            F.lit((sources or {}).get(target, "score")).alias("prob_source"),
+            F.lit((thresholds or {}).get(target)).cast("double").alias("threshold"),
+        )
+        for target, (label, score) in targets.items()
+    ]
+    pairs = list(groups.items()) if isinstance(groups, Mapping) else list(groups)
+    named = [(c, f"_group{i}", v) for i, (c, v) in enumerate(pairs)]
+    tall = rows.select(*[v.alias(n) for _, n, v in named], F.explode(F.array(*each)).alias("t"))
+    tall = settle(tall.select(*[n for _, n, _ in named], "t.*"))
+    classes = tall.groupBy("target").agg(F.count_distinct("y").alias("classes"))
+    derived = derive_threshold(tall, keys=["target"]).select("target", F.col("threshold").alias("derived"))
+    usable = classes.filter("classes > 1").join(derived, "target", "left")
+    given = F.when(F.isnan("threshold"), None).otherwise(F.col("threshold"))
+    scored = tall.join(usable.select("target", "derived"), "target").withColumn(
+        "threshold", F.coalesce(given, F.col("derived"))
+    )
+    out = group_metrics(scored, [(c, F.col(n)) for c, n, _ in named], small_n)
+    out = settle(out)
+    if out.isEmpty():
+        raise ValueError("no target has two classes and a group")
+    return out.orderBy("target", *GROUP)
+
+
 def support(metrics: DataFrame) -> DataFrame:
     """Size of each group (largest over targets) and its percent of the largest cohort."""
     sizes = metrics.groupBy(*GROUP).agg(F.max("n").alias("n"))

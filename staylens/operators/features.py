@@ -309,9 +309,25 @@ def align(wide: DataFrame, features: Sequence[str], fill: float = 0.0) -> DataFr
     return wide.select("entity_id", *columns)
 
 
-def align_long(long: DataFrame, schema: DataFrame) -> DataFrame:
-    """Keep the features of a (feature, ordinal) schema and attach the ordinal."""
-    return long.join(schema.select("feature", "ordinal"), "feature")
+def align_long(long: DataFrame, schema: DataFrame, fill: float | None = None) -> DataFrame:
+    """Keep the features of a (feature, ordinal) schema and attach the ordinal.
+
+    With ``fill``, features of the schema that the frame does not hold at all are added
+    with that value for every entity of the frame, as the wide form does.
+    """
+    named = schema.select("feature", "ordinal")
+    kept = long.join(named, "feature")
+    if fill is None:
+        return kept
+    absent = settle(named.join(long.select("feature"), "feature", "left_anti"))
+    each = absent.agg(F.collect_list(F.struct("feature", "ordinal"))).scalar()
+    added = long.select("entity_id").distinct().select("entity_id", F.explode(each).alias("f"))
+    values = {"entity_id": F.col("entity_id"), "feature": F.col("f.feature"), "ordinal": F.col("f.ordinal")}
+    values["value"] = F.lit(float(fill))
+    columns = [
+        values.get(c, F.lit(None)).cast(kept.schema[c].dataType).alias(c) for c in kept.columns
+    ]
+    return kept.unionByName(added.select(*columns))
 
 
 def modality_counts(parts: Mapping[str, DataFrame], entity: str = "entity_id") -> DataFrame:

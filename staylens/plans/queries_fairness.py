@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.functions import times
-from staylens.operators import fairness
+from staylens.operators import fairness, sampling
 from staylens.plans import bindings as b
 from staylens.plans.queries_metrics import AP_SQL, AUC_SQL
+from staylens.plans.queries_sampling import _SPLIT as SPLIT_SQL
 from staylens.plans.registry import query
 
 THRESHOLD = 0.5
@@ -71,6 +72,35 @@ def fairness_groups(spark, d):
     return _shown(_metrics(spark, d).withColumn("small", F.col("small").cast("int")))
 
 
+# The same table over the test split of the labels.
+_TEST = SPLIT_SQL.replace("h AS (", "hashed AS (", 1).replace("FROM h)", "FROM hashed)", 1)
+TEST_SQL = f"{_TEST}, {SQL.removeprefix('WITH ').strip()}".replace(
+    "FROM labels l", "FROM (SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM s WHERE split = 'test')) l", 1
+)
+
+
+@query(
+    "fairness_table",
+    f"""{TEST_SQL} SELECT target, prob_source, group_category, group_value, n, cohort_n, small, threshold,
+  {", ".join(f"round({c}, 6) AS {c}" for c in FIGURES)} FROM f""",
+)
+def fairness_table(spark, d):
+    """The audit in one call, on the test split."""
+    docs = b.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = b.table(spark, d, "labels")
+    test = sampling.stratified_split(labels, "doc_id", "quality", seed=42).filter("split = 'test'")
+    rows = labels.join(docs, "doc_id").withColumnRenamed("doc_id", "entity_id")
+    rows = rows.withColumn("p", F.col("n_chars") / (F.col("n_chars") + 1500.0))
+    out = fairness.fairness_table(
+        rows,
+        {"quality": ("quality", "p"), "toxic": ("toxic", "p")},
+        {"quality": THRESHOLD, "toxic": THRESHOLD},
+        {"lang": F.col("lang"), "source": F.col("source"), "age_band": times.band(F.col("n_chars"), EDGES, BANDS)},
+        test.withColumnRenamed("doc_id", "entity_id"),
+    )
+    return _shown(out.withColumn("small", F.col("small").cast("int")))
+
+
 @query(
     "fairness_support",
     f"""{SQL}, s AS (SELECT group_category, group_value, max(n) AS n FROM f GROUP BY ALL)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,44 @@ def test_compliance(events, anchor):
     row = window.window_compliance(kept).first()
     assert row["n_events"] == 4 and row["n_outside"] == 3
     assert row["max_boundaries"] == 48 and row["max_offset_hours"] > 48
+
+
+@pytest.mark.parametrize("mode", ["first_row", "first_non_null"])
+def test_index_stay_needs_no_sort_of_the_stays(spark, mode):
+    stays = spark.range(100).select(
+        (F.col("id") % 7).alias("entity_id"), (F.col("id") - 50).alias("stay_id"),
+        F.timestamp_seconds(F.col("id") % 5 * 86400 - 10**9).cast("timestamp_ntz").alias("admit"),
+        F.col("id").cast("string").alias("note"),
+    )
+    out = cohort.index_stay(stays, mode=mode)
+    text = out._jdf.queryExecution().toString()
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    rows = sorted(stays.collect(), key=lambda r: (r["admit"], r["stay_id"]))
+    first = {}
+    for r in rows:
+        first.setdefault(r["entity_id"], r)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, first.values()))
+    one = cohort.one_per_entity(stays, "entity_id", ["admit", "stay_id"])
+    assert "SortAggregate" not in one._jdf.queryExecution().toString()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, first.values()))
+
+
+def test_repeated_and_missing_keys_still_give_one_stay(spark):
+    rows = [(1, 5, None, "a"), (1, -3, None, "b"), (1, -3, None, "c"), (2, None, "2020-01-01 00:00:00", "d"),
+            (2, 4, "2020-01-01 00:00:00", "e"), (None, 1, "1900-01-01 00:00:00", "f"), (3, 1, "2020-01-01 00:00:00", "g")]
+    rows.append(rows[-1])
+    stays = spark.createDataFrame(rows, "entity_id bigint, stay_id bigint, admit string, note string")
+    stays = stays.withColumn("admit", F.col("admit").cast("timestamp_ntz"))
+    got = {r["entity_id"]: r for r in cohort.index_stay(stays).collect()}
+    assert set(got) == {1, 2, 3, None} and cohort.index_stay(stays).count() == 4
+    assert got[1]["stay_id"] == -3 and got[2]["note"] == "d" and got[None]["note"] == "f"
+
+
+def test_order_key_keeps_the_order(spark):
+    rng = random.Random(1)
+    from staylens.functions.hashing import order_key
+
+    pairs = {(rng.choice([None, -(2**50), -1, 0, 7, 2**57]), rng.choice([-(2**63), -9, 0, 3, 2**63 - 1])) for _ in range(200)}
+    df = spark.createDataFrame(sorted(pairs, key=str), "t bigint, i bigint")
+    got = [tuple(r) for r in df.orderBy(order_key(F.col("t"), F.col("i"))).collect()]
+    assert got == sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1]))

@@ -89,3 +89,50 @@ def test_flags_overview_matrix_order(table):
     order = [r["group_value"] for r in fairness.ordered(table).filter("target = 'a'").collect()]
     assert order == ["1-20", "20-30", "80+", "M", "F"]
     assert fairness.prevalence_relation(table).count() == 6
+
+
+def audit_rows(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        sick = int(rng.random() < 0.4)
+        rows.append((i, sick, 1, min(1.0, sick * 0.3 + rng.random() * 0.7), rng.random(), i % 2, 1 - i % 2, int(i % 3 == 0), float(i % 90)))
+    return rows, spark.createDataFrame(
+        rows, "entity_id bigint, died int, one_class int, p double, q double, gender_M int, gender_F int, eth_white int, age double"
+    )
+
+
+def test_fairness_table_in_one_call(spark):
+    rows, df = audit_rows(spark)
+    test = df.filter("entity_id % 4 = 0").select("entity_id")
+    targets = {"mortality": ("died", "p"), "flat": ("one_class", "q")}
+    out = fairness.fairness_table(df, targets, {"mortality": 0.5}, test_ids=test, small_n=10)
+    got = out.collect()
+    kept = [r for r in rows if r[0] % 4 == 0]
+    assert {r["target"] for r in got} == {"mortality"}  # one class has no table
+    assert [(r["group_category"], r["group_value"]) for r in got] == sorted(
+        (r["group_category"], r["group_value"]) for r in got
+    )
+    assert {r["cohort_n"] for r in got} == {40} and {r["threshold"] for r in got} == {0.5}
+    male = [(r[1], r[3]) for r in kept if r[5]]
+    # Every fourth id is even, so one of the two has no rows and no group.
+    assert not male and {r["group_value"] for r in got if r["group_category"] == "gender"} == {"F"}
+    white = next(r for r in got if r["group_category"] == "ethnicity")
+    chosen = [(r[1], r[3]) for r in kept if r[7]]
+    assert white["n"] == len(chosen) and white["auc"] == pytest.approx(brute_auc(chosen))
+    assert white["delta_auc"] == pytest.approx(brute_auc(chosen) - brute_auc([(r[1], r[3]) for r in kept]))
+
+
+def test_fairness_table_derives_thresholds_and_refuses(spark):
+    _, df = audit_rows(spark)
+    targets = {"mortality": ("died", "p")}
+    whole = fairness.fairness_table(df, targets, {"mortality": float("nan")}, test_only=False)
+    scored = df.select(F.lit("t").alias("target"), F.col("died").alias("y"), "p")
+    from staylens.operators.metrics import derive_threshold
+
+    wanted = derive_threshold(scored).first()["threshold"]
+    assert {r["threshold"] for r in whole.collect()} == {wanted}
+    with pytest.raises(ValueError, match="test split"):
+        fairness.fairness_table(df, targets)
+    with pytest.raises(ValueError, match="two classes"):
+        fairness.fairness_table(df, {"flat": ("one_class", "q")}, test_only=False)

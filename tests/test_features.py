@@ -356,3 +356,13 @@ def test_final_columns_and_modality_counts(frame):
     assert [tuple(r) for r in out.collect()] == [(1, 0.1, None), (2, 0.5, None)]
     counts = features.modality_counts({"x": frame([(1,), (1,), (2,)], "entity_id bigint")}).first()
     assert (counts["n_rows"], counts["n_entities"]) == (3, 2)
+
+
+def test_align_long_adds_absent_features(frame):
+    long = frame([(1, "a", 1.0), (2, "b", 2.0), (2, "x", 9.0)], "entity_id bigint, feature string, value double")
+    schema = frame([("a", 0), ("b", 1), ("c", 2)], "feature string, ordinal bigint")
+    kept = features.align_long(long, schema)
+    assert sorted((r["entity_id"], r["feature"]) for r in kept.collect()) == [(1, "a"), (2, "b")]
+    whole = features.align_long(long, schema, 0.5)
+    got = sorted((r["entity_id"], r["ordinal"], r["value"]) for r in whole.collect())
+    assert got == [(1, 0, 1.0), (1, 2, 0.5), (2, 1, 2.0), (2, 2, 0.5)] and whole.columns == kept.columns
