@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staylens.functions.text import quoted
 from staylens.operators.metrics import score_counts
 from staylens.operators.ranking import as_of, cumulative_values, running_totals
 from staylens.session import settle
@@ -126,7 +127,7 @@ def apply_steps(
     whole = steps.join(following, [*keys, "step"], "left")
     whole = whole.withColumn("from", F.when(F.col("step") == 0, float("-inf")).otherwise(F.col("low")))
     payload = ["high", "value", "next_low", "next_value"]
-    score = F.col(p).cast("double")
+    score = F.col(quoted(p)).cast("double")
     scores = df.filter(score.isNotNull() & ~F.isnan(score))
     scores = scores.select(*keys, score.alias("_score")).distinct()
     met = as_of(scores, whole.select(*keys, "from", *payload), keys, "_score", "from", payload)
@@ -135,4 +136,6 @@ def apply_steps(
     inside = (F.col("_score") <= F.col("high")) | F.col("next_low").isNull()
     found = settle(met.select(*keys, "_score", F.when(inside, F.col("value")).otherwise(line).alias(name)))
     rows = df.withColumn("_score", score)
-    return rows.join(found, [*keys, "_score"], "left").select(*[rows[c] for c in df.columns], found[name])
+    return rows.join(found, [*keys, "_score"], "left").select(
+        *[rows[quoted(c)] for c in df.columns], found[quoted(name)]
+    )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.hashing import portable_hash
 from staylens.functions.numbers import zscore
 from staylens.functions.text import quoted
 from staylens.operators.features import measured_members
+from staylens.operators.ranking import exact_quantiles, ordinals
+from staylens.session import settle
 
 HASH_SEED = 42
 
@@ -109,8 +111,7 @@ def kept_features(
     scored = kept.select("feature", "support", "variance", score.alias("score"))
     if top_k is not None:
         scored = scored.orderBy(F.col("score").desc(), "feature").limit(top_k)
-    ordinal = F.row_number().over(Window.orderBy("feature")) - 1
-    return scored.select(ordinal.alias("ordinal"), "feature", "support", "variance", "score")
+    return ordinals(scored, ["feature"]).select("ordinal", "feature", "support", "variance", "score")
 
 
 def prune(
@@ -156,22 +157,22 @@ def support_quantiles(
 ) -> DataFrame:
     """Distribution of supports and counts of features above thresholds.
 
-    One row per feature goes in, so the exact percentile is bounded.
+    The quantiles are those of the counted distinct supports, exact and distributed.
     """
     support = F.col("support")
-    cut = F.percentile(support, F.array(*[F.lit(float(q)) for q in quantiles]))
+    found = exact_quantiles(profile, "support", quantiles)
+    found = found.agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("cuts"))
+    cut = settle(found.select(F.col("cuts.value").alias("cut"))).scalar()
     row = profile.agg(
         F.count(F.lit(1)).alias("n_features"),
         F.avg(support).alias("mean_support"),
         F.stddev_samp(support).alias("std_support"),
         F.min(support).alias("min_support"),
         F.max(support).alias("max_support"),
-        cut.alias("cut"),
         *[F.count_if(support >= t).alias(f"n_at_least_{t}") for t in at_least],
     )
-    named = [F.col("cut")[i].alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)]
-    others = [c for c in row.columns if c != "cut"]
-    return row.select(*others, *named)
+    named = [F.get(cut, F.lit(i)).alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)]
+    return row.select("*", *named)
 
 
 def health_profile(

@@ -154,6 +154,29 @@ def exact_quantiles(
     return ends.select(*keys, "ordinal", "prob", blend.alias("value"))
 
 
+ORDINALS = 1 << 15  # rows a task numbers
+
+
+def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Add the 0-based rank by ``order``, which should tell all rows apart.
+
+    Rows are dealt by ranges of about ``ORDINALS`` rows, numbered inside, and the sizes of the
+    ranges are added up: one row per range is all that meets in one place.
+    """
+    held = settle(df)
+    parts = max(1, -(-held.count() // ORDINALS))
+    dealt = held.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = settle(dealt)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (
+        dealt.withColumn("_inside", inside)
+        .join(before, "_part")
+        .select(*columns_of(df), (F.col("_before") + F.col("_inside")).alias(name))
+    )
+
+
 def as_of(
     rows: DataFrame,
     table: DataFrame,

@@ -11,10 +11,11 @@ from staylens.operators import explain, metrics, models, sampling, vectors
 from staylens.plans import bindings as b
 from staylens.plans import build
 from staylens.plans.registry import query
-from staylens.session import settle
+from staylens.session import scratch, settle
+from staylens.sources import bundles
 
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share", "distinct_share"]
-TREES = {"maxIter": 5, "maxDepth": 3}
+TREES = {"maxIter": 10, "maxDepth": 3}
 SEED = 42
 TARGETS = ("quality", "toxic")
 
@@ -59,26 +60,48 @@ def fit_logistic_baseline(spark, d):
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
-    """Test metrics of the calibrated train-only model and the full model."""
+    """Test metrics of the calibrated train-only model and the full model, both targets."""
     rows = document_rows(spark, d)
-    fitted = models.fit_target(rows, FEATURES, TREES, "quality", True, SEED)
-    test = models.predict(fitted.base, _split(rows, "test"), "base_raw")
-    test = models.calibrate(test, fitted.calibrator, "base_raw", "base_cal")
-    test = models.predict(fitted.full, test, "full_raw")
-    scored = settle(
-        test.select(F.lit("quality").alias("target"), F.col("quality").alias("y"),
-                    "base_raw", "base_cal", "full_raw")
-    )
-    return metrics.compare_models(scored, ["full_raw", "base_raw", "base_cal"])
+    out = None
+    for target in TARGETS:
+        fitted = models.fit_target(rows, FEATURES, TREES, target, True, SEED)
+        test = models.predict(fitted.base, _split(rows, "test"), "base_raw")
+        test = models.calibrate(test, fitted.calibrator, "base_raw", "base_cal")
+        test = models.predict(fitted.full, test, "full_raw")
+        scored = test.select(
+            F.lit(target).alias("target"), F.col(target).alias("y"), "base_raw", "base_cal", "full_raw"
+        )
+        out = scored if out is None else out.unionByName(scored)
+    return metrics.compare_models(settle(out), ["full_raw", "base_raw", "base_cal"])
 
 
 @query("cv_tune")
 def cv_tune(spark, d):
-    """Mean fold AUC of a few drawn parameter sets."""
+    """Mean fold AUC of drawn parameter sets under successive halving."""
     rows = _split(document_rows(spark, d), "train")
-    trials = models.draw_params(2, SEED, {**models.SEARCH_RANGES, "maxIter": (3, 6, "int"),
-                                          "maxDepth": (2, 3, "int")})
-    return models.tune(rows, FEATURES, trials, 3, "quality", seed=SEED)
+    trials = models.draw_params(3, SEED, {**models.SEARCH_RANGES, "maxIter": (5, 10, "int")})
+    return models.tune(rows, FEATURES, trials, 5, "quality", seed=SEED, rungs=(0.4, 1.0)).scores
+
+
+@query(
+    "cv_folds",
+    f"""WITH t AS (SELECT *, 'quality' AS target, quality AS y FROM labels UNION ALL SELECT *, 'toxic', toxic FROM labels),
+r AS (SELECT target, y, row_number() OVER (PARTITION BY target, y ORDER BY {b.hash_sql("doc_id", 42)}, doc_id) - 1 AS rk,
+             count(*) OVER (PARTITION BY target, y) AS n FROM t),
+f AS (SELECT target, y, (SELECT count(*) FROM range(1, 5) k(i) WHERE rk >= (n * i + 4) // 5) AS fold FROM r)
+SELECT target, fold::INT AS fold, count(*) AS n, sum(y)::BIGINT AS n_pos FROM f GROUP BY target, fold""",
+)
+def cv_folds(spark, d):
+    """Sizes and class balance of the five tuning folds of both targets."""
+    labels = b.table(spark, d, "labels")
+    out = None
+    for target in TARGETS:
+        folds = sampling.stratified_folds(labels, "doc_id", target, 5, SEED)
+        sizes = folds.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n_pos")
+        ).select(F.lit(target).alias("target"), F.col("fold").cast("int").alias("fold"), "n", "n_pos")
+        out = sizes if out is None else out.unionByName(sizes)
+    return out
 
 
 ISOTONIC = f"""WITH {b.SCORED_SQL},
@@ -103,6 +126,25 @@ def isotonic_scores(spark, d):
     return out.select("target", "entity_id", "y", *b.ends(("p", 9), ("p_cal", 6)))
 
 
+@query("stored_calibration", ISOTONIC)
+def stored_calibration(spark, d):
+    """The calibrated scores again, by a bundle that was saved and loaded."""
+    rows = b.scored(spark, d)
+    fitted = {
+        t: models.TargetModel(None, None, models.fit_calibrator(rows.filter(F.col("target") == t), "p", "y"), 0.5)
+        for t in TARGETS
+    }
+    schema = spark.createDataFrame([("p", 0, 0.0)], "feature string, ordinal int, median double")
+    path = scratch(spark)
+    bundles.save(path, fitted, schema)
+    out = None
+    for target, model in bundles.load(spark, path, expected=schema).models.items():
+        some = rows.filter(F.col("target") == target).select("target", "entity_id", "y", "p")
+        some = models.calibrate(some, model.calibrator, "p", "p_cal")
+        out = some if out is None else out.unionByName(some)
+    return out.select("target", "entity_id", "y", *b.ends(("p", 9), ("p_cal", 6)))
+
+
 def _trees(spark, d):
     rows = document_rows(spark, d)
     return rows, models.boosted_trees(_split(rows, "train"), FEATURES, TREES, "quality", SEED)

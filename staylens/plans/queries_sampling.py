@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from staylens.operators import cohort, features, sampling
 from staylens.plans import bindings as b
 from staylens.plans.registry import query
+from staylens.session import scratch
+from staylens.sources import files
 
 SEED = 42
 N_BOOT = 2000
@@ -140,6 +142,20 @@ def bootstrap_poisson(spark, d):
     return sampling.replicate_rows(sums, N_BOOT, [], ["n_rows", "drawn"])
 
 
+@query(
+    "split_chunks",
+    f"""{_SPLIT} SELECT d.doc_id, d.lang, d.n_chars FROM documents d
+WHERE d.doc_id IN (SELECT doc_id FROM s WHERE split = 'test')""",
+)
+def split_chunks(spark, d):
+    """Documents of the test split, by a chunked manifest that was written and read back."""
+    path = scratch(spark)
+    split = _split(spark, d).withColumnRenamed("doc_id", "entity_id")
+    files.write_chunked_split(split, path, SEED, chunk=100)
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "lang", "n_chars")
+    return files.read_chunked_split(spark, path, "test", docs).withColumnRenamed("entity_id", "doc_id")
+
+
 @query(
     "table1",
     f"""{_SPLIT},

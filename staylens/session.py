@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +76,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what is settled inside when the block is left.
+
+    Results are read from settled tables, so write or collect them before.
+    """
+    written: list[str] = []
+    mark = _scopes.set((*_scopes.get(), written))
+    try:
+        yield
+    finally:
+        _scopes.reset(mark)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            place = hadoop(path)
+            place.getFileSystem(settings).delete(place, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder.
 
@@ -87,4 +111,7 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="staylens-")
         context.setCheckpointDir(folder)
-    return f"{folder}/staylens/{uuid.uuid4().hex}"
+    path = f"{folder}/staylens/{uuid.uuid4().hex}"
+    for written in _scopes.get()[-1:]:
+        written.append(path)
+    return path

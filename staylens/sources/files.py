@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
 
 from staylens.operators import cohort
 from staylens.operators.features import provenance
@@ -24,9 +24,12 @@ from staylens.operators.prune import (
     require_columns,
     variable_fraction,
 )
+from staylens.session import settle
 
 SPLITS = ("train", "val", "test")
 MIN_PERSIST_FRACTION = 0.5
+SCHEMA_ROWS = 1 << 16  # features in a file of a schema
+CHUNK_IDS = 1 << 15  # ids in a chunk: at most 20 digits and a comma each, so below a megabyte
 
 
 # --- labels ----------------------------------------------------------------
@@ -93,10 +96,9 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def write_schema(schema: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(ordinal, feature) as JSON lines; the ordinal carries the column order."""
-    # at most one row per kept feature, so one sorted file is fine
-    schema.select("ordinal", "feature").coalesce(1).sortWithinPartitions("ordinal").write.mode(
-        mode
-    ).json(path)
+    rows = schema.select("ordinal", "feature")
+    parts = max(1, -(-rows.count() // SCHEMA_ROWS))
+    rows.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").write.mode(mode).json(path)
 
 
 def read_schema(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +106,7 @@ def read_schema(spark: SparkSession, path: str) -> DataFrame:
 
 
 def schema_names(schema: DataFrame) -> list[str]:
-    """Feature names in schema order (bounded by the feature cap)."""
+    """Feature names in schema order, for wide forms: their columns are in the plan anyway."""
     return [r["feature"] for r in schema.orderBy("ordinal").select("feature").collect()]
 
 
@@ -131,7 +133,7 @@ def write_nested_split(split: DataFrame, path: str, seed: int, mode: str = "over
     """The manifest as one nested document, for consumers that expect it.
 
     It holds every id in one row by definition of the format; use
-    ``write_split`` for large cohorts.
+    ``write_split`` or ``write_chunked_split`` for large cohorts.
     """
     ids = split.groupBy("split").agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
     lists = F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("subject_ids")
@@ -141,6 +143,64 @@ def write_nested_split(split: DataFrame, path: str, seed: int, mode: str = "over
     )
 
 
+def _checksum() -> Column:
+    return F.coalesce(F.bit_xor(F.xxhash64("entity_id")), F.lit(0).cast("long")).alias("checksum")
+
+
+def write_chunked_split(
+    split: DataFrame, path: str, seed: int, chunk: int = CHUNK_IDS, mode: str = "overwrite"
+) -> None:
+    """The ids of every split as ranged chunks, each with its count, ends and checksum.
+
+    A chunk holds ``chunk`` ids at most, ascending, and no other chunk of its split has an
+    id between its ends.  The manifest, written last, holds counts and checksums per split.
+    """
+    ids = settle(split.select("split", F.col("entity_id").cast("long").alias("entity_id")).distinct())
+    parts = max(1, -(-ids.count() // (8 * chunk)))
+    dealt = ids.repartitionByRange(parts, "split", "entity_id").withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("split", "part").orderBy("entity_id")) - 1
+    chunks = (
+        dealt.withColumn("chunk", F.floor(place / chunk))
+        .groupBy("split", "part", "chunk")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("entity_id").alias("low"),
+            F.max("entity_id").alias("high"),
+            _checksum().alias("checksum"),
+            F.sort_array(F.collect_list("entity_id")).alias("ids"),
+        )
+    )
+    chunks.write.mode(mode).partitionBy("split").json(f"{path}/chunks")
+    whole = ids.groupBy("split").agg(F.count(F.lit(1)).alias("n"), _checksum().alias("checksum"))
+    manifest = whole.select("split", "n", "checksum", F.lit(seed).alias("seed"), F.lit(chunk).alias("chunk"))
+    manifest.coalesce(1).write.mode(mode).json(f"{path}/manifest")
+
+
+def read_chunked_split(
+    spark: SparkSession, path: str, split: str = "test", rows: DataFrame | None = None
+) -> DataFrame:
+    """Ids of a split, checked against chunk and manifest; with ``rows``, their semi join."""
+    try:
+        manifest = spark.read.schema("split string, n long, checksum long").json(f"{path}/manifest")
+        chunks = spark.read.schema(
+            "n long, low long, high long, checksum long, ids array<long>, split string"
+        ).json(f"{path}/chunks").filter(F.col("split") == split)
+    except AnalysisException as problem:
+        raise QualityError(f"no finished split manifest at {path}") from problem
+    wanted = manifest.filter(F.col("split") == split).first()
+    if wanted is None:
+        raise QualityError(f"the manifest at {path} has no split {split}")
+    ids = chunks.select(F.explode("ids").alias("entity_id"))
+    found = ids.agg(F.count(F.lit(1)).alias("n"), _checksum().alias("checksum")).first()
+    bad = chunks.filter(
+        (F.size("ids") != F.col("n")) | (F.array_min("ids") != F.col("low")) | (F.array_max("ids") != F.col("high"))
+        | (F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.xxhash64(i))) != F.col("checksum"))
+    )
+    if (found["n"], found["checksum"]) != (wanted["n"], wanted["checksum"]) or not bad.isEmpty():
+        raise QualityError(f"the ids of split {split} at {path} are not those of the manifest")
+    return ids if rows is None else rows.join(ids, "entity_id", "left_semi")
+
+
 def _text_ids(spark: SparkSession, path: str) -> DataFrame:
     line = F.trim("value")
     return spark.read.text(path).filter(line.rlike(r"^\d+$")).select(

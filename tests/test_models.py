@@ -80,11 +80,35 @@ def test_tuning_is_seeded(rows):
     ranges = {**models.SEARCH_RANGES, "maxIter": (2, 3, "int"), "maxDepth": (2, 2, "int")}
     assert models.draw_params(3, 1, ranges) == models.draw_params(3, 1, ranges)
     trials = models.draw_params(1, 1, ranges)
-    out = models.tune(rows, NAMES, trials, 2).collect()
-    assert len(out) == 1 and out[0]["n_folds"] == 2 and out[0]["mean_auc"] > 0.6
+    out = models.tune(rows, NAMES, trials, 2, rungs=(1.0,))
+    found = out.scores.collect()
+    assert len(found) == 1 and found[0]["n_folds"] == 2 and found[0]["mean_auc"] > 0.6
+    assert out.best == trials[0] and out.best_auc == found[0]["mean_auc"]
     assert set(models.draw_params(1)[0]) == set(models.SEARCH_RANGES)
 
 
+def test_poor_trials_stop_early(rows):
+    """A rung keeps its better third, and only those run all their iterations."""
+    trials = [{"maxIter": 4, "maxDepth": 2}, {"maxIter": 1, "maxDepth": 1, "stepSize": 1e-3}, {"maxIter": 2, "maxDepth": 1}]
+    out = models.tune(rows, NAMES, trials, 2, rungs=(0.5, 1.0), workers=3)
+    found = {(r["rung"], r["trial"]): r for r in out.scores.collect()}
+    assert {t for rung, t in found if rung == 0} == {0, 1, 2}
+    (last,) = [t for rung, t in found if rung == 1]
+    first = max((r["mean_auc"], -t) for (rung, t), r in found.items() if rung == 0)
+    assert last == -first[1] and out.best == trials[last] and out.best_auc == found[1, last]["mean_auc"]
+    again = models.tune(rows, NAMES, trials, 2, rungs=(0.5, 1.0), workers=1)
+    assert again.best == out.best and again.best_auc == pytest.approx(out.best_auc)
+    with pytest.raises(ValueError):
+        models.tune(rows, NAMES, trials, 2, rungs=(0.5,))
+
+
+def test_tune_pick_refit(rows):
+    small = {"maxIter": (2, 3, "int"), "maxDepth": (1, 2, "int")}
+    fitted, tuned = models.tune_target(rows, NAMES, 2, ranges=small, folds=2, rungs=(1.0,), with_full=False)
+    assert fitted.base.stages[-1].getMaxIter() == tuned.best["maxIter"] and fitted.full is None
+    assert 0.01 <= fitted.threshold <= 0.9
+
+
 def test_importances(rows, spark):
     train = rows.withColumnRenamed("m:x.1__mean", "x").fillna(0.0)
     fitted = models.boosted_trees(train, ["x", "noise"], SMALL)
@@ -151,16 +175,26 @@ def test_training_build(hospital):
 
 def test_scoring(hospital):
     sources, config, training = hospital
-    wide = build.training_rows(training)
-    fitted = build.fit_all(wide, training.names, {t: SMALL for t in build.TARGETS})
-    out = build.score_unseen(sources, [1, 2, 3, 4], fitted, training.names, config)
+    vectors, schema = build.training_vectors(training)
+    fitted = build.fit_all(vectors, params={t: SMALL for t in build.TARGETS})
+    out = build.score_unseen(sources, [1, 2, 3, 4], fitted, schema, config)
     assert out.columns == ["entity_id", "mortality_proba", "prolonged_LOS_proba", "readmission_proba"]
     rows = out.collect()
     assert [r["entity_id"] for r in rows] == [1, 2, 3, 4]  # a small batch keeps every column
     assert all(0 <= r[c] <= 1 for r in rows for c in out.columns[1:])
     labelled = build.score_unseen(
-        sources, sources.entities, fitted, training.names, config, require_labels=True
+        sources, sources.entities, fitted, schema, config, require_labels=True
     )
     assert labelled.count() == training.labels.count()
     with pytest.raises(ValueError):
-        build.score_unseen(sources, [], fitted, training.names, config)
+        build.score_unseen(sources, [], fitted, schema, config)
+
+
+def test_scoring_of_wide_rows(hospital):
+    """A small schema may also go through columns; the models then impute by themselves."""
+    sources, config, training = hospital
+    wide = build.training_rows(training)
+    fitted = build.fit_all(wide, training.names, {t: SMALL for t in build.TARGETS})
+    out = build.score_unseen(sources, [1, 2], fitted, training.names, config).collect()
+    assert [r["entity_id"] for r in out] == [1, 2]
+    assert all(0 <= r[c] <= 1 for r in out for c in ("mortality_proba", "readmission_proba"))

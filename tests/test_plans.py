@@ -39,3 +39,37 @@ def test_window_bounds_reach_the_reader(spark, tmp_path, frame):
     index = settle(frame([(1, "2020-01-01 00:00:00")], "stay_id bigint, admit ts"))
     text = plan(window.early_window(settle(events), index, prune_scan=True))
     assert "GreaterThanOrEqual(t,2020-01-01T00:00" in text and "LessThan(t,2020-01-03T01:00" in text
+
+
+def test_scope_removes_what_was_settled(spark, tmp_path):
+    import os
+
+    from staylens import session
+
+    with session.scope(spark):
+        outer = session.scratch(spark)
+        with session.scope(spark):
+            table = session.settle(spark.range(5))
+            inner = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+            assert os.path.isdir(inner) and table.count() == 5
+        assert not os.path.exists(inner)
+        spark.range(3).write.parquet(outer)
+        assert os.path.isdir(outer)
+    assert not os.path.exists(outer)
+    kept = session.settle(spark.range(2))
+    assert kept.count() == 2
+
+
+def test_ordinals_over_many_features(spark):
+    from pyspark.sql import functions as F
+
+    from staylens.operators import ranking
+
+    n = 10**6
+    names = spark.range(n).select(F.format_string("f%07d", (F.col("id") * 7919) % n).alias("feature"))
+    out = ranking.ordinals(names, ["feature"])
+    wrong = out.filter(F.substring("feature", 2, 7).cast("long") != F.col("ordinal"))
+    assert out.count() == n and wrong.isEmpty()
+    sizes = names.repartitionByRange(-(-n // ranking.ORDINALS), "feature").groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 65_536
+    assert ranking.ordinals(names.limit(0), ["feature"]).count() == 0

@@ -120,3 +120,36 @@ def test_metric_tables(spark, frame, tmp_path):
         files.read_metrics(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         files.write_metrics(table, str(tmp_path / "x"), "xml")
+
+
+def test_chunked_split(spark, tmp_path):
+    """Ten million ids come back, and no row of the files is above a megabyte."""
+    n, path = 10**7, str(tmp_path / "chunks")
+    split = spark.range(n).select(
+        F.col("id").alias("entity_id"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split")
+    )
+    files.write_chunked_split(split, path, 42)
+    lines = spark.read.text(f"{path}/chunks")
+    assert lines.agg(F.max(F.length("value"))).first()[0] < 1_000_000 and lines.count() >= n // files.CHUNK_IDS
+    ids = files.read_chunked_split(spark, path, "test")
+    row = ids.agg(F.count("*"), F.sum("entity_id"), F.max(F.col("entity_id") % 5)).first()
+    assert tuple(row) == (n // 5, sum(range(0, n, 5)), 0)
+    rows = spark.range(20).withColumnRenamed("id", "entity_id")
+    assert sorted(r[0] for r in files.read_chunked_split(spark, path, "test", rows).collect()) == [0, 5, 10, 15]
+
+
+def test_chunked_split_is_checked(spark, frame, tmp_path):
+    path = str(tmp_path / "c")
+    split = frame([(i, "test" if i % 2 else "val") for i in range(50)], "entity_id bigint, split string")
+    files.write_chunked_split(split, path, 1, chunk=7)
+    with pytest.raises(QualityError):
+        files.read_chunked_split(spark, path, "train")
+    with pytest.raises(QualityError):
+        files.read_chunked_split(spark, str(tmp_path / "nothing"))
+    one = next((tmp_path / "c" / "chunks" / "split=test").glob("*.json"))
+    lines = one.read_text().splitlines()
+    one.write_text("\n".join([lines[0].replace('"ids":[', '"ids":[1000,'), *lines[1:]]) + "\n")
+    (one.parent / f".{one.name}.crc").unlink()
+    with pytest.raises(QualityError):
+        files.read_chunked_split(spark, path, "test")
+    assert files.read_chunked_split(spark, path, "val").count() == 25
