@@ -70,23 +70,37 @@ def shares(counts: DataFrame, n: str = "n") -> tuple[DataFrame, int]:
     return counts.where(F.col(n) > share), share
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened until no taken name equals them in any case."""
+    used, out = {name.lower() for name in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``docs`` less the rows that ``members`` (doc_id, raw, stays) marks to go.
 
     Rows are recognised by id and hash of the text.  Members that repeat both are
-    indistinguishable to that test: of those that may stay one is kept.
+    indistinguishable to that test: of those that may stay one is kept.  Rows meet their
+    members by a shuffle at every size: which side is small does not depend on the data.
     """
-    named = members.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), "stays")
-    named = named.groupBy("__id", "__raw").agg(
-        F.count("*").alias("n"), F.max("stays").alias("stays")
+    key, hash_, n = fresh(docs.columns, "member", "hash", "n")
+    named = members.select(F.col("doc_id").alias(key), F.col("raw").alias(hash_ + "_of"), "stays")
+    named = named.groupBy(key, hash_ + "_of").agg(
+        F.count("*").alias(n), F.max("stays").alias("stays")
     )
-    gone, again = named.where("n > 1 or not stays"), named.where("n > 1 and stays")
-    rows_ = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-        F.col("__hash") == F.col("__raw")
+    gone = named.where(~F.col("stays") | (F.col(n) > 1))
+    again = named.where(F.col("stays") & (F.col(n) > 1))
+    rows_ = docs.withColumn(hash_, F.xxhash64(text_or_empty()))
+    same = rows_["doc_id"].cast("long").eqNullSafe(F.col(key)) & (
+        F.col(hash_) == F.col(hash_ + "_of")
     )
-    lone = rows_.join(gone.select("__id", "__raw"), same, "left_anti")
+    lone = rows_.hint("shuffle_merge").join(gone.select(key, hash_ + "_of"), same, "left_anti")
     if again.isEmpty():
-        return lone.drop("__hash")
-    one = rows_.join(again.select("__id", "__raw"), same, "left_semi")
-    return lone.unionByName(one.dropDuplicates(["doc_id", "__hash"])).drop("__hash")
+        return lone.drop(hash_)
+    one = rows_.join(again.select(key, hash_ + "_of"), same, "left_semi")
+    return lone.unionByName(one.dropDuplicates(["doc_id", hash_])).drop(hash_)

@@ -170,14 +170,13 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark; other rows as they are."""
+    key, raw, hash_, spans_ = rows.fresh(docs.columns, "member", "raw", "hash", "found")
     found = settle(scan(docs, reach).where("spans <> ''").select("doc_id", "raw", "found").distinct())
-    found = found.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), F.col("found").alias("__found"))
-    named = docs.withColumn("__hash", F.xxhash64(rows.text_or_empty()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-        F.col("__hash") == F.col("__raw")
-    )
+    found = found.toDF(key, raw, spans_)
+    named = docs.withColumn(hash_, F.xxhash64(rows.text_or_empty()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(hash_) == F.col(raw))
     written = F.expr(
-        f"""aggregate(__found, named_struct('at', 0L, 'out', ''),
+        f"""aggregate({spans_}, named_struct('at', 0L, 'out', ''),
           (a, s) -> if(s.start >= a.at,
             named_struct('at', s.end, 'out',
               concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{MARK}')),
@@ -186,6 +185,6 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     )
     return (
         named.join(found, same, "left")
-        .withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(written))
+        .withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(written))
         .select(*docs.columns)
     )
