@@ -37,12 +37,26 @@ from staylens.session import settle
 BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # ASCII that is no letter
 LEAST = 10  # documents of a kept term
 TOP = 10  # terms reported per source
-LEVELS = (2, 4, 5, 6, 7, 8, 10, 12, 16)  # bytes; each further level doubles
+FIRST = 4  # bytes of the first level; each further one doubles
+TEXT_AT_ONCE = 8 << 20  # bytes of text in a slice
 BITS = 1 << 23
 UNIT = 1_000_000_000
 CELLS = 1 << 20  # terms x sources held dense at once
 
-BAGS = "lang string, source string, terms array<binary>, counts array<long>"
+SLICES = pa.schema(
+    [
+        ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+        ("words", pa.list_(pa.binary())), ("pair_lang", pa.list_(pa.int32())),
+        ("pair_word", pa.list_(pa.int32())), ("doc_source", pa.list_(pa.int32())),
+        ("doc_terms", pa.list_(pa.int32())), ("pair", pa.list_(pa.int32())),
+        ("count", pa.list_(pa.int32())),
+    ]
+)
+SLICES_DDL = (
+    "langs array<string>, sources array<string>, words array<binary>, pair_lang array<int>, "
+    "pair_word array<int>, doc_source array<int>, doc_terms array<int>, pair array<int>, "
+    "count array<int>"
+)
 PREFIXES = pa.schema(
     [("lang", pa.string()), ("prefix", pa.binary()), ("complete", pa.bool_()), ("docs", pa.int64())]
 )
@@ -55,44 +69,91 @@ GAPS = pa.schema(
 )
 
 
-def bag(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """The distinct terms of each text in byte order, and their occurrences."""
+def bag(texts: pa.Array, lang: np.ndarray) -> tuple:
+    """The distinct terms of each text: words in byte order, the (lang, word) pairs that
+    occur, the terms of each text, and pair and occurrences of each term.
+
+    Pairs are in order of (lang, word), so the terms of a text are in byte order.
+    """
     lists = pc.split_pattern_regex(pc.ascii_lower(texts), BREAKS)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.binary())
     order = pc.sort_indices(words).to_numpy()
+    words = words.take(pa.array(order))
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
     codes = place[coded.indices.to_numpy(zero_copy_only=False)]
     row = np.repeat(np.arange(len(texts)), sizes)
-    real = pc.binary_length(words.take(pa.array(order))).to_numpy(zero_copy_only=False) > 0
-    stay = real[codes] if codes.size else np.zeros(0, bool)
-    met, counts = np.unique(row[stay] * max(len(words), 1) + codes[stay], return_counts=True)
-    ends = np.searchsorted(met, np.arange(len(texts) + 1) * max(len(words), 1)).astype(np.int32)
-    terms = words.take(pa.array(order[met % max(len(words), 1)]))
-    return (
-        pa.ListArray.from_arrays(pa.array(ends), terms),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int64))),
-    )
+    if len(words) and not words[0].as_py():  # the cuts leave empty words at the ends
+        row, codes = row[codes > 0], codes[codes > 0]
+    width = max(len(words), 1)
+    met, counts = np.unique(row * width + codes, return_counts=True)
+    row, codes = np.divmod(met, width)
+    pairs, pair = np.unique(lang[row] * width + codes, return_inverse=True)
+    pair_lang, pair_word = np.divmod(pairs, width)
+    return words, pair_lang, pair_word, np.bincount(row, minlength=len(texts)), pair, counts
+
 
+def slices(docs: DataFrame) -> DataFrame:
+    """Documents as bags of terms, some megabytes of text to a row.
 
-def bags(docs: DataFrame) -> DataFrame:
-    """One row per document: lang, source, terms, counts."""
+    A slice codes its languages, sources, words and (lang, word) pairs once; documents are
+    runs of pair numbers.
+    """
 
     def run(batches):
-        for part in pieces.spans(batches):
-            terms, counts = bag(part.column("text"))
+        for part in pieces.spans(batches, size=TEXT_AT_ONCE):
+            langs = part.column("lang").dictionary_encode()
+            sources = part.column("source").dictionary_encode()
+            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            words, *numbers = bag(part.column("text"), lang)
+            columns = [langs.dictionary, sources.dictionary, words, *numbers[:2], sources.indices, *numbers[2:]]
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), part.column("source"), terms, counts],
-                names=["lang", "source", "terms", "counts"],
+                [
+                    pa.ListArray.from_arrays(
+                        pa.array([0, len(c)], pa.int32()),
+                        c if isinstance(c, pa.Array) else pa.array(c.astype(np.int32)),
+                    )
+                    for c in columns
+                ],
+                schema=SLICES,
             )
 
     return docs.select(
         rows.text_or_empty("lang").alias("lang"),
         rows.text_or_empty("source").alias("source"),
         rows.text_or_empty().alias("text"),
-    ).mapInArrow(run, BAGS)
+    ).mapInArrow(run, SLICES_DDL)
+
+
+class Slice:
+    """One row of ``slices`` as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        def column(name: str) -> pa.Array:
+            return batch.column(name)[i].values
+
+        def numbers(name: str) -> np.ndarray:
+            return column(name).to_numpy(zero_copy_only=False)
+
+        self.langs, self.sources, self.words = column("langs"), column("sources"), column("words")
+        self.pair_lang, self.pair_word = numbers("pair_lang"), numbers("pair_word")
+        self.doc_source, self.pair, self.count = numbers("doc_source"), numbers("pair"), numbers("count")
+        self.row = np.repeat(np.arange(self.doc_source.size), numbers("doc_terms"))
+
+    def alive(self, table: np.ndarray, prefixes: pa.Array) -> np.ndarray:
+        """Whether the table may hold each pair's language and prefix."""
+        at = slots(hashes(self.langs)[self.pair_lang], hashes(prefixes)[self.pair_word])
+        return holds(table, at)
+
+
+def each_slice(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = Slice(batch, i)
+            if found.pair.size:
+                yield found
 
 
 def slots(langs: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -131,31 +192,8 @@ def holds(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63)) & 1 == 1
 
 
-class Tokens:
-    """The terms of a batch of bags as codes: one entry per (document, term)."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        lists = batch.column("terms")
-        coded = lists.flatten().dictionary_encode()
-        self.words = coded.dictionary
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        self.row = np.repeat(np.arange(batch.num_rows), sizes)
-        langs = batch.column("lang").dictionary_encode()
-        self.langs = langs.dictionary
-        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        # Distinct (lang, word) pairs, and the pair of every entry.
-        self.pair, pairs = pd.factorize(lang * max(len(self.words), 1) + code)
-        self.lang, self.word = np.divmod(pairs, max(len(self.words), 1))
-
-    def alive(self, table: np.ndarray, prefixes: pa.Array) -> np.ndarray:
-        """Whether the table may hold each pair's language and prefix."""
-        at = slots(hashes(self.langs)[self.lang], hashes(prefixes)[self.word])
-        return holds(table, at)
-
-
 def prefix_counts(
-    bagged: DataFrame, reach: int, before: int = 0, table: np.ndarray | None = None
+    sliced: DataFrame, reach: int, before: int = 0, table: np.ndarray | None = None
 ) -> DataFrame:
     """Distinct documents per (lang, prefix of ``reach`` bytes, complete).
 
@@ -163,92 +201,87 @@ def prefix_counts(
     """
 
     def run(batches):
-        for batch in batches:
-            tokens = Tokens(batch)
-            if not tokens.pair.size:
-                continue
-            words = tokens.words
+        for part in each_slice(batches):
+            words = part.words
             size = pc.binary_length(words).to_numpy(zero_copy_only=False)
-            live = size[tokens.word] > before
+            live = size[part.pair_word] > before
             if table is not None:
-                live &= tokens.alive(table, pc.binary_slice(words, 0, before))
-            cut = pc.binary_slice(words, 0, reach).dictionary_encode()
-            part = 2 * cut.indices.to_numpy(zero_copy_only=False).astype(np.int64) + (size <= reach)
-            ids, keys = pd.factorize(tokens.lang * (2 * len(cut.dictionary)) + part[tokens.word])
-            ids = np.where(live, ids, -1)[tokens.pair]
-            row, ids = tokens.row[ids >= 0], ids[ids >= 0]
-            # Terms are in byte order, so those of one prefix are neighbours.
+                live &= part.alive(table, pc.binary_slice(words, 0, before))
+            # Words are in byte order, so those of one prefix are neighbours.
+            cut = pc.binary_slice(words, 0, reach)
+            ends = pc.binary_length(words).to_numpy(zero_copy_only=False) <= reach
+            new = np.ones(len(words), bool)
+            same = pc.equal(cut.slice(1), cut.slice(0, max(len(cut) - 1, 0)))
+            new[1:] = ~same.to_numpy(zero_copy_only=False) | ends[1:] | ends[:-1]
+            prefix = np.cumsum(new) - 1
+            width = int(prefix[-1]) + 1
+            ids, keys = pd.factorize(part.pair_lang.astype(np.int64) * width + prefix[part.pair_word])
+            ids = np.where(live, ids, -1)[part.pair]
+            row, ids = part.row[ids >= 0], ids[ids >= 0]
             first = np.ones(ids.size, bool)
             first[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
             docs = np.bincount(ids[first], minlength=len(keys))
             met = np.flatnonzero(docs)
-            lang, part = np.divmod(keys[met], 2 * len(cut.dictionary))
+            lang, at = np.divmod(keys[met], width)
+            word = np.flatnonzero(new)[at]
             yield pa.RecordBatch.from_arrays(
                 [
-                    tokens.langs.take(pa.array(lang)),
-                    cut.dictionary.take(pa.array(part >> 1)),
-                    pa.array(part % 2 == 1),
+                    part.langs.take(pa.array(lang)),
+                    cut.take(pa.array(word)),
+                    pa.array(ends[word]),
                     pa.array(docs[met]),
                 ],
                 schema=PREFIXES,
             )
 
-    counted = bagged.select("lang", "terms").mapInArrow(
+    counted = sliced.mapInArrow(
         run, "lang string, prefix binary, complete boolean, docs long"
     )
     return counted.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs"))
 
 
-def vocabulary(bagged: DataFrame, least: int = LEAST) -> DataFrame:
+def vocabulary(sliced: DataFrame, least: int = LEAST, first: int = FIRST) -> DataFrame:
     """(lang, term, docs) of the terms in at least ``least`` documents of their language."""
-    complete, table, before, level = [], None, 0, 0
+    complete, table, before, reach = [], None, 0, first
     while True:
-        reach = LEVELS[level] if level < len(LEVELS) else 2 * before
         kept = settle(
-            prefix_counts(bagged, reach, before, table).where(F.col("docs") >= F.lit(least))
+            prefix_counts(sliced, reach, before, table).where(F.col("docs") >= F.lit(least))
         )
         complete.append(kept.where("complete").select("lang", F.col("prefix").alias("term"), "docs"))
         longer = kept.where("not complete")
         if longer.isEmpty():
             break
-        table, before, level = bit_table(longer, "prefix"), reach, level + 1
+        table, before, reach = bit_table(longer, "prefix"), reach, 2 * reach
     out = complete[0]
     for more in complete[1:]:
         out = out.unionByName(more)
     return out
 
 
-def term_counts(bagged: DataFrame, kept: DataFrame) -> DataFrame:
+def term_counts(sliced: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, count) of the kept terms that occur in a group."""
     table = bit_table(kept, "term")
 
     def run(batches):
-        for batch in batches:
-            tokens = Tokens(batch)
-            if not tokens.pair.size:
-                continue
-            live = tokens.alive(table, tokens.words)[tokens.pair]
-            sources = batch.column("source").dictionary_encode()
-            source = sources.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            width = len(sources.dictionary)
-            ids, keys = pd.factorize(
-                tokens.pair[live] * width + source[tokens.row[live]]
-            )
-            counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)[live]
+        for part in each_slice(batches):
+            live = part.alive(table, part.words)[part.pair]
+            width = len(part.sources)
+            source = part.doc_source[part.row[live]]
+            ids, keys = pd.factorize(part.pair[live].astype(np.int64) * width + source)
             total = np.zeros(len(keys), np.int64)
-            np.add.at(total, ids, counts)
+            np.add.at(total, ids, part.count[live])
             pair, source = np.divmod(keys, width)
             yield pa.RecordBatch.from_arrays(
                 [
-                    tokens.langs.take(pa.array(tokens.lang[pair])),
-                    sources.dictionary.take(pa.array(source)),
-                    tokens.words.take(pa.array(tokens.word[pair])),
+                    part.langs.take(pa.array(part.pair_lang[pair])),
+                    part.sources.take(pa.array(source)),
+                    part.words.take(pa.array(part.pair_word[pair])),
                     pa.array(total),
                 ],
                 schema=COUNTS,
             )
 
-    counted = bagged.mapInArrow(run, "lang string, source string, term binary, count long")
+    counted = sliced.mapInArrow(run, "lang string, source string, term binary, count long")
     summed = counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
     return summed.join(kept.select("lang", "term"), ["lang", "term"])
 
@@ -309,14 +342,16 @@ def pair_sums(part: pa.RecordBatch, below: np.ndarray) -> np.ndarray:
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank of every group."""
-    bagged = settle(bags(docs))
-    kept = settle(vocabulary(bagged, least))
-    counts = settle(term_counts(bagged, kept))
+    sliced = settle(slices(docs))
+    kept = settle(vocabulary(sliced, least))
+    counts = settle(term_counts(sliced, kept))
 
     in_group = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = (
-        bagged.select("lang", "source").distinct()
+        docs.select(
+            rows.text_or_empty("lang").alias("lang"), rows.text_or_empty("source").alias("source")
+        ).distinct()
         .join(in_group, ["lang", "source"], "left")
         .select("lang", "source", F.coalesce("n", F.lit(0).cast("long")).alias("n"), place.alias("at"))
     )

@@ -39,11 +39,13 @@ def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return source[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def spans(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def spans(
+    batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BYTES_AT_ONCE
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to a bounded number of bytes of text; one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // BYTES_AT_ONCE
+        part = np.cumsum(sizes, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

@@ -162,7 +162,7 @@ def test_audit_of_nothing(spark):
 def test_refinement_discards_prefixes(spark, monkeypatch):
     """Extensions of a discarded prefix are never counted; a full bit table only costs work."""
     table = [(i, "common " + "rare" + "abcdefgh"[i % 8] * 9, "en", "a") for i in range(40)]
-    bagged = divergence.bags(frame(spark, table))
+    bagged = divergence.slices(frame(spark, table))
     first = divergence.prefix_counts(bagged, 6)
     assert {(bytes(r[1]), r[2], r[3]) for r in first.collect() if r[3] >= 10} == {(b"common", True, 40)}
     table_ = divergence.bit_table(first.where("docs >= 10 and not complete"), "prefix")
@@ -170,6 +170,7 @@ def test_refinement_discards_prefixes(spark, monkeypatch):
     everything = np.full(divergence.BITS >> 6, -1, np.int64)
     assert divergence.prefix_counts(bagged, 40, 6, everything).count() == 8
     monkeypatch.setattr(divergence, "bit_table", lambda kept, column: everything)
+    monkeypatch.setattr(divergence, "TEXT_AT_ONCE", 300)
     few = documents(100)
     assert sorted(map(tuple, divergence.audit(frame(spark, few)).collect())) == brute_audit(few, 10, 10)
 
