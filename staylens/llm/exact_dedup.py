@@ -3,10 +3,12 @@
 A document's key is the 64-bit hash of its normalised text.  The directory is
 addressed by the leading bits of the key: buckets that hold more distinct keys
 than their capacity are split, and the directory doubles whenever the bucket to
-split already uses all its bits.  Bucket entries are Parquet rows in the shared
-folder.  Owner tasks take the rows of whole keys (a hot key in several shares),
-chain texts that collide under one key and compare their bytes; heads of the
-shares of one key are then compared the same way.
+split already uses all its bits.  Rows are dealt by their bucket (a hot key in several
+shares): owner tasks read a bucket's rows by key, chain texts that collide under one key
+and compare their bytes; heads of the shares of one key are then compared the same way.
+
+Bucket entries are Parquet files in the shared folder, by bucket and key: one entry per
+distinct text.  The result is read from them, and ``lookup`` finds further texts there.
 
 Cases: a NULL text counts as empty; a NULL id sorts after all others and is
 kept only if its group has no other id; of rows that repeat id and text one is
@@ -28,8 +30,10 @@ from staylens.llm import rows
 from staylens.session import settle
 
 SPACES = r"[\x20\x09-\x0D]+"
-CAPACITY = 4096  # distinct keys in a bucket before it splits
-MAX_DEPTH = 16  # the directory has at most 2^16 slots; deeper buckets just grow
+CAPACITY = 256  # distinct keys in a bucket before it splits, or 1/BUCKETS of them all
+BUCKETS = 1 << 14
+ALONE = -1  # link of a text that no other row of its key has
+MAX_DEPTH = 16  # keys are hashes, so their first 16 bits tell some 2^14 buckets apart
 
 
 def normalised(column: str = "text") -> Column:
@@ -70,7 +74,8 @@ def directory(loads: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, in
 @dataclass(frozen=True)
 class Index:
     """directory: slot, bucket, local_depth, load; entries: one row per distinct text
-    (bucket, key, link, keep_id, group_size, text_sha256); members: one row per input row."""
+    (bucket, key, link, keep_id, raw, group_size, text_sha256), written by bucket; members:
+    one row per input row."""
 
     depth: int
     directory: DataFrame
@@ -142,10 +147,10 @@ def build(
     counts = settle(keys.groupBy("key").agg(F.count("*").alias("n")))
 
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    loads = np.zeros(1 << MAX_DEPTH, np.int64)
+    loads = np.zeros(1 << MAX_DEPTH, np.int64)  # distinct keys
     for row in counts.groupBy(prefix.alias("p")).count().collect():  # at most 2^16
         loads[row["p"]] = row["count"]
-    slots = directory(loads, capacity)
+    slots = directory(loads, max(capacity, -(-int(loads.sum()) // BUCKETS)))
     depth = len(slots).bit_length() - 1
     table = settle(
         spark.createDataFrame(slots, "slot long, bucket int, local_depth int, load long")
@@ -179,8 +184,8 @@ def build(
             "doc_id", "raw", "key", "salt", "shares", "bucket",
             F.sha2("norm", 256).alias("sha"), F.encode("norm", "UTF-8").alias("body"),
         )
-        .repartition(rows.tasks(docs), "key", "salt")  # to the owners, however the join ran
-        .sortWithinPartitions("key", "salt", F.col("doc_id").asc_nulls_last())
+        .repartition(rows.tasks(docs), "bucket", "salt")  # to the owners, however the join ran
+        .sortWithinPartitions("bucket", "key", "salt", F.col("doc_id").asc_nulls_last())
     )
     linked = settle(candidates.mapInArrow(own, LINKED_DDL))
 
@@ -204,41 +209,61 @@ def build(
         F.first("bucket").alias("bucket"),
         F.first("sha").alias("sha"),
     )
-    by_link = settle(
-        links.select("key", "link", "root").join(
-            texts.select("key", "root", "keep_id", "group_size"), ["key", "root"]
-        )
-    )
-    many = linked.join(by_link, ["key", "link"]).select(
-        "doc_id", "raw", "keep_id", "group_size",
-        (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        "sha",
-    )
     single = place(
         salted(keys).join(shared.select("key", "salt"), ["key", "salt"], "left_anti")
     )
-    one = single.select(
-        "doc_id", "raw", F.col("doc_id").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha",
-    )
-    members = many.unionByName(one)
+    none = F.lit(None).cast("long").alias("raw")
     entries = texts.select(
-        "bucket", "key", F.col("root").alias("link"), "keep_id", "group_size",
+        "bucket", "key", F.col("root").alias("link"), "keep_id", none, "group_size",
         F.col("sha").alias("text_sha256"),
     ).unionByName(
         single.select(
-            "bucket", "key", F.lit(0).cast("long").alias("link"),
-            F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-            F.col("sha").alias("text_sha256"),
+            "bucket", "key", F.lit(ALONE).cast("long").alias("link"), F.col("doc_id").alias("keep_id"),
+            "raw", F.lit(1).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"),
         )
     )
-    return Index(depth, table, entries, members)
+    entries = settle(
+        entries.repartition(rows.tasks(docs), "bucket").sortWithinPartitions("bucket", "key")
+    )
+
+    # Rows in chains find their text's entry; a text that is alone is its entry.
+    chains = entries.where(F.col("link") != ALONE).select(
+        "key", F.col("link").alias("root"), "keep_id", "group_size", "text_sha256"
+    )
+    by_link = settle(links.select("key", "link", "root").join(chains, ["key", "root"]))
+    many = linked.select("doc_id", "raw", "key", "link", "first").join(by_link, ["key", "link"]).select(
+        "doc_id", "raw", "keep_id", "group_size",
+        (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "text_sha256",
+    )
+    one = entries.where(F.col("link") == ALONE).select(
+        F.col("keep_id").alias("doc_id"), "raw", "keep_id", "group_size",
+        F.lit(True).alias("kept"), "text_sha256",
+    )
+    return Index(depth, table, entries, many.unionByName(one))
+
+
+def lookup(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size of further documents whose text the index holds."""
+    norm = normalised(text_col)
+    asked = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(norm).alias("key"),
+        F.sha2(norm, 256).alias("text_sha256"),
+    )
+    bits = index.depth
+    slot = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    placed = asked.withColumn("slot", slot).join(
+        F.broadcast(index.directory.select("slot", "bucket")), "slot"  # at most 2^16 rows
+    )
+    return placed.join(index.entries, ["bucket", "key", "text_sha256"]).select(
+        "doc_id", "keep_id", "group_size"
+    )
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     return build(docs, capacity=capacity).members.select(
-        "doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
 

@@ -44,6 +44,28 @@ def test_groups_equal_brute_force(spark, monkeypatch, share):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_groups(pairs)
 
 
+def test_index_entries_lie_by_bucket_and_answer(spark):
+    """Entries are in the bucket that the directory names; the result and lookups read them."""
+    pairs = CASES + [(100 + i, f"t{i % 120}") for i in range(200)]
+    index = exact_dedup.build(docs(spark, pairs), capacity=8)
+    slots = {r["slot"]: r["bucket"] for r in index.directory.collect()}
+    assert len(slots) == 1 << index.depth and len(set(slots.values())) > 10
+    entries = index.entries.withColumn("file", F.input_file_name()).collect()
+    assert len(entries) == len({r[4] for r in brute_groups(pairs)})
+    held, files = {}, {}
+    for r in entries:
+        assert slots[(r["key"] % 2**64) >> (64 - index.depth)] == r["bucket"]
+        held.setdefault(r["bucket"], set()).add(r["key"])
+        files.setdefault(r["bucket"], set()).add(r["file"])
+    assert max(map(len, held.values())) <= 8 and all(len(f) == 1 for f in files.values())
+    assert set(index.entries.inputFiles()) <= set(index.members.inputFiles())
+    more = docs(spark, [(900, "t7"), (901, "a\t\t\tb"), (902, "nowhere"), (903, None)])
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.lookup(index, more).collect()}
+    size = {r[4]: (r[1], r[2]) for r in brute_groups(pairs)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {900: size[sha("t7")], 901: size[sha("a b")], 903: size[sha("")]}
+
+
 def test_colliding_keys_are_told_apart_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
     pairs = [(i, f"text {i % 3}") for i in range(12)]
