@@ -18,6 +18,9 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,21 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def with_cells(events: DataFrame) -> DataFrame:
+    """Add ``cell``: which of ``CELLS`` slices of about equally many captures a time is in.
+
+    The slices are cut at quantiles, so stray times do not widen them; a URL with most of
+    the captures has at most as many in a slice as all URLs have.
+    """
+    timed = events.withColumn("__at", F.col("at").cast("double"))  # keeps the order of times
+    wanted = [i / CELLS for i in range(1, CELLS)]
+    edges = sorted(set(timed.approxQuantile("__at", wanted, 1 / (4 * CELLS)))) or [0.0]
+    cut = Bucketizer(
+        splits=[-math.inf, *edges, math.inf], inputCol="__at", outputCol="cell", handleInvalid="keep"
+    )
+    return cut.transform(timed).withColumn("cell", F.col("cell").cast("int")).drop("__at")
+
+
 def resolve(captures: DataFrame) -> DataFrame:
     """Resolve the revisits among ``captures`` (record_id long, kind 'response' or 'revisit',
     url, at long, etag, last_modified, headers map).
@@ -53,15 +71,13 @@ def resolve(captures: DataFrame) -> DataFrame:
     status and headers.  ``status`` is etag, last_modified, mismatch or unresolved; headers
     are merged only where validators agree.
     """
-    span = captures.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
-    low = span["low"] or 0
-    width = ((span["high"] or 0) - low) // CELLS + 1
     own = F.struct("record_id", "at", "etag", "last_modified", "headers")
-    events = captures.select(
+    named = captures.select("record_id", "kind", "url", "at", "etag", "last_modified", "headers")
+    events = with_cells(named).select(
         "record_id", canonical(F.col("url")).alias("key"), "at", "etag", "last_modified",
         F.coalesce("headers", F.lit(None).cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("headers"),
-        (F.col("kind") == "response").alias("full"),
-    ).withColumn("cell", F.floor((F.col("at") - low) / width))
+        (F.col("kind") == "response").alias("full"), "cell",
+    )
     joinable = F.col("key").isNotNull() & F.col("at").isNotNull()
     dated = events.where(joinable)
 
