@@ -2,7 +2,8 @@
 
 A block holds the ids of consecutive documents (by ascending id) and the ends of the
 documents as an Elias-Fano sequence: the low bits of every end packed side by side, the
-high bits in unary, and the position of every 64th one as a 32-bit select sample.  With
+high bits in unary, and the position of every 64th one as a 32-bit select sample; offsets
+are read through ``select``, which never unpacks the sequence.  With
 n ends up to N that is about n * (2 + log2(N / n)) bits and 32 / 64 bits of samples.
 Ids take 2 bytes where the vocabulary allows.  A small manifest holds the number of ids
 before each block.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from staylens.llm import pieces, rows
 
 SAMPLE = 64  # ones between two select samples
+AT_ONCE = 1 << 12  # documents selected in step
 BLOCK_IDS = 1 << 20  # a block is closed at so many ids, by whole documents
 
 
@@ -59,34 +61,47 @@ class Sequence:
             ones[::SAMPLE].astype("<u4").tobytes(),
         )
 
-    def _low(self, i: int) -> int:
-        value = 0
-        for k in range(self.low_bits):
-            at = i * self.low_bits + k
-            value |= (self.low[at >> 3] >> (at & 7) & 1) << k
-        return value
+    def select(self, wanted: np.ndarray) -> np.ndarray:
+        """The elements at the places ``wanted``, each from the sample before it.
+
+        Words of 64 high bits are counted until the place is inside one, then its lower
+        ones are cleared; all places go in step.  Nothing but the answers is unpacked.
+        """
+        wanted = np.asarray(wanted, np.int64)
+        if not wanted.size:
+            return np.zeros(0, np.int64)
+        words = np.frombuffer(self.high + bytes(8 + -len(self.high) % 8), "<u8")
+        at = np.frombuffer(self.samples, "<u4")[wanted // SAMPLE].astype(np.int64)
+        left, place = wanted % SAMPLE, at >> 6
+        word = words[place] >> (at & 63).astype(np.uint64) << (at & 63).astype(np.uint64)
+        live = np.arange(wanted.size)
+        while live.size:
+            ones = np.bitwise_count(word[live]).astype(np.int64)
+            live, ones = live[ones <= left[live]], ones[ones <= left[live]]
+            left[live] -= ones
+            place[live] += 1
+            word[live] = words[place[live]]
+        live = np.flatnonzero(left)
+        while live.size:
+            word[live] &= word[live] - np.uint64(1)
+            left[live] -= 1
+            live = live[left[live] > 0]
+        lowest = word & (~word + np.uint64(1))
+        one = place * 64 + np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)
+        return (one - wanted << self.low_bits) | self._low(wanted)
+
+    def _low(self, wanted: np.ndarray) -> np.ndarray:
+        """Low bits of the elements, out of the eight bytes that hold them."""
+        if not self.low_bits:
+            return np.zeros(wanted.size, np.int64)
+        low = np.frombuffer(self.low + bytes(8), np.uint8)
+        at = wanted * self.low_bits
+        near = low[(at >> 3)[:, None] + np.arange(8)].copy().view("<u8").ravel()
+        mask = np.uint64((1 << self.low_bits) - 1)
+        return (near >> (at & 7).astype(np.uint64) & mask).astype(np.int64)
 
     def get(self, i: int) -> int:
-        """Element ``i``: select its one from the sample before it."""
-        at = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
-        left, byte = i % SAMPLE, at >> 3
-        word = self.high[byte] >> (at & 7) << (at & 7)
-        while (ones := word.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            word = self.high[byte]
-        for _ in range(left):
-            word &= word - 1
-        one = byte * 8 + (word & -word).bit_length() - 1
-        return (one - i) << self.low_bits | self._low(i)
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        places = np.unpackbits(
-            np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits
-        ).reshape(self.n, self.low_bits)
-        low = places.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return (ones - np.arange(self.n) << self.low_bits) + low
+        return int(self.select(np.array([i]))[0])
 
 
 BLOCKS = pa.schema(
@@ -175,20 +190,27 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ends = Sequence(
+                sequence = Sequence(
                     row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"]
-                ).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                yield rows.batch(
-                    DIGESTS,
-                    {
-                        "doc_id": row["doc_ids"],
-                        "start": (starts + row["first"]).tolist(),
-                        "n_tokens": (ends - starts).tolist(),
-                        "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)],
-                    },
                 )
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+                for first in range(0, row["n_docs"], AT_ONCE):
+                    last = min(first + AT_ONCE, row["n_docs"])
+                    # A document starts where the one before it ends.
+                    edges = sequence.select(np.arange(max(first - 1, 0), last))
+                    edges = edges if first else np.concatenate([[0], edges])
+                    starts, ends = edges[:-1], edges[1:]
+                    yield rows.batch(
+                        DIGESTS,
+                        {
+                            "doc_id": row["doc_ids"][first:last],
+                            "start": (starts + row["first"]).tolist(),
+                            "n_tokens": (ends - starts).tolist(),
+                            "ids_crc32": [
+                                zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts, ends)
+                            ],
+                        },
+                    )
 
     blocks = spark.read.parquet(f"{path}/blocks")
     manifest = spark.read.parquet(f"{path}/manifest")

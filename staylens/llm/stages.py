@@ -1,4 +1,11 @@
-"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame."""
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``docs`` in their order, extra ones included,
+whatever their names.  Cases, the same in every stage: a NULL text counts as empty and its
+row is kept unless a copy of it is; a NULL id sorts after all others; rows that repeat id
+and text are copies of each other; ties go to the smallest id, then to the smallest text
+hash; very long texts are read whole; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
