@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,59 @@ STRETCH = {True: 0.5, False: 4.0}  # of a run of three and more, of a double let
 EDGES = ".,;:?\"'()[]{}<>«»“”…"
 PLAIN = re.compile(r"[^\W\d_]+")
 STRETCHED = re.compile(r"(.)\1\1")
+# Letters the character model tells apart; all others are one more. Three places of 7 bits
+# bound its table, whatever the corpus.
+LETTERS = [chr(c) for c in range(0x180) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+OTHER = "\uffff"
+SYMBOLS = "^" + "".join(LETTERS) + OTHER  # ^ is the edge of a word, written $ behind it
+PLACE = 7
+TOLD = frozenset([*SYMBOLS, "$"])
+
+
+@lru_cache(maxsize=1)
+def symbols() -> np.ndarray:
+    """Place in ``SYMBOLS`` of every code point; 0 for whatever is no letter."""
+    out = np.zeros(0x110000, np.int64)
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            out[c] = len(SYMBOLS) - 1
+    for at, letter in enumerate(SYMBOLS[1:-1], 1):
+        out[ord(letter)] = at
+    return out
+
+
+def trigram_codes(text: str) -> np.ndarray:
+    """The trigrams of a text's words: two symbols and the one after them, 0 at the edges."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    here = np.concatenate([[0, 0], symbols()[points], [0]])
+    one, two, three = here[:-2], here[1:-1], here[2:]
+    one = np.where(two == 0, 0, one)  # a word begins: what lies before the blank is not its own
+    inside = (three > 0) | (two > 0)
+    return (one << 2 * PLACE | two << PLACE | three)[inside]
+
+
+def trigram_text(code: int) -> str:
+    one, two, three = (code >> k * PLACE & (1 << PLACE) - 1 for k in (2, 1, 0))
+    return SYMBOLS[one] + SYMBOLS[two] + (SYMBOLS[three] if three else "$")
+
+
+def character_model(docs: DataFrame) -> "CharModel":
+    """Character trigrams of the words of all texts; no labels are read."""
+
+    def count(batches):
+        counts = np.zeros(1 << 3 * PLACE, np.int64)
+        for part in rows.slices(batches, 64):
+            for text in part["text"]:
+                if text:
+                    codes = trigram_codes(text)
+                    met, n = np.unique(codes, return_counts=True)
+                    counts[met] += n
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(met), "n": pa.array(counts[met])})
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "code long, n long")
+    summed = found.groupBy("code").agg(F.sum("n").alias("n"))
+    return CharModel({trigram_text(r["code"]): r["n"] for r in summed.collect()})  # at most 2^21
 
 
 @dataclass
@@ -83,9 +137,11 @@ class CharModel:
         if found is None:
             if len(self.known) > 1 << 17:
                 self.known.clear()
+            raw, key = key, "".join(c if c in TOLD else OTHER for c in key)
+            before = key[:2]
             three = self.threes.get(key, 0) / max(1, self.twos.get(before, 0))
             two = self.twos.get(key[1:], 0) / max(1, self.ones.get(before[1], 0))
-            found = self.known[key] = -math.log(0.7 * three + 0.25 * two + 0.05 / 64)
+            found = self.known[raw] = -math.log(0.7 * three + 0.25 * two + 0.05 / 64)
         return found
 
 
@@ -305,28 +361,13 @@ WEIGHTED = pa.schema(
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE) -> Model:
-    """Character model, weights and prior from the labelled sample.
+    """Character model of all texts, and weights and prior from the labelled sample.
 
-    All three are small: they come from a sample of bounded size.
+    All three are small: an alphabet and the size of the sample bound them.
     """
     training = without_copies(settle(sample(docs, labels, usable, size)))
 
-    def trigrams(batches):
-        counts = Counter()
-        for part in rows.slices(batches):
-            for text in part["text"]:
-                for word in PLAIN.findall(text.lower()):
-                    word = "^^" + word + "$"
-                    counts.update([word[i : i + 3] for i in range(len(word) - 2)])
-        yield pa.RecordBatch.from_pydict(
-            {"gram": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
-        )
-
-    threes = (
-        training.select("text").mapInArrow(trigrams, "gram string, n long")
-        .groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    )
-    chars = CharModel({r["gram"]: r["n"] for r in threes})
+    chars = character_model(docs)
 
     def met(batches):
         seen: dict[str, tuple[str, set[str]]] = {}

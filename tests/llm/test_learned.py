@@ -2,9 +2,11 @@
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from staylens.llm import language, revisits, toxicity
 from tests.llm.test_dedup import docs as plain_docs
@@ -159,6 +161,16 @@ def test_canonical_urls(spark):
     assert got == pairs
 
 
+def test_stray_times_do_not_gather_a_hot_url(spark):
+    """A URL with all captures is spread over the cells though one time is far away."""
+    log = spark.range(20_000).select((F.col("id") + 10**9).alias("at"))
+    log = log.unionByName(spark.createDataFrame([(0,), (None,), (10**15,)], "at long"))
+    cells = revisits.with_cells(log).groupBy("cell").count().agg(F.max("count"), F.count("*")).first()
+    assert cells[0] < 20_000 / 200 and cells[1] > 500
+    ordered = revisits.with_cells(log).where("at is not null").orderBy("at").select("cell").collect()
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+
+
 def test_revisits_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     table = []
@@ -236,3 +248,17 @@ def test_near_copies_of_a_text_count_once(spark):
     training = spark.createDataFrame(copies + other, "text string, toxic int")
     got = sorted((r["toxic"], len(r["text"].split())) for r in toxicity.without_copies(training).collect())
     assert got == [(0, 0), (0, 60), (1, 3), (1, 61)]
+
+
+def test_character_model_counts_every_text(spark):
+    """The trigrams of all texts, labelled or not, against a plain count."""
+    texts = ["Hello wörld, a x1y 漢字 ŸÀ!", "", "...", "a", None, "hello again " * 500, "naïve ſtraße"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    wanted = Counter()
+    for text in texts:
+        for word in toxicity.PLAIN.findall((text or "").lower()):
+            word = "^^" + "".join(c if c in toxicity.TOLD else toxicity.OTHER for c in word) + "$"
+            wanted.update(word[i : i + 3] for i in range(len(word) - 2))
+    assert toxicity.character_model(docs).threes == dict(wanted)
+    assert len(toxicity.SYMBOLS) <= 1 << toxicity.PLACE
+    assert toxicity.character_model(docs.limit(0)).threes == {}
