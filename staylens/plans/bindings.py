@@ -53,7 +53,7 @@ def stamp_sql(column: str) -> str:
 
 # --- stays -----------------------------------------------------------------
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with a shipped line; the rest are dropped."""
+    """Orders with a shipped line; the rest are dropped.  Settled: plans read it often."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"
     )
@@ -65,17 +65,21 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_shipdate").alias("disch")
     )
     died = (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 7 == 0)
-    return first.select(
-        F.col("o_custkey").alias("entity_id"),
-        F.col("o_orderkey").alias("stay_id"),
-        F.col("o_orderdate").alias("admit"),
-        "disch",
-        F.when(died, F.col("disch")).alias("deathtime"),
+    return settle(
+        first.select(
+            F.col("o_custkey").alias("entity_id"),
+            F.col("o_orderkey").alias("stay_id"),
+            F.col("o_orderdate").alias("admit"),
+            "disch",
+            F.when(died, F.col("disch")).alias("deathtime"),
+        )
     )
 
 
-def first_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.with_los(cohort.index_stay(stays(spark, sf_dir)))
+def first_stays(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """Index stays of ``base``, or of all stays; settled."""
+    base = stays(spark, sf_dir) if base is None else base
+    return settle(cohort.with_los(cohort.index_stay(base)))
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:

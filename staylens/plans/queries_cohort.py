@@ -204,7 +204,8 @@ def labels_prolonged(spark, d):
     "labels_readmission", f"{b.COHORT_SQL} SELECT entity_id, stay_id, readmission_label FROM lab_all"
 )
 def labels_readmission(spark, d):
-    return labels.label_readmission(b.index(spark, d), b.stays(spark, d))
+    base = b.stays(spark, d)
+    return labels.label_readmission(cohort.min_stay(b.first_stays(spark, d, base)), base)
 
 
 @query(
@@ -229,17 +230,17 @@ def early_exclusion(spark, d):
     )
 
 
-def _label_table(spark, d):
-    first = b.first_stays(spark, d)
+def _label_table(spark, d, base=None, first=None):
+    base = b.stays(spark, d) if base is None else base
+    first = b.first_stays(spark, d, base) if first is None else first
     return labels.label_table(
-        cohort.min_stay(first),
-        b.stays(spark, d),
-        b.entities(spark, d, first),
-        prolonged_days=b.PROLONGED_DAYS,
+        cohort.min_stay(first), base, b.entities(spark, d, first), prolonged_days=b.PROLONGED_DAYS
     )
 
 
-query("label_table", f"{b.COHORT_SQL} SELECT * FROM label_table")(_label_table)
+@query("label_table", f"{b.COHORT_SQL} SELECT * FROM label_table")
+def label_table(spark, d):
+    return _label_table(spark, d)
 
 
 @query(
@@ -270,12 +271,14 @@ s AS (
 SELECT * FROM s""",
 )
 def cohort_attrition(spark, d):
+    base = b.stays(spark, d)
+    first = b.first_stays(spark, d, base)
     return cohort.attrition(
         {
-            "stays": b.stays(spark, d),
-            "index_stays": b.first_stays(spark, d),
-            "minimum_stay": b.index(spark, d),
-            "labelled": _label_table(spark, d),
+            "stays": base,
+            "index_stays": first,
+            "minimum_stay": cohort.min_stay(first),
+            "labelled": _label_table(spark, d, base, first),
         }
     )
 

@@ -236,7 +236,8 @@ def logistic_contributions(spark, d):
 
 def surrogate_sources(spark, d) -> build.Sources:
     """Sources of the end-to-end build, all taken from orders, lines and parts."""
-    first = b.first_stays(spark, d)
+    base = b.stays(spark, d)
+    first = b.first_stays(spark, d, base)
     lines = b.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("stay_id"),
         F.col("l_partkey").alias("item_id"),
@@ -250,7 +251,7 @@ def surrogate_sources(spark, d) -> build.Sources:
     named = parts.select("item_id", F.col("label").alias("item_label"))
     drugs = lines.join(parts.select("item_id", "drug"), "item_id")
     return build.Sources(
-        stays=b.stays(spark, d),
+        stays=base,
         entities=b.entities(spark, d, first),
         vitals=lines.drop("value").withColumnRenamed("quantity", "value"),
         labs=lines.drop("item_label", "quantity"),
