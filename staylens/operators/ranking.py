@@ -164,7 +164,9 @@ def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> Data
     ranges are added up: one row per range is all that meets in one place.
     """
     held = settle(df)
-    parts = max(1, -(-held.count() // ORDINALS))
+    parts = -(-held.count() // ORDINALS)
+    if parts <= 1:  # one range is one task
+        return held.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     dealt = held.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     dealt = settle(dealt)
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
