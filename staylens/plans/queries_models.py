@@ -247,6 +247,8 @@ def surrogate_sources(spark, d) -> build.Sources:
         F.col("l_shipdate").alias("t"),
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("event_id"),
     )
+    # every slice of every build starts from lines of index stays: found in one scan for all
+    lines = settle(lines.join(first.select("stay_id"), "stay_id", "left_semi"))
     parts = b.items(spark, d)
     named = parts.select("item_id", F.col("label").alias("item_label"))
     drugs = lines.join(parts.select("item_id", "drug"), "item_id")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from staylens.operators import features, prune, sampling, window
+from staylens.plans import bindings as b
+from staylens.plans import queries_models
 from staylens.session import settle
 from tests.test_features import random_wide, wide_to_long
 
@@ -73,3 +75,17 @@ def test_ordinals_over_many_features(spark):
     sizes = names.repartitionByRange(-(-n // ranking.ORDINALS), "feature").groupBy(F.spark_partition_id()).count()
     assert sizes.agg(F.max("count")).first()[0] <= 65_536
     assert ranking.ordinals(names.limit(0), ["feature"]).count() == 0
+
+
+def test_build_sources_hold_lines_of_index_stays_once(spark):
+    d = "/root/testdata/sf0.001"
+    sources = queries_models.surrogate_sources(spark, d)
+    first = b.first_stays(spark, d).select("stay_id")
+    every = b.order_lines(spark, d).select("stay_id", "event_id", "t")
+    wanted = every.join(first, "stay_id", "left_semi")
+    for part in (sources.vitals, sources.labs):
+        held = part.select("stay_id", "event_id", "t")
+        assert held.exceptAll(wanted).isEmpty() and wanted.exceptAll(held).isEmpty()
+    assert sources.rx.count() == sources.proc.count() == wanted.count() < every.count()
+    # no build scans the line table again
+    assert all("lineitem" not in plan(p) for p in (sources.vitals, sources.labs, sources.rx, sources.proc))
