@@ -20,22 +20,30 @@ SEED = 42
 TARGETS = ("quality", "toxic")
 
 
-def document_rows(spark, d):
-    """Labelled documents with simple whole-text features and a shared split."""
+def document_features(spark, d):
+    """Labelled documents with simple whole-text features, read off after the label join."""
     text = F.col("text")
     words = F.split(F.lower(text), r"\s+")
     size = F.greatest(F.length(text), F.lit(1))
-    docs = b.table(spark, d, "documents").select(
+    docs = b.table(spark, d, "documents").select("doc_id", "n_chars", "text")
+    labels = b.table(spark, d, "labels")
+    others = [F.col(c) for c in labels.columns if c != "doc_id"]
+    # whole runs are cut out at once: one match a run, not one a letter
+    return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("entity_id"),
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(words).cast("double").alias("n_words"),
         F.size(F.split(text, "\n")).cast("double").alias("n_lines"),
-        (F.length(F.regexp_replace(text, "[^0-9]", "")) / size).alias("digit_share"),
-        (F.length(F.regexp_replace(text, "[^A-Z]", "")) / size).alias("upper_share"),
+        (F.length(F.regexp_replace(text, "[^0-9]+", "")) / size).alias("digit_share"),
+        (F.length(F.regexp_replace(text, "[^A-Z]+", "")) / size).alias("upper_share"),
         (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
+        *others,
     )
-    labels = b.table(spark, d, "labels").withColumnRenamed("doc_id", "entity_id")
-    rows = docs.join(labels, "entity_id")
+
+
+def document_rows(spark, d):
+    """Features of the labelled documents with a shared split."""
+    rows = document_features(spark, d)
     return settle(sampling.stratified_split(rows, "entity_id", "quality", seed=SEED))
 
 

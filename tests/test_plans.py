@@ -89,3 +89,20 @@ def test_build_sources_hold_lines_of_index_stays_once(spark):
     assert sources.rx.count() == sources.proc.count() == wanted.count() < every.count()
     # no build scans the line table again
     assert all("lineitem" not in plan(p) for p in (sources.vitals, sources.labs, sources.rx, sources.proc))
+
+
+def test_text_features_are_made_for_labelled_documents_only(spark, tmp_path):
+    texts = ["a B7 9\ncé 🙂X", "", None, "unlabelled 1"]
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    made = queries_models.document_features(spark, str(tmp_path))
+    text = plan(made)
+    assert 0 <= text.index("regexp_replace") < text.index("Join")
+    got = {r["entity_id"]: r for r in made.collect()}
+    assert sorted(got) == [0, 1, 2] and got[2]["digit_share"] is None
+    assert (got[0]["digit_share"], got[0]["upper_share"]) == (2 / 12, 2 / 12)
+    assert (got[0]["n_words"], got[0]["n_lines"], got[1]["digit_share"]) == (5.0, 2.0, 0.0)
+    assert got[0]["quality"] == 1 and got[0]["toxic"] == 0
