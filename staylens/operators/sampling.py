@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.hashing import HASH_SPAN, portable_hash
-from staylens.functions.text import columns_of
+from staylens.functions.text import columns_of, quoted
 from staylens.operators.ranking import hash_rank
 from staylens.session import attach, settle
 
@@ -225,15 +225,27 @@ def replicate_sums(
 ) -> DataFrame:
     """Sums over Poisson weights per ``by`` and block, ``<measure>_<j>`` for each replicate.
 
-    A measure maps a row's weight to what is summed.  The sums of a block are a vector
+    A measure maps a row's weight to what is summed.  The weights of a block follow from
+    the key alone, so equal rows are counted and the rows of a key held together: a key is
+    hashed once a block for all its targets and scores.  The sums of a block are a vector
     that adds up on the map side, so what is shuffled is cells x replicates, not rows x
     replicates, wherever rows share a cell.
     """
-    weighted = with_blocks(df, key, n_rep, seed)
-    for j, weight in enumerate(poisson_weights(F.col("digest"))):
-        weighted = weighted.withColumn(f"_w{j}", weight)
+    columns = [F.col(quoted(c)) for c in df.columns]
+    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    # a row is small, but makes n_rep weights: by its size Spark would deal it to too few tasks
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.withColumn("_key", F.col(quoted(key))).repartition(tasks, "_key")
+    held = rows.groupBy("_key").agg(
+        F.collect_list(F.struct(*columns, "_n")).alias("_rows")
+    )
+    weighted = with_blocks(held, "_key", n_rep, seed)
+    weights = [w.alias(f"_w{j}") for j, w in enumerate(poisson_weights(F.col("digest")))]
+    weighted = weighted.select("block", "_rows", *weights)
+    weighted = weighted.select("block", *[f"_w{j}" for j in range(REPLICATES)], F.explode("_rows").alias("_row"))
+    weighted = weighted.select("block", *[f"_w{j}" for j in range(REPLICATES)], "_row.*")
     sums = [
-        F.sum(value(F.col(f"_w{j}"))).alias(f"{name}_{j}")
+        F.sum(value(F.col(f"_w{j}")) * F.col("_n")).alias(f"{name}_{j}")
         for name, value in measures.items()
         for j in range(REPLICATES)
     ]

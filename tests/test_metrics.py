@@ -260,6 +260,30 @@ def test_replicates_shuffle_cells_not_rows(spark):
     assert "Python" not in plan and sums.count() == 10
 
 
+def test_a_key_is_hashed_once_for_all_its_rows(spark):
+    """Targets and scores of a key share its weights; equal rows and missing keys count too."""
+    rows = [(t, i, i % 2, p) for i in range(40) for t in ("s", "t") for p in (i % 3 / 3, i % 5 / 5)]
+    rows += [("t", 7, 1, 0.5)] * 3 + [("s", None, 0, 0.5)] * 2
+    df = spark.createDataFrame(rows, "target string, id bigint, y int, p double")
+    sums = replicate_sums(df, "id", 16, ["target", "p"], {"pos": lambda w: w * F.col("y"), "n": lambda w: w})
+    text = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("explode(_rows") < text.index("sha2(") < text.index("collect_list(")
+    wanted = {}
+    for target, key, y, p in rows:
+        for rep in range(16):
+            digest = hashlib.sha256(":".join(str(v) for v in (key, rep // 8, 42) if v is not None).encode())
+            at = digest.hexdigest()[rep % 8 * 8 : rep % 8 * 8 + 8]
+            weight = sum(at >= limit for limit in poisson_limits())
+            cell = wanted.setdefault((target, p, rep), [0, 0])
+            cell[0] += weight * y
+            cell[1] += weight
+    got = {
+        (r["target"], r["p"], r["block"] * 8 + j): [r[f"pos_{j}"], r[f"n_{j}"]]
+        for r in sums.collect() for j in range(8)
+    }
+    assert got == wanted
+
+
 def test_sanity_flags(frame):
     fresh = frame([("a", 0.8, 0.5), ("b", 0.8, 0.5), ("c", 0.8, 0.5)], "target string, auc double, f1 double")
     stored = frame([("a", 0.805, 0.5), ("b", 0.85, None)], "target string, auc double, f1 double")
