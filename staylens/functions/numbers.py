@@ -70,3 +70,54 @@ def grid_index(value: Column, low: float, high: float, points: int) -> Column:
 def bool_to_int(flag: Column) -> Column:
     """Nullable boolean to 0/1."""
     return F.coalesce(flag, F.lit(False)).cast("int")
+
+
+# A number is split into whole units of 2^-HIGH and the rest in units of 2^-LOW.
+HIGH_BITS, LOW_BITS = 20, 62
+ROOM_BITS = 62  # of the whole units, which are longs
+
+
+def _spread(n: Column, xy: Column, x: Column, y: Column) -> Column:
+    """n * sum(x * y) - sum(x) * sum(y), exact, or NULL beyond 38 digits."""
+    return F.try_subtract(F.try_multiply(xy, n.cast("decimal(20,0)")), F.try_multiply(x, y))
+
+
+def steady_moments(value: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation that no order of the rows changes, as aggregates.
+
+    Doubles are sums of two whole numbers of units, and all sums of those and of their
+    products are exact, so only the last steps round.  A group with a value of finer bits
+    (as below 0.001), of 2^42 or more, or with sums beyond 38 digits has the engine's own
+    mean and deviation, whose last bits follow the order.
+    """
+    high = F.rint(value * F.lit(2.0**HIGH_BITS))
+    low = (value - high * F.lit(2.0**-HIGH_BITS)) * F.lit(2.0**LOW_BITS)
+    fits = (F.abs(value) < F.lit(2.0 ** (ROOM_BITS - HIGH_BITS))) & (F.rint(low) == low)
+    a, b = (F.when(fits, part.cast("long")).cast("decimal(19,0)") for part in (high, low))
+    n, sum_a, sum_b = F.count(value), F.try_sum(a), F.try_sum(b)
+    whole = F.count(a) == n
+    aa = _spread(n, F.try_sum(a * a), sum_a, sum_a)
+    ab = _spread(n, F.try_sum(a * b), sum_a, sum_b)
+    bb = _spread(n, F.try_sum(b * b), sum_b, sum_b)
+    # In units of 2^-LOW, where that has room: near values may cancel.
+    step = LOW_BITS - HIGH_BITS
+    fine = F.try_add(
+        F.try_add(F.try_multiply(aa, _power(2 * step)), F.try_multiply(ab, _power(step + 1))), bb
+    )
+    coarse = (
+        aa.cast("double") + ab.cast("double") * F.lit(2.0 ** (1 - step))
+        + bb.cast("double") * F.lit(2.0 ** (-2 * step))
+    )
+    spread = F.coalesce(
+        fine.cast("double") * F.lit(2.0 ** (-2 * LOW_BITS)), coarse * F.lit(2.0 ** (-2 * HIGH_BITS))
+    )
+    total = sum_a.cast("double") * F.lit(2.0**-HIGH_BITS) + sum_b.cast("double") * F.lit(2.0**-LOW_BITS)
+    std = F.when(n > 1, F.sqrt(F.try_divide(spread, n.cast("double") * (n - 1))))
+    return (
+        F.coalesce(F.when(whole, F.try_divide(total, n)), F.avg(value)),
+        F.coalesce(F.when(whole, std), F.stddev_samp(value)),
+    )
+
+
+def _power(bits: int) -> Column:
+    return F.lit(str(2**bits)).cast("decimal(38,0)")

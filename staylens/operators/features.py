@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegralType, StringType
 
 from staylens.functions import text, times
 from staylens.functions.hashing import order_key
-from staylens.functions.numbers import bool_to_int, nan_to_null, to_number
+from staylens.functions.numbers import bool_to_int, nan_to_null, steady_moments, to_number
 from staylens.functions.text import quoted
 from staylens.session import settle
 
@@ -73,14 +73,17 @@ def event_stats(
     One hash aggregate over the events.  The label cap is applied afterwards:
     the counts of the result add up to the label frequencies.  The result is
     settled for that, because the optimizer would otherwise push the cap below
-    the aggregate and read the events a second time.
+    the aggregate and read the events a second time.  Mean and deviation do not
+    depend on the order of the events (see ``steady_moments``), so neither does
+    a value that is rounded later.
     """
     rows = clean_events(events, label, value, time)
     if labels is not None:
         rows = rows.filter(F.col(label).isin(list(labels)))
+    mean, std = steady_moments(F.col(value))
     stats = rows.groupBy(F.col(entity).alias("entity_id"), F.col(label).alias("label")).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
+        mean.alias("mean"),
+        std.alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         (F.max(value) - F.min(value)).alias("range"),
