@@ -60,9 +60,8 @@ SLICES_DDL = (
 PREFIXES = pa.schema(
     [("lang", pa.string()), ("prefix", pa.binary()), ("complete", pa.bool_()), ("docs", pa.int64())]
 )
-COUNTS = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("count", pa.int64())]
-)
+CELL = pa.struct([("source", pa.string()), ("count", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("cells", pa.list_(CELL))])
 WORDS_OF_BITS = pa.schema([("slot", pa.int64()), ("bits", pa.int64())])
 GAPS = pa.schema(
     [("lang", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("value", pa.int64())]
@@ -259,7 +258,11 @@ def vocabulary(sliced: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
 
 
 def term_counts(sliced: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, count) of the kept terms that occur in a group."""
+    """(lang, term, cells, lang_count) of the kept terms: a cell is a source and the count there.
+
+    A slice gives one row per term, with its sources beside it.  Terms meet once, by
+    (lang, term): there rows are cleaned, added and packed without another shuffle.
+    """
     table = bit_table(kept, "term")
 
     def run(batches):
@@ -270,20 +273,34 @@ def term_counts(sliced: DataFrame, kept: DataFrame) -> DataFrame:
             ids, keys = pd.factorize(part.pair[live].astype(np.int64) * width + source)
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, ids, part.count[live])
-            pair, source = np.divmod(keys, width)
+            order = np.argsort(keys)
+            pair, source = np.divmod(keys[order], width)
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            cells = pa.StructArray.from_arrays(
+                [part.sources.take(pa.array(source)), pa.array(total[order])], fields=list(CELL)
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.langs.take(pa.array(part.pair_lang[pair])),
-                    part.sources.take(pa.array(source)),
-                    part.words.take(pa.array(part.pair_word[pair])),
-                    pa.array(total),
+                    part.langs.take(pa.array(part.pair_lang[pair[first]])),
+                    part.words.take(pa.array(part.pair_word[pair[first]])),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, pair.size), pa.int32()), cells),
                 ],
                 schema=COUNTS,
             )
 
-    counted = sliced.mapInArrow(run, "lang string, source string, term binary, count long")
-    summed = counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-    return summed.join(kept.select("lang", "term"), ["lang", "term"])
+    found = sliced.mapInArrow(
+        run, "lang string, term binary, cells array<struct<source: string, count: long>>"
+    )
+    # Kept terms of one partition fit a hash table, so neither side is sorted.
+    cells = found.join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"])
+    summed = (
+        cells.select("lang", "term", F.inline("cells"))
+        .groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    )
+    return summed.groupBy("lang", "term").agg(
+        F.collect_list(F.struct("source", "count")).alias("cells"),
+        F.sum("count").alias("lang_count"),
+    )
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -296,8 +313,8 @@ def share(count: Column, n: Column, v: Column) -> Column:
 def gaps(packed: DataFrame) -> DataFrame:
     """Sums of f over the terms, per lang and pair of sources a < b.
 
-    Rows hold one term: the sources it occurs in, its counts there, and the N of all
-    sources of the language.  A task adds the pairs of a batch before it gives them out.
+    Rows hold one term: the sources it occurs in, its counts there, and the names and N of
+    all sources of the language.  A task adds the pairs of a batch before it gives them out.
     """
 
     def run(batches):
@@ -305,7 +322,7 @@ def gaps(packed: DataFrame) -> DataFrame:
             langs = batch.column("lang").dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False)
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                part = batch.take(pa.array(np.flatnonzero(code == i)))
+                part = placed(batch.take(pa.array(np.flatnonzero(code == i))))
                 n = np.array(part.column("totals")[0].as_py(), object)
                 v = part.column("v")[0].as_py()
                 step = max(1, CELLS // len(n))
@@ -322,6 +339,14 @@ def gaps(packed: DataFrame) -> DataFrame:
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
+def placed(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of one language, with the places of their sources in the order of names."""
+    sizes = pc.list_value_length(part.column("sources")).to_numpy(zero_copy_only=False)
+    at = pc.index_in(part.column("sources").flatten(), value_set=part.column("names")[0].values)
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return part.append_column("places", pa.ListArray.from_arrays(pa.array(ends), at))
+
+
 def pair_sums(part: pa.RecordBatch, below: np.ndarray) -> np.ndarray:
     """f of every pair of sources a < b, summed over the terms of ``part``."""
     sizes = pc.list_value_length(part.column("places")).to_numpy(zero_copy_only=False)
@@ -344,7 +369,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank of every group."""
     sliced = settle(slices(docs))
     kept = settle(vocabulary(sliced, least))
-    counts = settle(term_counts(sliced, kept))
+    packed = settle(term_counts(sliced, kept))
+    counts = packed.select("lang", "term", "lang_count", F.inline("cells"))
 
     in_group = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
@@ -361,21 +387,19 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         groups.groupBy("lang")
         .agg(
             F.sum("n").alias("lang_n"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "n"))), lambda g: g["n"]
-            ).alias("totals"),
+            F.array_sort(F.collect_list(F.struct("at", "n", "source"))).alias("all"),
         )
         .join(sizes, "lang")
+        .select(
+            "lang", "lang_n", "v", F.col("all.n").alias("totals"), F.col("all.source").alias("names")
+        )
     )
 
     # Sources against each other.
-    packed = counts.join(groups.select("lang", "source", "at"), ["lang", "source"]).groupBy(
-        "lang", "term"
-    ).agg(F.collect_list(F.struct("at", "count")).alias("cells"))
-    packed = packed.join(langs.select("lang", "totals", "v"), "lang").select(
-        "lang", "cells.at", "cells.count", "totals", "v"
-    ).toDF("lang", "places", "counts", "totals", "v")
-    halves = settle(gaps(packed))
+    cells = packed.join(langs.select("lang", "names", "totals", "v"), "lang").select(
+        "lang", "cells.source", "cells.count", "names", "totals", "v"
+    ).toDF("lang", "sources", "counts", "names", "totals", "v")
+    halves = settle(gaps(cells))
     both = halves.unionByName(
         halves.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
     )
@@ -388,11 +412,10 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     )
 
     # Terms against the language.
-    whole = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"))
     terms = (
-        counts.join(whole, ["lang", "term"])
+        counts.withColumnRenamed("term", "item")
         .join(groups.drop("at"), ["lang", "source"])
-        .join(langs.drop("totals"), "lang")
+        .join(langs.drop("totals", "names"), "lang")
         .withColumn("p", share(F.col("count"), F.col("n"), F.col("v")))
         .withColumn("q", share(F.col("lang_count"), F.col("lang_n"), F.col("v")))
         .where("p > q")
@@ -408,5 +431,5 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
             "lang", "source", F.lit(name).alias("part"), text, "value", "rank"
         )
 
-    found = part(terms.withColumnRenamed("term", "item"), "term").where(F.col("rank") <= top)
+    found = part(terms, "term").where(F.col("rank") <= top)
     return part(pairs, "pair").unionByName(found)

@@ -175,6 +175,24 @@ def test_refinement_discards_prefixes(spark, monkeypatch):
     assert sorted(map(tuple, divergence.audit(frame(spark, few)).collect())) == brute_audit(few, 10, 10)
 
 
+def test_terms_meet_once(spark, monkeypatch):
+    """Slices give a row per term with its sources beside it, which are added and packed in one shuffle."""
+    monkeypatch.setattr(divergence, "TEXT_AT_ONCE", 300)
+    table = [(i, "both " * (i % 3 + 1) + "ab"[i % 2] * 3, "en", "st"[i % 2]) for i in range(40)]
+    bagged = divergence.slices(frame(spark, table))
+    kept = divergence.vocabulary(bagged).localCheckpoint()
+    found = divergence.term_counts(bagged, kept)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the slices' rows and the kept terms
+    got = {bytes(r["term"]): (sorted(map(tuple, r["cells"])), r["lang_count"]) for r in found.collect()}
+    both = [sum(i % 3 + 1 for i in range(k, 40, 2)) for k in (0, 1)]
+    assert got == {
+        b"both": ([("s", both[0]), ("t", both[1])], sum(both)),
+        b"aaa": ([("s", 20)], 20),
+        b"bbb": ([("t", 20)], 20),
+    }
+
+
 def test_shares_beyond_a_long():
     import pyarrow as pa
 
