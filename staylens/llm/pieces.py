@@ -23,10 +23,15 @@ REMEMBERED = 32 << 20  # bytes a memory may take
 LONGEST = 64  # bytes of a piece worth remembering
 BYTES_AT_ONCE = 3 << 20  # of text
 
-# A letter followed by closing marks: the marks are tokens of their own.
-CORE_AND_TAIL = r"(?s)^(?P<core>.*\p{L})(?P<tail>[.,]+)$"
+# Marks that are tokens of their own after a letter, and where nothing is normalised all
+# ASCII marks but those of added tokens (<|name|>, [NAME]).
+MARKS = ".,"
+MARKS_LED = "!\"#$%&'()*+,-./:;=?@\\^_`{}~"
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # White space before a blank, which some tokenizers see as one run.
-RUN = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+RUN = WHITE + " "
+# A newline that is in a run of white space or at an edge of its piece.
+NOT_ALONE = rf"{WHITE}\n|\n{WHITE}|\A\n|\n\z"
 BLANK_AFTER_WORD = re.compile(r"(?<=\S) ")
 
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]  # ids of all, counts of each
@@ -52,6 +57,19 @@ def spans(
                 yield batch.slice(a, b - a)
 
 
+def closed(words: pa.Array, marks: str) -> tuple[pa.Array, pa.Array]:
+    """Words without the marks that close them after a letter, and those marks."""
+    core = pc.ascii_rtrim(words, characters=marks)
+    less = pc.not_equal(pc.binary_length(core), pc.binary_length(words))
+    some = np.flatnonzero(less.to_numpy(zero_copy_only=False))
+    letter = pc.match_substring_regex(core.take(pa.array(some)), r"\p{L}\z")
+    cut = np.zeros(len(words), bool)
+    cut[some[letter.to_numpy(zero_copy_only=False)]] = True
+    cut = pa.array(cut)
+    tail = pc.replace_substring_regex(words.filter(cut), r"(?s)\A.*\p{L}", "")
+    return pc.if_else(cut, core, words), pc.replace_with_mask(pa.repeat("", len(words)), cut, tail)
+
+
 @lru_cache(maxsize=1)
 def unsettled() -> str:
     """Pattern of a last letter that a normaliser turns into letter and mark: a full stop
@@ -168,21 +186,47 @@ class Memory:
 
     def _table(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces: flat ids, starts and sizes."""
-        parts = pc.extract_regex(keys, CORE_AND_TAIL)
-        core = pc.coalesce(pc.struct_field(parts, "core"), keys)
-        tail = pc.fill_null(pc.struct_field(parts, "tail"), "")
+        lines, line_of, lines_of = self._lines(keys)
+        core, tail = closed(lines, MARKS_LED if self.led else MARKS)
         if not self.led:  # with a blank kept, nothing is normalised
             whole = pc.match_substring_regex(core, unsettled())
-            core, tail = pc.if_else(whole, keys, core), pc.if_else(whole, "", tail)
-        if not self.led:
+            core, tail = pc.if_else(whole, lines, core), pc.if_else(whole, "", tail)
             core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
-        coded = pa.concat_arrays([core, tail]).dictionary_encode()
+        coded = pa.concat_arrays([core, tail, pa.array(["\n", ""])]).dictionary_encode()
         flat, starts, sizes = self._look_up(coded.dictionary)
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        both = np.stack([at[: len(keys)], at[len(keys) :]], axis=1).ravel()
-        joined = gather(flat, starts[both], sizes[both])
-        sizes = sizes[both].reshape(-1, 2).sum(axis=1)
-        return joined, np.cumsum(sizes) - sizes, sizes
+        last = np.zeros(line_of.size, bool)  # lines that end their piece
+        last[np.cumsum(lines_of) - 1] = True
+        words = np.stack(
+            [at[line_of], at[len(lines) + line_of], np.where(last, at[-1], at[-2])], axis=1
+        ).ravel()
+        joined = gather(flat, starts[words], sizes[words])
+        ends = np.cumsum(sizes[words])[3 * np.cumsum(lines_of) - 1]
+        sizes = np.diff(ends, prepend=0)
+        return joined, ends - sizes, sizes
+
+    def _lines(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Lines of pieces, the line at every place, and the lines of each piece.
+
+        A newline between two other signs than white space is a token of its own where
+        white space is kept; pieces with other newlines stay whole.
+        """
+        places = np.arange(len(keys))
+        if not self.led:
+            return keys, places, np.ones(len(keys), np.int64)
+        cut = pc.match_substring(keys, "\n").to_numpy(zero_copy_only=False)
+        some = places[cut]
+        alone = pc.invert(pc.match_substring_regex(keys.take(pa.array(some)), NOT_ALONE))
+        some = some[alone.to_numpy(zero_copy_only=False)]
+        lists = pc.split_pattern(keys.take(pa.array(some)), "\n")
+        lines_of = np.ones(len(keys), np.int64)
+        lines_of[some] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        starts = places.copy()
+        starts[some] = len(keys) + np.cumsum(lines_of[some]) - lines_of[some]
+        split = np.zeros(len(keys), bool)
+        split[some] = True
+        lines = pa.concat_arrays([pc.if_else(pa.array(split), "", keys), lists.flatten()])
+        return lines, gather(np.arange(len(lines)), starts, lines_of), lines_of
 
     def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
@@ -218,6 +262,11 @@ class Memory:
         return flat, starts, sizes
 
 
+def edged(piece: str) -> bool:
+    """Whether white space beside the piece, but for a blank of its own, leaves it as it is."""
+    return not (piece[-1:] or " ").isspace() and not piece[piece[0] == " "].isspace()
+
+
 @lru_cache(maxsize=1)
 def library(path: str, led: bool) -> Memory:
     """A tokenizer of the tokenizers library behind a memory, once per worker."""
@@ -228,42 +277,66 @@ def library(path: str, led: bool) -> Memory:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-    last = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that end a word
-    if suffix:
-        for token, number in tokenizer.get_vocab().items():
-            last[number] = token.endswith(suffix)
+    vocab = tokenizer.get_vocab()
+    last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+    widths = np.zeros(last.size, np.int64)  # bytes of tokens, where a sign stands for a byte
+    for token, number in vocab.items():
+        last[number] = bool(suffix) and token.endswith(suffix)
+        widths[number] = len(token)
+    for number, added in tokenizer.get_added_tokens_decoder().items():
+        widths[number] = len(added.content.encode())
 
     def encode_each(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         one = tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(one.word_ids, np.int64), minlength=len(parts))
         return np.array(one.ids, np.uint32), counts
 
+    def encode_text(text: str) -> np.ndarray:
+        one = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(one.ids, np.uint32)
+
+    def by_suffix(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Words of letters in one text: tokens that end a word tell them apart."""
+        ids = encode_text(" ".join(words))
+        ends = np.flatnonzero(last[ids]) + 1
+        if ends.size != len(words) or (ends.size and ends[-1] != ids.size):
+            return None  # a letter became letter and mark
+        counts = np.diff(ends, prepend=0)
+        return ids, ends - counts, counts
+
+    def by_bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Words in one text, each after its blank or a newline: tokens are as long as their
+        bytes, which tells where a word begins and ends."""
+        ids = encode_text("".join([w if w[0] == " " else "\n" + w for w in words]))
+        edges = np.concatenate([[0], np.cumsum(widths[ids])])
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        newline = np.fromiter((w[0] != " " for w in words), bool, len(words))
+        ends = np.cumsum(sizes + newline)
+        if edges[-1] != (ends[-1] if ends.size else 0):
+            return None  # tokens are no bytes here
+        starts, stops = np.searchsorted(edges, ends - sizes), np.searchsorted(edges, ends)
+        if (edges[starts] != ends - sizes).any() or (edges[stops] != ends).any():
+            return None
+        return ids, starts, stops - starts
+
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of letters only go as one text, which keeps no offsets; tokens that end
-        a word tell them apart."""
+        """Plain pieces go as one text, which keeps no offsets, the others one by one."""
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if led or not suffix:
+        if not led and not suffix:
             return encode_each(parts)
-        plain = np.fromiter((part.isalpha() for part in parts), bool, len(parts))
-        words = [part for part, alone in zip(parts, plain) if alone]
-        ids = np.array(
-            tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids,
-            np.uint32,
-        )
-        ends = np.flatnonzero(last[ids]) + 1
-        if ends.size != len(words) or (ends.size and ends[-1] != ids.size):
-            return encode_each(parts)  # a letter became letter and mark
-        counts = np.zeros(len(parts), np.int64)
-        counts[plain] = np.diff(ends, prepend=0)
+        is_plain, together = (edged, by_bytes) if led else (str.isalpha, by_suffix)
+        plain = np.fromiter(map(is_plain, parts), bool, len(parts))
+        found = together([part for part, alone in zip(parts, plain) if alone])
+        if found is None:
+            return encode_each(parts)
+        starts, counts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        ids, starts[plain], counts[plain] = found
         other = [part for part, alone in zip(parts, plain) if not alone]
-        if not other:
-            return ids, counts
-        more, counts[~plain] = encode_each(other)
-        both = np.concatenate([ids, more])
-        starts = np.zeros(len(parts), np.int64)
-        starts[plain] = ends - counts[plain]
-        starts[~plain] = ids.size + np.cumsum(counts[~plain]) - counts[~plain]
-        return gather(both, starts, counts), counts
+        if other:
+            more, counts[~plain] = encode_each(other)
+            starts[~plain] = ids.size + np.cumsum(counts[~plain]) - counts[~plain]
+            ids = np.concatenate([ids, more])
+        return gather(ids, starts, counts), counts
 
     return Memory(encode, led)

@@ -48,6 +48,65 @@ def test_remembered_pieces_give_the_library_s_ids(path, led):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_lines_and_closing_marks_are_pieces_of_their_own():
+    """Words beside a line's end or marks are met again as the words they are."""
+    asked = []
+
+    def encode(parts):
+        asked.extend(parts)
+        return np.arange(len(parts), dtype=np.uint32), np.ones(len(parts), np.int64)
+
+    memory = pieces.Memory(encode, True)
+    memory.ids(pa.array(["a big.\nBig dog!? (a) x<|name|>\na\n\nb", "a\n", "\na", " dog. a\r\nb a\n\x85b"]))
+    assert sorted(asked) == sorted(
+        ["", "a", " big", ".", "\n", "Big", " dog", "!?", " (a", ")", " x<|name|>\na\n\nb", "a\n", "\na"]
+        + [" a\r\nb", " a\n\x85b"]
+    )
+
+
+def test_plain_pieces_go_to_the_library_as_one_text(monkeypatch):
+    """Only pieces at whose edges white space would join are handed over with their offsets."""
+    alone, together = [], []
+
+    class Spy:
+        from_file = staticmethod(lambda path: Spy(path))
+
+        def __init__(self, path):
+            self.own = Tokenizer.from_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode(self, parts, **options):
+            alone.extend(parts)
+            return self.own.encode(parts, **options)
+
+        def encode_batch_fast(self, parts, **options):
+            together.extend(parts)
+            return self.own.encode_batch_fast(parts, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Spy)
+    library = Tokenizer.from_file(BYTE)
+    memory = pieces.library.__wrapped__(BYTE, True)
+    some = ["Ein Wort, été\n漢字 x<|endoftext|>! 12 it's\n(so)", "b  c", "d ", "\te", "", "\x1c f"]
+    for text, ids in zip(some, memory.each(pa.array(some))):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(together) == 1 and " Wort" in together[0] and "\n漢字" in together[0]
+    assert set(alone) == {"", " ", "  c", "\n", "\te", "\x1c f"}
+
+
+def test_letters_beside_lines_and_marks():
+    """Each letter before and after a line's end and before marks, against the library."""
+    library = Tokenizer.from_file(BYTE)
+    memory = pieces.library(BYTE, led=True)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    for start in range(0, len(letters), 20_000):
+        part = [f"x{c}! {c}\n{c} {c}'\n{c}?, a" for c in letters[start : start + 20_000]]
+        wanted = library.encode_batch(part, add_special_tokens=False)
+        for text, ids, own in zip(part, memory.each(pa.array(part)), wanted):
+            assert ids.tolist() == own.ids, repr(text)
+
+
 def docs(spark):
     some = [*texts(60), None]
     table = [(i, t, 1, b"x", "low") for i, t in zip(random.Random(5).sample(range(1000), len(some)), some)]
