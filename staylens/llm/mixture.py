@@ -233,7 +233,9 @@ def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed:
                         schema=SLOT,
                     )
 
-    return placed.mapInArrow(run, "number long, block long, pass long, shard long, slot long")
+    # Spark takes the size of what goes in for that of the slots: they must not be broadcast.
+    made = placed.mapInArrow(run, "number long, block long, pass long, shard long, slot long")
+    return made.hint("shuffle_merge")
 
 
 def pieces(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -112,6 +112,16 @@ def test_mix_of_nothing(spark):
     assert [tuple(r) for r in mixture.taken(frame(spark, [(1, None, "en", None)])).collect()] == [(1, 0, 0, 0.0, 0)]
 
 
+def test_slots_are_never_broadcast(spark):
+    """Few rows make many slots, so their size is not known before they are made."""
+    docs = frame(spark, [(i, "word " * 3000, "en", "ab"[i % 2]) for i in range(8)])
+    for found in (mixture.taken(docs, block=2), mixture.mix(docs, block=2)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = set(re.findall(r"(\w+Join) \[number#\d+L?, block#\d+L?\]", plan))
+        assert joins == {"SortMergeJoin"}
+
+
 def brute_audit(table, least, top):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
