@@ -52,11 +52,15 @@ SLICES = pa.schema(
         ("count", pa.list_(pa.int32())),
     ]
 )
-SLICES_DDL = (
-    "langs array<string>, sources array<string>, words array<binary>, pair_lang array<int>, "
-    "pair_word array<int>, doc_source array<int>, doc_terms array<int>, pair array<int>, "
-    "count array<int>"
-)
+PACKED = pa.schema([("slice", pa.binary())])
+# Spark reads a row group at once, and would take a whole file for one.
+FEW_AT_ONCE = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+    "compression": "uncompressed",
+}
 PREFIXES = pa.schema(
     [("lang", pa.string()), ("prefix", pa.binary()), ("complete", pa.bool_()), ("docs", pa.int64())]
 )
@@ -98,17 +102,22 @@ def slices(docs: DataFrame) -> DataFrame:
     """Documents as bags of terms, some megabytes of text to a row.
 
     A slice codes its languages, sources, words and (lang, word) pairs once; documents are
-    runs of pair numbers.
+    runs of pair numbers, stored as steps.  To Spark it is one compressed value: a slice has
+    millions of numbers, which Spark would hold one by one for all slices of a file.
     """
 
     def run(batches):
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
         for part in pieces.spans(batches, size=TEXT_AT_ONCE):
             langs = part.column("lang").dictionary_encode()
             sources = part.column("source").dictionary_encode()
             lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            words, *numbers = bag(part.column("text"), lang)
-            columns = [langs.dictionary, sources.dictionary, words, *numbers[:2], sources.indices, *numbers[2:]]
-            yield pa.RecordBatch.from_arrays(
+            words, pair_lang, pair_word, terms, pair, count = bag(part.column("text"), lang)
+            columns = [
+                langs.dictionary, sources.dictionary, words, pair_lang, pair_word,
+                sources.indices, terms, np.diff(pair, prepend=0), count,
+            ]
+            made = pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(
                         pa.array([0, len(c)], pa.int32()),
@@ -118,28 +127,36 @@ def slices(docs: DataFrame) -> DataFrame:
                 ],
                 schema=SLICES,
             )
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, SLICES, options=how) as stream:
+                    stream.write_batch(made)
+                packed = out.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], schema=PACKED)
 
     return docs.select(
         rows.text_or_empty("lang").alias("lang"),
         rows.text_or_empty("source").alias("source"),
         rows.text_or_empty().alias("text"),
-    ).mapInArrow(run, SLICES_DDL)
+    ).mapInArrow(run, "slice binary")
 
 
 class Slice:
     """One row of ``slices`` as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int):
+    def __init__(self, packed: bytes):
+        batch = pa.ipc.open_stream(packed).read_next_batch()
+
         def column(name: str) -> pa.Array:
-            return batch.column(name)[i].values
+            return batch.column(name)[0].values
 
         def numbers(name: str) -> np.ndarray:
             return column(name).to_numpy(zero_copy_only=False)
 
         self.langs, self.sources, self.words = column("langs"), column("sources"), column("words")
         self.pair_lang, self.pair_word = numbers("pair_lang"), numbers("pair_word")
-        self.doc_source, self.pair, self.count = numbers("doc_source"), numbers("pair"), numbers("count")
-        self.row = np.repeat(np.arange(self.doc_source.size), numbers("doc_terms"))
+        self.doc_source, self.count = numbers("doc_source"), numbers("count")
+        self.pair = np.cumsum(numbers("pair"), dtype=np.int32)
+        self.row = np.repeat(np.arange(self.doc_source.size, dtype=np.int32), numbers("doc_terms"))
 
     def alive(self, table: np.ndarray, prefixes: pa.Array) -> np.ndarray:
         """Whether the table may hold each pair's language and prefix."""
@@ -149,8 +166,8 @@ class Slice:
 
 def each_slice(batches):
     for batch in batches:
-        for i in range(batch.num_rows):
-            found = Slice(batch, i)
+        for packed in batch.column("slice"):
+            found = Slice(packed.as_py())
             if found.pair.size:
                 yield found
 
@@ -270,14 +287,16 @@ def term_counts(sliced: DataFrame, kept: DataFrame) -> DataFrame:
             live = part.alive(table, part.words)[part.pair]
             width = len(part.sources)
             source = part.doc_source[part.row[live]]
-            ids, keys = pd.factorize(part.pair[live].astype(np.int64) * width + source)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, ids, part.count[live])
+            keys = part.pair[live].astype(np.int64) * width + source
             order = np.argsort(keys)
-            pair, source = np.divmod(keys[order], width)
+            keys = keys[order]
+            new = np.flatnonzero(np.diff(keys, prepend=-1))
+            total = part.count[live].astype(np.int64)[order]
+            total = np.add.reduceat(total, new) if new.size else total
+            pair, source = np.divmod(keys[new], width)
             first = np.flatnonzero(np.diff(pair, prepend=-1))
             cells = pa.StructArray.from_arrays(
-                [part.sources.take(pa.array(source)), pa.array(total[order])], fields=list(CELL)
+                [part.sources.take(pa.array(source)), pa.array(total)], fields=list(CELL)
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -367,7 +386,7 @@ def pair_sums(part: pa.RecordBatch, below: np.ndarray) -> np.ndarray:
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank of every group."""
-    sliced = settle(slices(docs))
+    sliced = settle(slices(docs), FEW_AT_ONCE)
     kept = settle(vocabulary(sliced, least))
     packed = settle(term_counts(sliced, kept))
     counts = packed.select("lang", "term", "lang_count", F.inline("cells"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -64,15 +64,16 @@ def attach(
     return rows.join(settle(table), on, how)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, options: Mapping[str, str] | None = None) -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
     The folder is the one named by ``spark.checkpoint.dir``, so the table
     survives the loss of executors.  A Parquet table, unlike a checkpointed RDD,
-    keeps column pruning and gives later joins a known size.
+    keeps column pruning and gives later joins a known size.  ``options`` are
+    those of the Parquet writer.
     """
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

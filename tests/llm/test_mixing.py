@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from staylens.llm import divergence, mixture, orchard
@@ -203,6 +204,23 @@ def test_terms_meet_once(spark, monkeypatch):
     }
 
 
+def test_slices_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Spark holds a row group whole: slices are one value each, and a few of them make a group."""
+    monkeypatch.setattr(divergence, "TEXT_AT_ONCE", 50_000)
+    monkeypatch.setitem(divergence.FEW_AT_ONCE, "parquet.block.size", "200000")
+    settled, settle = [], divergence.settle
+    monkeypatch.setattr(divergence, "settle", lambda *a: settled.append(settle(*a)) or settled[-1])
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(60_000)]
+    table = [(i, " ".join(words[200 * i : 200 * i + 200]) + " common", "en", "st"[i % 2]) for i in range(300)]
+    found = divergence.audit(frame(spark, table).coalesce(1)).collect()
+    assert {r["item"] for r in found} <= {"s", "t", "common"}
+    assert settled[0].columns == ["slice"] and settled[0].count() == 16
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in settled[0].inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert len(groups) > 2 and max(g.total_byte_size for g in groups) < 300_000
+
+
 def test_shares_beyond_a_long():
     import pyarrow as pa
 
